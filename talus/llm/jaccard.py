@@ -30,7 +30,9 @@ WIDTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Keys in more sets than this are not expanded into pairs at once.
-HOT = 24
+HOT = 8
+#: Credit to spare, so that a set may lose some segments to hot keys.
+SPARE = 1.2
 #: Sets up to this size meet by their rarest shingles only.
 TINY = 8
 
@@ -93,7 +95,7 @@ def segments(lo: int, mid: int, hi: int) -> tuple[int, int]:
                 x = n / m
                 full, single = 1 - math.exp(-x), x * math.exp(-x)
                 credit = m * full + q * (full - single)
-                ok &= credit - 2.5 * math.sqrt(max(1.0, m * full * (1 - full))) >= needed(n, lo, mid, hi)
+                ok &= credit - 2.5 * math.sqrt(max(1.0, m * full * (1 - full))) >= SPARE * needed(n, lo, mid, hi)
             if ok:
                 x = mid / m
                 cost = m + q * x + 3 * m * x * math.exp(-x)
@@ -375,28 +377,33 @@ def _rarest(nb: int):
         doc = np.repeat(np.arange(len(n)), n)
         order = np.lexsort((keys, freq, doc))
         place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
-        take = order[(place < np.repeat(n - own_overlap(n) + 1, n)) & (freq[order] > 1)]
+        use = (place < np.repeat(n - own_overlap(n) + 1, n)) & (freq[order] > 1)
+        take, place = order[use], place[use]
         keys, doc = W.mix(keys[take] + U64(77)), doc[take]
-        out = [(b, keys[at].tobytes(), pack(cid=h["cid"][doc[at]], home=h["home"][doc[at]])) for b, at in by_bucket(keys, nb)]
+        out = [(b, keys[at].tobytes(), pack(cid=h["cid"][doc[at]], home=h["home"][doc[at]], n=n[doc[at]], left=n[doc[at]] - place[at])) for b, at in by_bucket(keys, nb)]
         return rows([o[0] for o in out], [0] * len(out), [None] * len(out), [o[1] for o in out], [o[2] for o in out])
 
     return go
 
 
-def _rare_pairs(table: pa.Table, hot: int) -> pa.Table:
-    """All pairs of a key's owners that no link joins yet; block by block, with no limit on a key's owners."""
+def _rare_pairs(table: pa.Table) -> pa.Table:
+    """The pairs of a key's owners that no link joins yet and whose sizes and shingles from the key on allow a link.
+
+    Each owner meets all others that remain, one block at a time, whatever their number.
+    """
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
     aux = [unpack(x) for x in table.column("aux").to_pylist()]
     order, keys, who, cut = _runs(keys, np.concatenate([x["cid"] for x in aux]))
-    home = np.concatenate([x["home"] for x in aux])[order]
-    size = np.diff(cut)
-    pairs = [_all_pairs(who, cut, np.where(size <= hot, size, 0))]
-    for k in np.flatnonzero(size > hot):
-        own, at = who[cut[k] : cut[k + 1]], home[cut[k] : cut[k + 1]]
-        for x in range(len(own) - 1):
-            other = own[x + 1 :][at[x + 1 :] != at[x]]
-            if len(other):
-                pairs.append(np.stack([np.full(len(other), own[x]), other], 1))
+    home, n, left = (np.concatenate([x[k] for x in aux])[order] for k in ("home", "n", "left"))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for k in np.flatnonzero(np.diff(cut) > 1):
+        own = slice(cut[k], cut[k + 1])
+        w, at, size, rest = who[own], home[own], n[own], left[own]
+        for x in range(len(w) - 1):
+            y = slice(x + 1, None)
+            fits = (at[y] != at[x]) & (np.minimum(rest[y], rest[x]) >= -(-PERCENT * (size[y] + size[x]) // (100 + PERCENT)))
+            if fits.any():
+                pairs.append(np.stack([np.full(fits.sum(), w[x]), w[y][fits]], 1))
     pairs = np.unique(np.concatenate(pairs), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -429,7 +436,7 @@ def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     open_ = sets.join(lost, "cid", "left").where("slack < coalesce(lost, 0)").select("cid", "n", "shingles")
     open_ = open_.join(home, "cid", "left").select("cid", F.coalesce("home", "cid").alias("home"), "shingles")
     asked = exchange(open_.mapInArrow(_rare_rows(nb), ROW), _frequency, _rarest(nb), ROW)
-    again = asked.groupBy("bucket").applyInArrow(lambda t: _rare_pairs(t, hot), "a long, b long").distinct()
+    again = asked.groupBy("bucket").applyInArrow(_rare_pairs, "a long, b long").distinct()
     links = links.unionByName(_links(again, sets))
     seen = seen.select(F.nullif("doc_id", null_id).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("cid"))
     return seen, links
