@@ -36,7 +36,7 @@ def grams(text: str):
     for lo in range(0, len(text), _STEP):
         c = np.frombuffer(text[lo : lo + _STEP].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         c = np.where(_letters()[c], c, np.uint32(32))
-        c = np.concatenate([carry, c, np.full(lo + _STEP >= len(text), 32, np.uint32)])
+        c = np.concatenate([carry, c, np.full(int(lo + _STEP >= len(text)), 32, np.uint32)])
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
         for n in ORDERS:
             if len(c) >= n:

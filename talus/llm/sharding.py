@@ -83,17 +83,20 @@ def splitters(keys: DataFrame, total: int, pieces: int, tolerance: list[int]) ->
     return [done[k] for k in range(pieces - 1)]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0005, carry: list[str] | None = None) -> DataFrame:
     """docs with size, text_crc32, shard and slot: shards of nearly equal sums of size, in order of (text hash, doc_id).
 
     size is the UTF-8 bytes of text (null: none) plus 8; text_crc32 that of the bytes (null: of none). Equal texts are
     neighbours, so a group of copies is divided only where its bytes need more than one shard. Slots count from 0 without
     gaps. A splitter's error is at most tolerance times a shard's share or one row. Repeated rows each get their slot; a null
-    doc_id sorts first; an empty table gives no rows. Columns of docs with the names of new ones give way to them.
+    doc_id sorts first; an empty table gives no rows. Columns of docs with the names of new ones give way to them. carry: the columns of docs to
+    keep (all of them if not given); text only moves if it is among them.
     """
     raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     new = {"size": (F.octet_length(raw) + 8).cast("long"), "text_crc32": F.crc32(raw)}
     keyed = docs.drop("shard", "slot", "range", "h", "d", "r").withColumns(new).withColumns({"h": F.xxhash64(raw), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "r": F.monotonically_increasing_id()})
+    if carry is not None:
+        keyed = keyed.select(*dict.fromkeys([*carry, "size", "text_crc32", "h", "d", "r"]))
     return _shard(keyed, shards, tolerance).drop("h", "d", "r", "range")
 
 
