@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Fixed values.
 NAME_SUFFIXES = ["jr", "sr", "md", "phd", "ii", "iii", "iv"]
@@ -16,13 +17,13 @@ GENERIC_LOCALS = "info contact admin office support help webmaster department de
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def ascii_fold(text: pa.Array) -> pa.Array:
     """NFKD without what is not ASCII."""
     return pa.array([None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in text.to_pylist()], pa.string())
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def seq_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """1 for equal names, 0.9 where one contains the other, else the matching-blocks ratio; 0 for empty or null."""
     out = []
