@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.jaccard import by_bucket, chunk_id, pack, unpack
-from talus.llm.packing import TOKENIZER, encoder
+from talus.llm.packing import TOKENIZER, encoded, encoder
 from talus.llm.store import parts, stash
 from talus.llm.words import mix
 
@@ -37,8 +37,8 @@ def _token_chunks(tokenizer: str):
             return pa.record_batch({"chunk": pa.array([chunk_id(k)], pa.int64()), "body": pa.array([row], pa.binary())})
 
         for batch in batches:
-            for i, t, f in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                one = np.frombuffer(enc.encode(t.as_py() or ""), "<u4").astype(np.uint16)
+            for i, t, f in zip(batch.column("doc_id").to_pylist(), encoded(enc, batch.column("text").to_pylist()), batch.column("target").to_pylist(), strict=True):
+                one = np.frombuffer(t, "<u4").astype(np.uint16)
                 ids.append(i)
                 flags.append(f)
                 tokens.append(one)

@@ -23,7 +23,7 @@ from talus.llm.store import stash
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Words that a worker remembers before it starts anew.
-REMEMBER = 1_200_000
+REMEMBER = 1_800_000
 
 # Words of these characters split alike in every regex engine and lower-case alike in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -54,8 +54,6 @@ class WordEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > REMEMBER:
-            self.words.clear()
         if len(self.parts) > REMEMBER:
             self.parts.clear()
         split = {}
@@ -80,16 +78,40 @@ class WordEncoder:
         for w, ps in split.items():
             self.words[w] = b"".join(map(self.parts.__getitem__, ps))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if _ODD_SPACE.search(text):
-            return self._exact(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn([w for w in set(words) if w not in self.words])
-            return b"".join(map(self.words.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; words new to the list are learnt together."""
+        split = []
+        for t in texts:
+            if _ODD_SPACE.search(t):
+                split.append(None)
+                continue
+            try:  # within Latin-1, lower case depends on no neighbour: fewer different words
+                t.encode("latin-1")
+                t = t.lower()
+            except UnicodeEncodeError:
+                pass
+            split.append(t.split())
+        new = set().union(*(w for w in split if w)).difference(self.words)
+        if new:
+            if len(self.words) + len(new) > REMEMBER:
+                self.words.clear()
+                new = set().union(*(w for w in split if w))
+            self._learn(list(new))
+        get = self.words.__getitem__
+        return [self._exact(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+
+
+def encoded(enc: WordEncoder, texts: list) -> list:
+    """The ids of each text (null: none), learning from a few megabytes at a time."""
+    out, lo = [], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and size < 4 << 20:
+            size += len(texts[hi] or "")
+            hi += 1
+        out += enc.encode([t or "" for t in texts[lo:hi]])
+        lo = hi
+    return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -191,9 +213,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = enc.encode(text.as_py() or "") + tail
-                doc = doc.as_py()
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(enc, batch.column("text").to_pylist()), strict=True):
+                ids += tail
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[lo : lo + 4 * capacity]
                     n = len(one) // 4

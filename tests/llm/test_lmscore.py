@@ -12,7 +12,7 @@ SCHEMA = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType())
 def test_scores_equal_brute_force(spark):
     rows = [(1, "the cat sat on the mat", True, "x"), (2, "the dog ran over the hill", False, "x"), (3, None, True, "x"), (4, "", None, "x"), (None, "the cat", None, None), (2, "the dog ran over the hill", False, "x"), (7, "cat " * 30_000, True, "x")]
     enc = packing.WordEncoder(packing.TOKENIZER)
-    ids = [np.frombuffer(enc.encode(r[1] or ""), "<u4").tolist() for r in rows]
+    ids = [np.frombuffer(enc.encode([r[1] or ""])[0], "<u4").tolist() for r in rows]
     uni, hist, pair = ([Counter(), Counter()] for _ in range(3))
     for r, t in zip(rows, ids):
         for k in (0, 1):

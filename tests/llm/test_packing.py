@@ -73,7 +73,7 @@ def test_ids_equal_the_tokenizer():
     for t in TEXTS:
         want = enc.whole.encode(t or "", add_special_tokens=False).ids
         for _ in range(2):
-            assert np.frombuffer(enc.encode(t or ""), "<u4").tolist() == want
+            assert np.frombuffer(enc.encode([t or ""])[0], "<u4").tolist() == want
 
 
 def test_pack(spark):
