@@ -26,11 +26,13 @@ _DOC = f"cast(cast((place - place % {_SHIFT}BD) / {_SHIFT}BD as decimal(38,0)) -
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, pos, line) of every line that has words."""
-    return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike("\\S"))
+    every = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return every.select("doc", "pos", _words("line").alias("words")).where("words[0] <> ''")
 
 
 def _words(line: str):
-    return F.split(F.trim(F.lower(F.regexp_replace(F.col(line), "\\s+", " "))), " ")
+    """The words of a line in lower case; one empty word if it has none."""
+    return F.split(F.expr(f"trim(both ' \t\r\f\x0b' from lower({line}))"), "[ \t\r\f\x0b]+")
 
 
 def _half(array: str, start: str, n: str, s: str, side: str):
@@ -41,17 +43,19 @@ def _half(array: str, start: str, n: str, s: str, side: str):
 def near_lines(first: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Places of those first occurrences that have a near copy at an earlier place."""
     long_ = first.where(F.col("n") >= LEAST_WORDS - 1)
-    keys = long_.select("place", F.explode("halves").alias("key"))
+    keys = long_.select("place", F.posexplode("halves").alias("side", "key"))
     shared = keys.groupBy("key").count().where("count > 1").select("key")
-    some = keys.join(shared, "key").select("place").distinct()
-    some = some.select("place", F.expr(_DOC).alias("doc"), F.expr(f"cast(place % {_SHIFT}BD as int)").alias("pos"))
-    at = some.groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    text = docs.join(at, "doc").select("doc", F.explode("at").alias("pos"), "text")
-    text = text.select("doc", "pos", F.expr("split(text, '\n')[pos]").alias("line")).where("line is not null")
-    base = stash(text.select(F.expr(_PLACE).alias("place"), F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("w")).dropDuplicates(["place"]), "near_lines")
-
+    some = keys.join(shared, "key").groupBy("place").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
+    some = some.select("first", "last", F.expr(_DOC).alias("doc"), F.expr(f"cast(place % {_SHIFT}BD as int)").alias("pos"))
+    at = some.groupBy("doc").agg(F.collect_list(F.struct("pos", "first", "last")).alias("at"))
+    text = docs.join(at, "doc").select("doc", F.inline("at"), "text")
+    text = text.select("doc", "pos", "first", "last", F.expr("split(text, '\n')[pos]").alias("line")).where("line is not null")
+    base = stash(text.select(F.expr(_PLACE).alias("place"), F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("w"), "first", "last").dropDuplicates(["place"]), "near_lines")
+
+    # where the first half is shared the edit lies behind it, where the last half is, before it
+    edits = "filter(sequence(1, size(w)), i -> (first and i > floor((size(w) - 1) / 2)) or (last and i <= floor(size(w) / 2) + 1))"
     variant = "xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w))))"
-    each = base.where(F.size("w") >= LEAST_WORDS).select("place", "w", F.size("w").alias("n"), F.explode(F.expr("sequence(1, size(w))")).alias("i")).select("place", "n", "i", F.expr(variant).alias("v"))
+    each = base.where(F.size("w") >= LEAST_WORDS).select("place", "w", F.size("w").alias("n"), F.explode(F.expr(edits)).alias("i")).select("place", "n", "i", F.expr(variant).alias("v"))
     rows = each.select("place", F.explode(F.expr("array(struct(xxhash64(v, i, n) as key, 2 as role), struct(xxhash64(v, 'less') as key, 1 as role))")).alias("r")).select("place", "r.key", "r.role")
     rows = rows.unionByName(base.select("place", F.expr("xxhash64(xxhash64(w), 'less')").alias("key"), F.lit(0).alias("role")))
     low = lambda k: F.min(F.when(F.col("role") == k, F.col("place")))
@@ -75,7 +79,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.drop("n_lines", "n_removed", "doc").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
     own = keyed.select("doc", F.col("text").cast("string").alias("text"))
-    lines = _lines(own).select("doc", "pos", F.transform(_words("line"), lambda w: F.xxhash64(w)).alias("w"))
+    lines = _lines(own).select("doc", "pos", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     halves = [
         _half("w", "1", f"floor({s} / 2)", s, "first") if side == "first" else _half("w", f"size(w) - {s} + floor({s} / 2) + 1", f"{s} - floor({s} / 2)", s, "last")
         for s in ("size(w)", "(size(w) - 1)")

@@ -24,7 +24,7 @@ def brute(rows):
             continue
         kept, all_ = [], text.split("\n")
         for line in all_:
-            w = line.lower().split()
+            w = line.lower().split()  # as the operator: ASCII white space
             if not w:
                 kept.append(line)
                 continue
