@@ -23,13 +23,15 @@ START = VOCABULARY - 1
 #: Weight of the unigram model in the bigram model, in counts; and of the uniform in the unigram model.
 MU, UNIFORM = 8.0, 1.0
 CHUNK_BYTES = 4 << 20
+#: Words that a worker remembers.
+REMEMBER = 500_000
 
 
 def _token_chunks(tokenizer: str):
     """Chunks of documents: ids, target flags, numbers of tokens, and the tokens as 16-bit ids."""
 
     def go(batches):
-        enc, k, ids, flags, tokens, size = encoder(tokenizer), 0, [], [], [], 0
+        enc, k, ids, flags, tokens, size = encoder(tokenizer, REMEMBER), 0, [], [], [], 0
 
         def out():
             n = np.array([len(t) for t in tokens], np.int64)

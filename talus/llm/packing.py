@@ -23,19 +23,19 @@ from talus.llm.store import stash
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Words that a worker remembers before it starts anew.
-REMEMBER = 1_800_000
+REMEMBER = 1_500_000
 
 # Words of these characters split alike in every regex engine and lower-case alike in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ÿ]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]|<\\|")
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Token ids of whole texts by a BPE tokenizer that never joins words across white space, with words remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -47,6 +47,7 @@ class WordEncoder:
         self.ends = np.zeros(max(spec["vocab"].values()) + 1, bool)
         for token, i in spec["vocab"].items():
             self.ends[i] = token.endswith(spec["end_of_word_suffix"])
+        self.remember = remember
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -54,7 +55,7 @@ class WordEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.parts) > REMEMBER:
+        if len(self.parts) > self.remember:
             self.parts.clear()
         split = {}
         for w in words:
@@ -93,7 +94,7 @@ class WordEncoder:
             split.append(t.split())
         new = set().union(*(w for w in split if w)).difference(self.words)
         if new:
-            if len(self.words) + len(new) > REMEMBER:
+            if len(self.words) + len(new) > self.remember:
                 self.words.clear()
                 new = set().union(*(w for w in split if w))
             self._learn(list(new))
@@ -114,10 +115,10 @@ def encoded(enc: WordEncoder, texts: list) -> list:
     return out
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, remember: int = REMEMBER) -> WordEncoder:
+    if (path, remember) not in _encoders:
+        _encoders[path, remember] = WordEncoder(path, remember)
+    return _encoders[path, remember]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
