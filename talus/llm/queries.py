@@ -51,7 +51,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    docs = _documents(spark, sf_dir).select("doc_id", "text").join(good, "doc_id", "left")
+    # labels grow with the documents, so this is a shuffled join at every size
+    docs = _documents(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     return lmscore.score(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
