@@ -27,7 +27,8 @@ _DOC = f"cast(cast((place - place % {_SHIFT}BD) / {_SHIFT}BD as decimal(38,0)) -
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, pos, line) of every line that has words."""
     every = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return every.select("doc", "pos", _words("line").alias("words")).where("words[0] <> ''")
+    # a filter on the words themselves would split every line twice
+    return every.where(F.col("line").rlike("[^ \\t\\r\\f\\x0b]")).select("doc", "pos", _words("line").alias("words"))
 
 
 def _words(line: str):
