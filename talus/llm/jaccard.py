@@ -31,6 +31,8 @@ WIDTH = 5
 PERCENT = 75
 #: Keys in more sets than this are not expanded into pairs at once.
 HOT = 8
+#: Owners of a hot key that all others meet before pairs across what is left are made.
+LEADERS = 16
 #: Credit to spare, so that a set may lose some segments to hot keys.
 SPARE = 1.2
 #: Sets up to this size meet by their rarest shingles only.
@@ -386,10 +388,11 @@ def _rarest(nb: int):
     return go
 
 
-def _rare_pairs(table: pa.Table) -> pa.Table:
+def _rare_pairs(star: int, table: pa.Table) -> pa.Table:
     """The pairs of a key's owners that no link joins yet and whose sizes and shingles from the key on allow a link.
 
-    Each owner meets all others that remain, one block at a time, whatever their number.
+    Each owner meets all others that remain, one block at a time, whatever their number. With star, owners of a key that
+    has more than star of them meet LEADERS of them only.
     """
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
     aux = [unpack(x) for x in table.column("aux").to_pylist()]
@@ -399,15 +402,21 @@ def _rare_pairs(table: pa.Table) -> pa.Table:
     for k in np.flatnonzero(np.diff(cut) > 1):
         own = slice(cut[k], cut[k + 1])
         w, at, size, rest = who[own], home[own], n[own], left[own]
-        for x in range(len(w) - 1):
-            y = slice(x + 1, None)
+        some = star and len(w) > star
+        # those with the fewest rarer shingles are nearest to what the group has in common
+        for x in np.lexsort((w, size - rest))[:LEADERS] if some else range(len(w) - 1):
+            y = slice(0 if some else x + 1, None)
             fits = (at[y] != at[x]) & (np.minimum(rest[y], rest[x]) >= -(-PERCENT * (size[y] + size[x]) // (100 + PERCENT)))
             if fits.any():
                 pairs.append(np.stack([np.full(fits.sum(), w[x]), w[y][fits]], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
+    pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _paired(star: int):
+    return lambda table: _rare_pairs(star, table)
+
+
 def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of docs' whole texts; docs needs doc_id and text, other columns are ignored.
 
@@ -432,12 +441,14 @@ def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     links = stash(_links(found.where("slot = -1").select("a", "b").distinct(), sets), "links")
 
     lost = found.where("slot >= 0").groupBy(F.col("a").alias("cid"), "slot").agg(F.sum("b").alias("lost")).groupBy("cid").agg(F.max("lost").alias("lost"))
-    home = components(links).select(F.col("v").alias("cid"), F.col("component").alias("home"))
-    open_ = sets.join(lost, "cid", "left").where("slack < coalesce(lost, 0)").select("cid", "n", "shingles")
-    open_ = open_.join(home, "cid", "left").select("cid", F.coalesce("home", "cid").alias("home"), "shingles")
-    asked = exchange(open_.mapInArrow(_rare_rows(nb), ROW), _frequency, _rarest(nb), ROW)
-    again = asked.groupBy("bucket").applyInArrow(_rare_pairs, "a long, b long").distinct()
-    links = links.unionByName(_links(again, sets))
+    open_ = sets.join(lost, "cid", "left").where("slack < coalesce(lost, 0)").select("cid", "shingles")
+    # stars first: in a large group of near copies they join most owners, and only pairs across what is left meet after that
+    for star in (hot, 0):
+        home = components(links).select(F.col("v").alias("cid"), F.col("component").alias("home"))
+        homed = open_.join(home, "cid", "left").select("cid", F.coalesce("home", "cid").alias("home"), "shingles")
+        asked = exchange(homed.mapInArrow(_rare_rows(nb), ROW), _frequency, _rarest(nb), ROW)
+        again = asked.groupBy("bucket").applyInArrow(_paired(star), "a long, b long").distinct()
+        links = stash(links.unionByName(_links(again, sets)), "links")
     seen = seen.select(F.nullif("doc_id", null_id).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("cid"))
     return seen, links
 
