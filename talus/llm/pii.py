@@ -18,7 +18,7 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3,4}(?: ?\d{1,4})?\b",
-    "secret": r"\b(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}\b|\b(?:sk|pk|ghp|gho|AKIA|xox[bp])[_\-]?[A-Za-z0-9_\-]{16,80}\b",
+    "secret": r"\b(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}\b|\b(?:sk|pk|ghp|gho|AKIA|xox[bp])(?:[_\-]|(?=[A-Za-z0-9_\-]*\d))[A-Za-z0-9_\-]{16,80}\b",
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b|\b\d{2}/\d{2}/\d{4}\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
