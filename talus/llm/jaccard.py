@@ -35,7 +35,7 @@ HOT = 8
 LEADERS = 16
 #: Credit to spare, so that a set may lose some segments to hot keys.
 SPARE = 1.2
-#: Sets up to this size meet by their rarest shingles only.
+#: Sets up to this size index no segments; they, and the larger sets they can link with, meet by their rarest shingles.
 TINY = 8
 
 _ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.binary()), ("keys", pa.binary()), ("aux", pa.binary())])
@@ -247,14 +247,14 @@ def tables_of(n: int):
 
 
 def _class_sets(batches):
-    """Rows (cid, n, shingles, slack) of the classes; slack below zero in either table: credit alone doesn't cover the set."""
+    """Rows (cid, n, shingles, slack) of the classes; slack below zero: credit in either table, or with partners that index no segments, doesn't cover the set."""
     for batch in batches:
         for _, sets in sets_of(batch):
             out = []
             for s in sets:
                 if not len(s):
                     continue
-                slack = [credits(s, 0, slot, *bound, table)[3] for slot, table, bound in tables_of(len(s))] if len(s) > TINY else [-1]
+                slack = [credits(s, 0, slot, *bound, table)[3] for slot, table, bound in tables_of(len(s))] if own_overlap(len(s)) > TINY else [-1]
                 out.append((signature(s)[0], len(s), s.tobytes(), min(slack)))
             yield pa.record_batch({"cid": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int64()), "shingles": pa.array([o[2] for o in out], pa.binary()), "slack": pa.array([o[3] for o in out], pa.int64())})
 

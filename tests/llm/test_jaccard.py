@@ -57,6 +57,17 @@ def test_components_equal_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_links_across_the_tiny_bound(spark):
+    r, rows = random.Random(3), []
+    for _ in range(20):
+        for short, more in ((12, 1), (12, 2), (11, 2), (13, 1)):
+            base = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(short + more)]
+            rows += [(len(rows), " ".join(base), "x"), (len(rows) + 1, " ".join(base[:short]), "x")]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+    assert all(i % 2 == 0 or c == i - 1 for i, (_, c) in got.items())
+
+
 def test_first_of_groups(spark):
     text = "the quick brown fox jumps over the lazy dog and runs far away from it all"
     rows = [(4, text, "a"), (2, text.upper(), "b"), (9, None, "c"), (9, None, "c"), (1, "other", None)]
