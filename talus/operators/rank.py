@@ -64,6 +64,25 @@ def within_budget(df: DataFrame, cost: Column, budget: int, *order: Column) -> D
     return df.withColumn("spent", F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("spent") <= budget)
 
 
+def running_sum(df: DataFrame, value: str, key: str) -> DataFrame:
+    """df with total: the sum of value over the rows up to each in order of a numeric key without repeats, null last.
+
+    Rows are dealt by ranges of the key; only each range's sum comes to the driver, so no task sees all rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(key, [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    below = F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col(key))
+    dealt = df.withColumn("range_", F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(F.size(below)))
+    start, at = [], 0
+    for r in sorted(dealt.groupBy("range_").agg(F.sum(value).alias("s")).collect()):
+        start.append((r["range_"], at))
+        at += r["s"] or 0
+    start = df.sparkSession.createDataFrame(start, "range_ int, start long")
+    w = Window.partitionBy("range_").orderBy(F.col(key).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn("total", F.sum(value).over(w)).join(F.broadcast(start), "range_")
+    return summed.withColumn("total", F.col("total") + F.col("start")).drop("range_", "start")
+
+
 def mmr(pool: DataFrame, k: int, weight: float = 0.75) -> DataFrame:
     """Maximal marginal relevance for each query: pool (query_id, id, score 0..100, vector) -> query_id, id, rank.
 

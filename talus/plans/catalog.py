@@ -425,6 +425,13 @@ def G4_rotation(t):
     return e.select(F.floor(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) / 100).alias("account"), "k", "n")
 
 
+@query("select cast(floor(sum(n) over (order by k nulls last rows unbounded preceding) / 100) as bigint) as account, k, n from (select user_id as k, count(*) as n from events group by 1)")
+def G4_rotation_all(t):
+    """G4_rotation over every user."""
+    e = t("events").groupBy(C("user_id").alias("k")).agg(F.count("*").alias("n"))
+    return rank.running_sum(e, "n", "k").select(F.floor(C("total") / 100).alias("account"), "k", "n")
+
+
 @query("select event_id from events where event_id not in (select event_id from events where event_id % 3 = 0)")
 def S14_resume(t):
     return unprocessed(t("events").select("event_id"), t("events").where("event_id % 3 = 0"), "event_id")

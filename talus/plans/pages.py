@@ -35,6 +35,12 @@ def V9_page_email(t):
     return t("pages").select("page_id", web.page_email(F.expr(_mailed)).alias("email")).where("page_id % 3 < 2")
 
 
+@query()
+def V9_page_email_all(t):
+    """V9_page_email over every page, with null where a page has no personal address."""
+    return t("pages").select("page_id", web.page_email(F.expr(_mailed)).alias("email"))
+
+
 _cand = f"select page_id as id, {_first} as first, {_last} as last, unnest(['jane.doe@alpha.edu', 'sexample@cs.alpha.edu', 'info@alpha.edu', 'al_li@other.org', 'doe@alpha.edu']) as email, unnest(['mailto', 'regex', 'mailto', 'regex', 'obfuscated']) as method from pages"
 _fit = """case when length(last) > 2 and contains(loc, last) then 0.5 else 0 end + case when length(first) > 2 and contains(loc, first) then 0.3 else 0 end
 + case when contains(loc, first[1] || last) or contains(loc, last || first[1]) or contains(loc, first[1] || '_' || last) or contains(loc, first[1] || '.' || last) or contains(loc, first || '.' || last)
