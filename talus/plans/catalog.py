@@ -199,13 +199,23 @@ def J8_zip(t):
     return a.join(b, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "one", "two")
 
 
-@query("with tok as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark where item_id < 5), post as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select item_id, doc_id, count(*) as hits from tok join post using (w) where length(w) >= 6 group by 1, 2), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h) select * from r where rank <= 10")
-def J12_candidates(t):
+def _candidates(t, asked):
     words = lambda df, i: df.select(i, F.explode(F.array_distinct(text.tokens(C("text"), 6))).alias("w"))
-    hits = words(t("benchmark").where("item_id < 5"), "item_id").join(words(t("documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    hits = words(t("benchmark").where(asked), "item_id").join(words(t("documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     return rank.top_k_by(hits, ["item_id"], 10, C("hits").desc(), C("doc_id"))
 
 
+@query("with tok as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark where item_id < 5), post as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select item_id, doc_id, count(*) as hits from tok join post using (w) where length(w) >= 6 group by 1, 2), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h) select * from r where rank <= 10")
+def J12_candidates(t):
+    return _candidates(t, "item_id < 5")
+
+
+@query("with tok as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark where item_id % 50 = 0), post as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select item_id, doc_id, count(*) as hits from tok join post using (w) where length(w) >= 6 group by 1, 2), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h) select * from r where rank <= 10")
+def J12_candidates_all(t):
+    """J12_candidates for every item whose id is divisible by 50."""
+    return _candidates(t, "item_id % 50 = 0")
+
+
 @query("select c_custkey, coalesce(o.n, 0) as orders, coalesce(e.n, 0) as events from customer left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey = c_custkey left join (select user_id, count(*) as n from events group by 1) e on user_id = c_custkey")
 def A11_counts(t):
     """Children are counted before the join, so they don't multiply each other."""
@@ -328,6 +338,13 @@ def M2_overlap(t):
     return match.overlap(w.where("id < 3"), w).select("query_id", "id", F.round("overlap", 4).alias("overlap"))
 
 
+@query(_terms_sql + ", a as (select sum(weight) as all_, id from terms where id % 50 = 0 group by id), o as (select q.id as query_id, e.id, sum(q.weight * least(1.0, e.weight)) as s from terms q join terms e using (term) where q.id % 50 = 0 group by 1, 2) select query_id, o.id, round(least(1.0, s / all_), 4) as overlap from o join a on a.id = query_id")
+def M2_overlap_all(t):
+    """M2_overlap for every item whose id is divisible by 50."""
+    w = match.weighted_terms(t("benchmark").select(C("item_id").alias("id"), "text"), PHRASES, ONTOLOGY)
+    return match.overlap(w.where("id % 50 = 0"), w).select("query_id", "id", F.round("overlap", 4).alias("overlap"))
+
+
 @query("select p_partkey, least(50.0, (contains(lower(p_name), 'steel')::int + contains(lower(p_type), 'small')::int) / 2.0 * 50) + case when p_size between 15 and 150 then 20 when p_size < 15 then 10 else 15 end + case when p_retailprice > 1000 then 15 else 0 end + least(15, 10 + case when p_size % 2 = 0 then 3 else 0 end + 2) as score from part")
 def M13_five_question(t):
     hits = F.contains(F.lower("p_name"), L("steel")).cast("int") + F.contains(F.lower("p_type"), L("small")).cast("int")
@@ -382,6 +399,26 @@ def W9_mmr(t):
     return rank.mmr(rank.top_k_by(s, ["query_id"], 50, C("score").desc(), C("id")), 10)
 
 
+def _searched(t):
+    """Every vector whose id is divisible by 50 beside all others, block by block of both: neither side is sent whole to a task."""
+    q = t("embeddings").where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("a"))
+    both = t("embeddings").join(q.hint("shuffle_replicate_nl"), C("vec_id") != C("query_id"))
+    return both.select("query_id", "vec_id", F.round(text.cosine(C("a"), C("embedding")), 5).alias("cosine"), "embedding")
+
+
+@query("with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(a, embedding::double[]), 5) as cosine from q, embeddings where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select * from r where rank <= 10")
+def T29_cosine_topk_all(t):
+    """T29_cosine_topk for every vector whose id is divisible by 50."""
+    return rank.top_k_by(_searched(t).drop("embedding"), ["query_id"], 10, C("cosine").desc(), C("vec_id"))
+
+
+@query()
+def W9_mmr_all(t):
+    """W9_mmr for every vector whose id is divisible by 50."""
+    s = _searched(t).select("query_id", C("vec_id").alias("id"), (C("cosine") * 100).alias("score"), C("embedding").alias("vector"))
+    return rank.mmr(rank.top_k_by(s, ["query_id"], 50, C("score").desc(), C("id")), 10)
+
+
 @query("with r as (select s_suppkey, case when s_acctbal >= 4000 then 3 else 1 end as cost, sum(case when s_acctbal >= 4000 then 3 else 1 end) over (order by s_acctbal desc, s_suppkey rows unbounded preceding) as spent from supplier) select s_suppkey, cost, spent from r where spent <= 60")
 def W11_budget(t):
     cost = F.when(C("s_acctbal") >= 4000, 3).otherwise(1)
