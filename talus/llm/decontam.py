@@ -1,30 +1,34 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window that passes the verification (weighted Jaccard of five-word shingles of 0.75 or more) shares a shingle with its
-item, so only windows aligned with a shared shingle are fingerprinted. Fingerprints of windows and items are compared by
-four 16-bit blocks: at most RADIUS differing bits leave some block with at most RADIUS // 4, and every value that near to a
-window's block is looked up, so no pair within the radius is missed.
+A window passes when its set of five-word shingles and the item's have a weighted Jaccard of LEAST or more. Such a window
+holds a shingle of the item, and its document holds shingles of at least LEAST of the item's weight: so every window of the
+item's size around a shared shingle is fingerprinted, at every shift, and no others. Fingerprints of windows and items are
+compared by four 16-bit blocks: at most RADIUS differing bits leave some block with at most RADIUS // 4, and all values that
+near to a window's block are looked up, so no pair within the radius is missed.
+
+A shingle of an item weighs log(1 + items / items that have it), counted over all items; one that the item lacks weighs as
+much as one that a single item has.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import words as W
+from talus.llm import worker
+from talus.llm.store import fresh, numbered, stash
 
 U64 = np.uint64
 WIDTH = 5
 LEAST = 0.75
-RADIUS = 16
+RADIUS = 20
 #: Text bytes of the items that are held in each task at once; larger benchmarks are taken block by block.
 BLOCK_BYTES = 4 << 20
-
-_NEAR = np.array(sorted(sum(1 << b for b in c) for k in range(RADIUS // 4 + 1) for c in combinations(range(16), k)), np.uint16)
+#: Words whose windows are fingerprinted at once.
+RUN = 1 << 14
 
 
 def fingerprints(word_hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -37,95 +41,143 @@ def fingerprints(word_hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> n
 
 
 class Items:
-    """A block of benchmark items: shingles with weights, and fingerprints indexed by four blocks of bits."""
+    """A block of benchmark items: shingles with weights, and fingerprints indexed by four blocks of bits.
 
-    def __init__(self, ids: list, texts: list):
+    total: the number of items of all blocks. shared: how many of these have each of some shingles, if more than one.
+    """
+
+    def __init__(self, ids: list, texts: list, total: int | None = None, shared: dict[int, int] | None = None):
         data, at = W.text_buffers(pa.array(texts, pa.string()))
         self.words, self.bounds = W.word_hashes(data, at)
         shingles, cut = W.shingle_hashes(self.words, self.bounds, WIDTH)
         self.ids, self.n = ids, np.diff(self.bounds)
         self.sets = [np.unique(shingles[cut[i] : cut[i + 1]]) for i in range(len(ids))]
         owner = np.repeat(np.arange(len(ids)), np.diff(cut))
-        offset = np.arange(len(shingles)) - np.repeat(cut[:-1], np.diff(cut))
         order = np.argsort(shingles, kind="stable")
-        self.keys, self.owner, self.offset = shingles[order], owner[order], offset[order]
+        self.keys, self.owner = shingles[order], owner[order]
         self.known, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]), return_counts=True)
-        self.weights = np.log1p(len(ids) / count) if len(ids) else np.zeros(0)
-        self.rest = float(np.log1p(len(ids)))
+        if shared is not None:
+            count = np.array([shared.get(int(s), 1) for s in self.known.view(np.int64)], np.int64)
+        total = len(ids) if total is None else total
+        weights = np.log1p(total / np.maximum(count, 1))
+        self.rest = float(np.log1p(total))
+        self.weights = [weights[np.searchsorted(self.known, s)] for s in self.sets]
+        self.whole = np.array([w.sum() for w in self.weights])
         self.bloom = np.zeros(1 << 20, bool)
         self.bloom[(self.keys & U64((1 << 20) - 1)).astype(np.int64)] = True
         self.short = sorted({int(x) for x in self.n if 0 < x < WIDTH})
         self.prints = fingerprints(self.words, self.bounds[:-1], self.n) if len(self.words) else np.zeros(len(ids), np.uint64)
         halves = self.prints.astype("<u8").view("<u2").reshape(-1, 4)
-        self.index = []
+        self.index = []  # for each block of bits: its values, and the items that have each
         for b in range(4):
-            o = np.argsort(halves[:, b], kind="stable")
-            self.index.append((halves[o, b], o))
+            order = np.argsort(halves[:, b], kind="stable")
+            values, first = np.unique(halves[order, b], return_index=True)
+            self.index.append((values, np.split(order, first[1:])))
+        self.found: list[dict[int, np.ndarray]] = [{}, {}, {}, {}]
+
+    def _near_block(self, b: int, value: int) -> np.ndarray:
+        """The items whose block b differs from value in at most RADIUS // 4 bits; each value is looked up once."""
+        got = self.found[b].get(value)
+        if got is None:
+            values, items = self.index[b]
+            some = np.flatnonzero(np.bitwise_count(values ^ np.uint16(value)) <= RADIUS // 4)
+            got = self.found[b][value] = np.concatenate([np.zeros(0, np.int64), *[items[k] for k in some]])
+        return got
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs of fingerprints within RADIUS."""
         halves = prints.astype("<u8").view("<u2").reshape(-1, 4)
-        found = []
-        for b, (values, items) in enumerate(self.index):
-            ask = halves[:, b][:, None] ^ _NEAR[None, :]
-            lo, hi = np.searchsorted(values, ask, "left"), np.searchsorted(values, ask, "right")
-            w, k = np.nonzero(hi > lo)
-            for x, i, j in zip(w.tolist(), lo[w, k].tolist(), hi[w, k].tolist(), strict=True):
-                found.append(np.stack([np.full(j - i, x), items[i:j]], 1))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.concatenate(found), axis=0)
-        pairs = pairs[np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]) <= RADIUS]
+        window, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in range(4):
+            for x, value in enumerate(halves[:, b].tolist()):
+                got = self._near_block(b, value)
+                window.append(np.full(len(got), x))
+                item.append(got)
+        window, item = np.concatenate(window), np.concatenate(item)
+        on = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+        pairs = np.unique(np.stack([window[on], item[on]], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
-    def weight(self, s: np.ndarray) -> float:
-        if not len(self.known):
-            return 0.0
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return float(np.where(self.known[at] == s, self.weights[at], self.rest).sum())
-
     def likeness(self, s: np.ndarray, item: int) -> float:
-        """Weighted Jaccard of a set of shingles with an item's; a shingle weighs less the more items have it."""
-        both = self.weight(np.intersect1d(s, self.sets[item], assume_unique=True))
-        return both / (self.weight(s) + self.weight(self.sets[item]) - both)
+        """Weighted Jaccard of a set of shingles with an item's."""
+        own = np.isin(self.sets[item], s, assume_unique=True)
+        return float(self.weights[item][own].sum() / (self.whole[item] + self.rest * (len(s) - own.sum())))
 
-    def scan(self, words: np.ndarray, shingles: np.ndarray) -> dict[int, tuple[float, int]]:
-        """item -> (likeness, first word) of the best window of a document of at least WIDTH words."""
+    def windows(self, words: int, shingles: np.ndarray) -> np.ndarray:
+        """(start, end) of the windows of a document that can pass, without repeats and in order."""
         hit = np.flatnonzero(self.bloom[(shingles & U64((1 << 20) - 1)).astype(np.int64)])
         hit = hit[np.isin(shingles[hit], self.known)]
-        out: dict[int, tuple[float, int]] = {}
-        if not len(hit):
-            return out
         lo, hi = np.searchsorted(self.keys, shingles[hit], "left"), np.searchsorted(self.keys, shingles[hit], "right")
         n = hi - lo
-        take = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-        start = np.repeat(hit, n) - self.offset[take]
-        size = self.n[self.owner[take]]
-        start = np.clip(start, 0, np.maximum(0, len(words) - size))
-        end = np.minimum(start + size, len(words))
-        window = np.unique(np.stack([start, end], 1), axis=0)
-        for part in range(0, len(window), 256):
-            w = window[part : part + 256]
-            first, last = int(w[:, 0].min()), int(w[:, 1].max())
+        item = self.owner[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        place = np.repeat(hit, n)
+        out = [np.zeros((0, 2), np.int64)]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        cut = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]])) if len(item) else np.zeros(1, np.int64)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            k = int(item[a])
+            own = np.isin(self.sets[k], shingles[place[a:b]])
+            if self.weights[k][own].sum() < (LEAST - 1e-9) * self.whole[k]:
+                continue
+            size, last = int(self.n[k]), max(0, words - int(self.n[k]))
+            first = np.clip(np.unique(place[a:b]) - (size - WIDTH), 0, last)
+            upto = np.minimum(np.unique(place[a:b]), last)
+            edge = np.zeros(last + 2, np.int32)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, upto + 1, -1)
+            start = np.flatnonzero(np.cumsum(edge) > 0)
+            out.append(np.stack([start, np.minimum(start + size, words)], 1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def scan(self, words: np.ndarray, shingles: np.ndarray) -> dict[int, tuple[float, int]]:
+        """item -> (likeness, first word) of the best window of a document of at least WIDTH words."""
+        out: dict[int, tuple[float, int]] = {}
+        window = self.windows(len(words), shingles)
+        lo = 0
+        while lo < len(window):
+            first = int(window[lo, 0])
+            hi = max(lo + 1, min(lo + 1024, int(np.searchsorted(window[:, 0], first + RUN, "right"))))
+            w = window[lo:hi]
+            lo = hi
+            last = int(w[:, 1].max())
             prints = fingerprints(words[first:last], w[:, 0] - first, w[:, 1] - w[:, 0])
             for x, item in zip(*self.near(prints), strict=True):
                 a, b = w[x]
-                s = np.unique(shingles[a : max(a + 1, b - WIDTH + 1)])
-                got = self.likeness(s, int(item))
+                got = self.likeness(np.unique(shingles[a : max(a + 1, b - WIDTH + 1)]), int(item))
                 if got >= LEAST - 1e-9 and got > out.get(int(item), (0.0, 0))[0]:
                     out[int(item)] = (got, int(a))
         return out
 
 
+def _shared(items: DataFrame) -> DataFrame:
+    """(s, n): the shingles that several items have, and how many."""
+
+    def go(batches):
+        for batch in batches:
+            data, at = W.text_buffers(batch.column("text"))
+            shingles, cut = W.shingle_hashes(*W.word_hashes(data, at), WIDTH)
+            sets = [np.unique(shingles[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.record_batch({"s": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)})
+
+    return items.select("text").mapInArrow(go, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def _blocks(benchmark: DataFrame):
-    """Blocks of (ids, texts) of items that have words, each of bounded size."""
+    """Blocks of items that have text, each of bounded size; weights are counted over all of them."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
+    size, total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n = -(-size // BLOCK_BYTES)
+    shared = stash(_shared(items), "shared") if n > 1 else None
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
+        if n == 1:
+            yield Items(ids, texts)
+        else:
+            known = items.sparkSession.createDataFrame(pa.table({"s": Items(ids, texts).known.view(np.int64)}))
+            yield Items(ids, texts, total, {r["s"]: r["n"] for r in shared.join(known, "s", "left_semi").collect()})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -133,13 +185,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs and benchmark need doc_id or item_id and text; other columns are ignored. Whole texts are searched, in any ASCII
     case and white space. Items of fewer than five words must occur word for word. Null and empty texts on either side match
-    nothing; of equal windows the first counts; repeated documents give one row for each item; empty tables give no rows.
+    nothing; of equal windows the first counts; rows that share a doc_id count as one document; empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _blocks(benchmark):
 
         def go(batches, items=items):
+            worker.claim("shingles")
             for batch in batches:
                 data, at = W.text_buffers(batch.column("text"))
                 ids = batch.column("doc_id").to_pylist()
@@ -172,6 +225,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item; all columns stay."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs that hold no benchmark item; all columns stay. Rows that share a doc_id are documents of their own."""
+    row = fresh(docs, "_row")
+    rows, _ = numbered(docs, row)
+    bad = leaks(rows.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*docs.columns)

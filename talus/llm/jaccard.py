@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm import words as W
+from talus.llm import worker
 from talus.llm.graph import components
-from talus.llm.store import parts, stash
+from talus.llm.store import NO_ID, buckets, fresh, numbered, stash
 
 U64 = np.uint64
 WIDTH = 5
@@ -37,6 +38,8 @@ LEADERS = 16
 SPARE = 1.2
 #: Sets up to this size index no segments; they, and the larger sets they can link with, meet by their rarest shingles.
 TINY = 8
+#: Text bytes whose keys one bucket takes, about.
+BUCKET_BYTES = 8 << 20
 
 _ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.binary()), ("keys", pa.binary()), ("aux", pa.binary())])
 ROW = "bucket int, chunk long, head binary, keys binary, aux binary"
@@ -173,6 +176,7 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 def _filter_rows(nb: int):
     def go(batches):
+        worker.claim("shingles")
         k = 0
         for batch in batches:
             for ids, sets in sets_of(batch):
@@ -215,10 +219,10 @@ def _classify(head: bytes, resp: list) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": h["ids"], "n": h["n"], "sig": h["sig"][:, 0].copy(), "sig2": h["sig"][:, 1].copy(), "may": (h["n"] > 0) & (got >= h["need"])})
 
 
-def credits(s: np.ndarray, cid: int, slot: int, lo: int, mid: int, hi: int, table: int):
+def credits(s: np.ndarray, slot: int, lo: int, mid: int, hi: int, table: int):
     """(keys, credit each key's segment gives, slack): what a set indexes in one table, and by how much its credit exceeds the need."""
     m, q = segments(lo, mid, hi)
-    h = W.mix(s ^ U64(0x8CB92BA72F3D8DD7) * U64(2 * table + 1))
+    h = W.mix(s ^ U64(0x8CB92BA72F3D8DD7 * (2 * table + 1) % (1 << 64)))
     seg = (h >> U64(20)) % U64(m)
     part = W.mix(h + U64(0x632BE59BD9B4E019))
     size = np.bincount(seg.astype(np.int64), minlength=m)
@@ -247,15 +251,14 @@ def tables_of(n: int):
 
 
 def _class_sets(batches):
-    """Rows (cid, n, shingles, slack) of the classes; slack below zero: credit in either table, or with partners that index no segments, doesn't cover the set."""
+    """Rows (cid, n, shingles, slack) of classes named in doc_id; slack below zero: credit in either table, or with partners that index no segments, doesn't cover the set."""
+    worker.claim("shingles")
     for batch in batches:
-        for _, sets in sets_of(batch):
+        for ids, sets in sets_of(batch):
             out = []
-            for s in sets:
-                if not len(s):
-                    continue
-                slack = [credits(s, 0, slot, *bound, table)[3] for slot, table, bound in tables_of(len(s))] if own_overlap(len(s)) > TINY else [-1]
-                out.append((signature(s)[0], len(s), s.tobytes(), min(slack)))
+            for cid, s in zip(ids.tolist(), sets, strict=True):
+                slack = [credits(s, slot, *bound, table)[3] for slot, table, bound in tables_of(len(s))] if own_overlap(len(s)) > TINY else [-1]
+                out.append((cid, len(s), s.tobytes(), min(slack)))
             yield pa.record_batch({"cid": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int64()), "shingles": pa.array([o[2] for o in out], pa.binary()), "slack": pa.array([o[3] for o in out], pa.int64())})
 
 
@@ -270,7 +273,7 @@ def _segment_rows(nb: int):
                     continue
                 s = np.frombuffer(blob, np.uint64)
                 for slot, table, bound in tables_of(n):
-                    got, seg, credit, _ = credits(s, cid, slot, *bound, table)
+                    got, seg, credit, _ = credits(s, slot, *bound, table)
                     keys.append(got)
                     who.append(np.full(len(got), cid, np.int64))
                     room.append(credit[seg].astype(np.int8) + np.int8(10 * slot))
@@ -417,25 +420,21 @@ def _paired(star: int):
     return lambda table: _rare_pairs(star, table)
 
 
-def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(documents, links) of docs' whole texts; docs needs doc_id and text, other columns are ignored.
+def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, links) of docs' whole texts (doc_id, text), whose doc_ids are long, not null and do not repeat.
 
-    documents: doc_id, n_shingles, cid for each row (repeated rows stay repeated); cid names the class of equal sets, null
-    for a text without words, null text included. links: (a, b) pairs of classes that link, enough for the components of all
-    links. Ties have no effect; an empty table gives empty results; a null doc_id is kept. hot: keys in more sets are not
-    expanded at once; it changes the work, not the result.
+    documents: doc_id, n, sig, sig2, may for each row. classes: sig, sig2, n, doc_id (the least), cid for each class of equal
+    sets that can have links; two 64-bit sums and the size tell sets apart, and cid is a number of its own. links: (a, b)
+    pairs of classes that link, enough for the components of all links. hot: keys in more sets are not expanded at once; it
+    changes the work, not the result.
     """
-    spark = docs.sparkSession
-    nb = 2 * parts(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    null_id = F.lit(-(2**63)).cast("long")
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", null_id))
-
+    nb = 2 * buckets(docs, 2 * BUCKET_BYTES)
     sent = docs.mapInArrow(_filter_rows(nb), ROW)
     seen = stash(exchange(sent, _shared, _classify, "doc_id long, n long, sig long, sig2 long, may boolean"), "sets")
     reps = seen.where("may").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("doc_id"))
-    sets = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_class_sets, "cid long, n long, shingles binary, slack long")
-    sets = stash(sets.dropDuplicates(["cid"]), "classes")
+    reps = stash(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    sets = docs.join(reps.select("doc_id", "cid"), "doc_id").select(F.col("cid").alias("doc_id"), "text")
+    sets = stash(sets.mapInArrow(_class_sets, "cid long, n long, shingles binary, slack long"), "shingles")
 
     found = stash(sets.mapInArrow(_segment_rows(nb), ROW).groupBy("bucket").applyInArrow(lambda t: _segment_pairs(t, hot), "a long, b long, slot int"), "candidates")
     links = stash(_links(found.where("slot = -1").select("a", "b").distinct(), sets), "links")
@@ -449,26 +448,44 @@ def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
         asked = exchange(homed.mapInArrow(_rare_rows(nb), ROW), _frequency, _rarest(nb), ROW)
         again = asked.groupBy("bucket").applyInArrow(_paired(star), "a long, b long").distinct()
         links = stash(links.unionByName(_links(again, sets)), "links")
-    seen = seen.select(F.nullif("doc_id", null_id).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("cid"))
-    return seen, links
+    return seen, reps, links
+
+
+def _groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id of docs as shingle_links takes them."""
+    seen, reps, links = shingle_links(docs, hot)
+    comp = components(links).withColumnRenamed("v", "cid")
+    classes = reps.join(comp, "cid", "left").select("sig", "sig2", "n", F.col("doc_id").alias("low"), F.coalesce("component", "cid").alias("component"))
+    classes = stash(classes, "low")
+    low = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = classes.join(low, "component").select("sig", "sig2", "n", "component_id")
+    return seen.join(named, ["sig", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: the least doc_id that links reach, a document's own included.
 
-    A text without words (null, empty, white space) has no shingles and its own doc_id as component. Repeated rows are
-    repeated. See shingle_links for what else is defined.
+    docs needs doc_id and text; other columns are ignored. A text without words (null, empty, white space) has no shingles
+    and its own doc_id as component. Rows that share a doc_id are documents of their own, and repeated rows are repeated; a
+    null doc_id is the least of all. Ties have no effect; an empty table gives no rows.
     """
-    seen, links = shingle_links(docs, hot)
-    comp = components(links)
-    classes = seen.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
-    classes = stash(classes.join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("cid", "low", F.coalesce("component", "cid").alias("component")), "low")
-    low = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    return seen.join(classes.join(low, "component").select("cid", "component_id"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows_, own = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")), "row")
+    got = _groups(rows_.select(F.col("row").alias("doc_id"), "text"), hot)
+    if own:
+        null = lambda c: F.nullif(F.col(c), F.lit(NO_ID).cast("long")).alias(c)
+        return got.select(null("doc_id"), "n_shingles", null("component_id"))
+    ids = rows_.select("row", F.expr("try_cast(doc_id as bigint)").alias("id"))
+    one, all_ = ids.toDF("doc_id", "one"), ids.toDF("component_id", "all_")
+    return got.join(one, "doc_id").join(all_, "component_id").select(F.col("one").alias("doc_id"), "n_shingles", F.col("all_").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its near-duplicate group, each once; all columns stay."""
-    keep = near_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    rows_ = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return rows_.dropDuplicates(["doc_id"])
+    """One row of docs of each near-duplicate group, that with the least doc_id (null first, then by hash of text); all columns stay.
+
+    Rows that share a doc_id are documents of their own. All rows whose text has no words stay.
+    """
+    row = fresh(docs, "_row")
+    rows_, _ = numbered(docs, row)
+    got = _groups(rows_.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")))
+    keep = got.where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return rows_.join(keep, row, "left_semi").select(*docs.columns)

@@ -1,7 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is its words in lower case. Lines with equal words are copies; lines of at least LEAST_WORDS words are near copies
-when one word inserted, deleted or replaced makes them equal. Of copies and near copies the earliest stays.
+A line is its words in lower case. Lines with equal words are copies. Two lines are near copies when one word inserted,
+deleted or replaced makes them equal and that is at most one word in SHARE of the longer line's: an edit bound of
+floor(words / SHARE), at most one. Of copies and near copies the earliest stays.
 
 Near copies are found by keys: every line emits a hash of each of its variants with one word deleted (with the place and the
 length, so that lines which differ in that word meet), and of itself (so that it meets the lines that have one word more).
@@ -14,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.store import stash
+from talus.llm.store import fresh, numbered, stash
 
-#: Shorter lines have exact copies only.
-LEAST_WORDS = 8
+#: One edit makes near copies where the longer line has at least so many words.
+SHARE = 8
 
 _SHIFT = "4294967296"
 _PLACE = f"((cast(doc as decimal(20,0)) + 9223372036854775808BD) * {_SHIFT}BD + pos)"
@@ -43,7 +44,7 @@ def _half(array: str, start: str, n: str, s: str, side: str):
 
 def near_lines(first: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Places of those first occurrences that have a near copy at an earlier place."""
-    long_ = first.where(F.col("n") >= LEAST_WORDS - 1)
+    long_ = first.where(F.col("n") >= SHARE - 1)
     keys = long_.select("place", F.posexplode("halves").alias("side", "key"))
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     some = keys.join(shared, "key").groupBy("place").agg(F.max(F.col("side") % 2 == 0).alias("first"), F.max(F.col("side") % 2 == 1).alias("last"))
@@ -56,7 +57,7 @@ def near_lines(first: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame
     # where the first half is shared the edit lies behind it, where the last half is, before it
     edits = "filter(sequence(1, size(w)), i -> (first and i > floor((size(w) - 1) / 2)) or (last and i <= floor(size(w) / 2) + 1))"
     variant = "xxhash64(concat(slice(w, 1, i - 1), slice(w, i + 1, size(w))))"
-    each = base.where(F.size("w") >= LEAST_WORDS).select("place", "w", F.size("w").alias("n"), F.explode(F.expr(edits)).alias("i")).select("place", "n", "i", F.expr(variant).alias("v"))
+    each = base.where(F.size("w") >= SHARE).select("place", "w", F.size("w").alias("n"), F.explode(F.expr(edits)).alias("i")).select("place", "n", "i", F.expr(variant).alias("v"))
     rows = each.select("place", F.explode(F.expr("array(struct(xxhash64(v, i, n) as key, 2 as role), struct(xxhash64(v, 'less') as key, 1 as role))")).alias("r")).select("place", "r.key", "r.role")
     rows = rows.unionByName(base.select("place", F.expr("xxhash64(xxhash64(w), 'less')").alias("key"), F.lit(0).alias("role")))
     low = lambda k: F.min(F.when(F.col("role") == k, F.col("place")))
@@ -73,13 +74,15 @@ def near_lines(first: DataFrame, docs: DataFrame, lines: DataFrame) -> DataFrame
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with text rebuilt from the lines that stay, and n_lines and n_removed; needs doc_id and text, all columns stay.
 
-    Order is by doc_id (null first), then by line. A line goes when an earlier line is its copy or near copy, whether that
-    one itself stays or not. Lines without words stay where they are. Null text stays null with no lines; a text whose
-    lines all go is empty. Rows with one doc_id are taken as one document and keep or lose the same places. An empty table
-    gives no rows. Columns named n_lines, n_removed give way.
+    Order is by doc_id (null first; rows that share one by hash of text), then by line. A line goes when an earlier line is
+    its copy or near copy, whether that one itself stays or not. Lines without words stay where they are. Null text stays
+    null with no lines; a text whose lines all go is empty. Rows with one doc_id, or none, are documents of their own: a
+    repeated row loses all its lines that have words. An empty table gives no rows. Columns named n_lines, n_removed give way.
     """
-    keyed = docs.drop("n_lines", "n_removed", "doc").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
-    own = keyed.select("doc", F.col("text").cast("string").alias("text"))
+    kept = docs.drop("n_lines", "n_removed")
+    doc, gone, split = (fresh(kept, c) for c in ("_doc", "_gone", "_all"))
+    keyed, _ = numbered(kept, doc)
+    own = keyed.select(F.col(doc).alias("doc"), F.col("text").cast("string").alias("text"))
     lines = _lines(own).select("doc", "pos", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
     halves = [
         _half("w", "1", f"floor({s} / 2)", s, "first") if side == "first" else _half("w", f"size(w) - {s} + floor({s} / 2) + 1", f"{s} - floor({s} / 2)", s, "last")
@@ -87,8 +90,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         for side in ("first", "last")
     ]
     found = lines.select(
-        F.expr(_PLACE).alias("place"), "doc", "pos", F.xxhash64("w").alias("h1"), F.expr("xxhash64(reverse(w), 'other')").alias("h2"), F.size("w").alias("n"),
-        F.expr(f"if(size(w) >= {LEAST_WORDS - 1}, array({', '.join(halves)}), null)").alias("halves"),
+        F.expr(_PLACE).alias("place"), "doc", "pos", F.xxhash64("w").alias("h1"), F.expr("xxhash64('other', w)").alias("h2"), F.size("w").alias("n"),
+        F.expr(f"if(size(w) >= {SHARE - 1}, array({', '.join(halves)}), null)").alias("halves"),
     )
     found = stash(found, "lines")
     groups = found.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("c"))
@@ -98,7 +101,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     lost = lost.unionByName(near_lines(first, own, found)).select(
         F.expr(_DOC).alias("doc"), F.expr(f"cast(place % {_SHIFT}BD as int)").alias("pos")
     )
-    lost = lost.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    out = keyed.join(lost, "doc", "left").withColumn("all_lines", F.split(F.col("text").cast("string"), "\n"))
-    text = F.when(F.col("gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.expr("filter(all_lines, (x, k) -> not array_contains(gone, k))"), "\n"))
-    return out.withColumns({"text": text, "n_lines": F.coalesce(F.size("all_lines"), F.lit(0)), "n_removed": F.coalesce(F.expr("size(filter(gone, k -> k < size(all_lines)))"), F.lit(0))}).select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    lost = lost.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(gone))
+    out = keyed.join(lost, doc, "left").withColumn(split, F.split(F.col("text").cast("string"), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.expr(f"filter({split}, (x, k) -> not array_contains({gone}, k))"), "\n"))
+    sizes = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_removed": F.coalesce(F.size(gone), F.lit(0))}
+    return out.withColumns({"text": text, **sizes}).select(*kept.columns, "n_lines", "n_removed")

@@ -14,22 +14,36 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.llm import worker
 from talus.llm.store import stash
 
 CAPACITY = 2048
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-#: Words that a worker remembers before it starts anew.
-REMEMBER = 1_500_000
+#: The tokenizer's file, and the words that a worker remembers: beyond that, those which occur again.
+TOKENIZER = "word_bpe_49k.json"
+REMEMBER = 250_000
+#: Characters that are split and encoded at once.
+AT_ONCE = 2 << 20
 
 # Words of these characters split alike in every regex engine and lower-case alike in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ÿ]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]|<\\|")
-_encoders: dict[tuple[str, int], "WordEncoder"] = {}
+_encoders: dict[str, "WordEncoder"] = {}
+worker.remembers("tokens", _encoders.clear)
+
+
+def tokenizer_path(path: str | None = None) -> str:
+    """A tokenizer's file; without one, that of the public package."""
+    if path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 class WordEncoder:
@@ -55,15 +69,16 @@ class WordEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.parts) > self.remember:
-            self.parts.clear()
         split = {}
         for w in words:
             if _PLAIN.fullmatch(w):
                 split[w] = _PIECE.findall(w.lower())
             else:
                 self.words[w] = self._exact(w)
-        new = list({p for ps in split.values() for p in ps if p not in self.parts})
+        every = {p for ps in split.values() for p in ps}
+        new = list(every.difference(self.parts))
+        if len(self.parts) + len(new) > self.remember:  # what occurs again stays
+            self.parts = {p: self.parts[p] for p in every.intersection(self.parts)}
         for lo in range(0, len(new), 1 << 14):
             part = new[lo : lo + (1 << 14)]
             lines = [" ".join(part[i : i + 512]) for i in range(0, len(part), 512)]
@@ -92,33 +107,32 @@ class WordEncoder:
             except UnicodeEncodeError:
                 pass
             split.append(t.split())
-        new = set().union(*(w for w in split if w)).difference(self.words)
+        every = set().union(*(w for w in split if w))
+        new = every.difference(self.words)
         if new:
-            if len(self.words) + len(new) > self.remember:
-                self.words.clear()
-                new = set().union(*(w for w in split if w))
+            if len(self.words) + len(new) > self.remember:  # what occurs again stays
+                self.words = {w: self.words[w] for w in every.intersection(self.words)}
             self._learn(list(new))
         get = self.words.__getitem__
         return [self._exact(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
 
 
-def encoded(enc: WordEncoder, texts: list) -> list:
-    """The ids of each text (null: none), learning from a few megabytes at a time."""
-    out, lo = [], 0
+def encoded(enc: WordEncoder, texts: pa.Array):
+    """The ids of each text (null: none) in order, learning from a few megabytes at a time."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    lo = 0
     while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and size < 4 << 20:
-            size += len(texts[hi] or "")
-            hi += 1
-        out += enc.encode([t or "" for t in texts[lo:hi]])
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + AT_ONCE, "right")) - 1)
+        yield from enc.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
         lo = hi
-    return out
 
 
-def encoder(path: str, remember: int = REMEMBER) -> WordEncoder:
-    if (path, remember) not in _encoders:
-        _encoders[path, remember] = WordEncoder(path, remember)
-    return _encoders[path, remember]
+def encoder(path: str) -> WordEncoder:
+    worker.claim("tokens")
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -206,15 +220,16 @@ def _slots(bins: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int,
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Each document's pieces: doc_id, piece, start, length, ids_crc32, part, place (its rank in part among equal lengths)."""
+    path = tokenizer_path(tokenizer)
 
     def go(batches):
-        enc, tail = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(enc, batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(enc, batch.column("text")), strict=True):
                 ids += tail
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[lo : lo + 4 * capacity]
@@ -230,7 +245,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     return cols.mapInArrow(go, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text; others ignored).
 
     Null and empty texts are the end token alone. Documents longer than capacity are cut into full pieces and a rest.

@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations, in DataFrame operations only.
 
-Emails, phone, card, social-security and bank numbers, IPv4 addresses, dates and long hexadecimal secrets are found by
-pattern and, where their kind has a rule, validated (check digits, ranges, calendar). A value is permuted within the valid
+Emails, phone, card, social-security and bank account numbers, IPv4 addresses, dates and long secrets are found by pattern
+and, where their kind has a rule, validated (check digits, lengths, ranges, calendar). A value is permuted within the valid
 values of its own format under a secret key: equal values get equal pseudonyms in every document, different values of one
-format get different ones, and nothing else of a text changes.
+format get different ones, and nothing else of a text changes. Of an email the part before the @ changes. Patterns have
+bounded or possessive repeats only, so a text takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -11,14 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = "talus-default-key"
+from talus.llm.store import fresh
+
 ROUNDS = 8
 
+# The length of a bank account number (IBAN) of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_ibans = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
 # The patterns of each kind, in the order they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3,4}(?: ?\d{1,4})?\b",
-    "secret": r"\b(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}\b|\b(?:sk|pk|ghp|gho|AKIA|xox[bp])(?:[_\-]|(?=[A-Za-z0-9_\-]*\d))[A-Za-z0-9_\-]{16,80}\b",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,254}+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,64}[A-Za-z]{2,24}",
+    "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_ibans})\b",
+    "secret": r"\b(?=[a-fA-F]*+\d)(?=\d*+[a-fA-F])[0-9a-fA-F]{32,}+\b|\b(?:sk|pk|ghp|gho|AKIA|xox[bp])(?:[_\-]|(?=[A-Za-z_\-]{0,80}\d))[A-Za-z0-9_\-]{16,}+",
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b|\b\d{2}/\d{2}/\d{4}\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -26,6 +37,8 @@ PATTERNS = {
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
 }
 KINDS = tuple(PATTERNS)
+#: A text without a match of this has no value of any kind.
+MAYBE = r"[0-9@]|(?:sk|pk|ghp|gho|AKIA|xox[bp])[_\-]"
 
 
 def _quoted(pattern: str) -> str:
@@ -60,14 +73,14 @@ def _string(x: str, key: str, name: str, hexadecimal: bool = False) -> str:
     def shift(part: str, other: str, r: int) -> str:
         k = _keyed(other, f"'{name}{r}'", key)
         amount = "cast(conv(substring(z.k, 1 + 2 * (i % 32), 2), 16, 10) as int)"
-        return f"aggregate(array(struct({part} as p, {k} as k)), '', (acc, z) -> array_join(transform(filter(split(z.p, ''), c -> c <> ''), (c, i) -> {_shifted('c', amount, hexadecimal)}), ''))"
+        return f"aggregate(array(struct({part} as p, {k} as k, {part} = upper({part}) and {part} rlike '[A-F]' as u)), '', (acc, z) -> array_join(transform(filter(split(z.p, ''), c -> c <> ''), (c, i) -> {_shifted('c', amount, hexadecimal)}), ''))"
 
     half = f"cast(length({x}) / 2 as int)"
     start = f"named_struct('l', substring({x}, 1, {half}), 'r', substring({x}, {half} + 1))"
     # the round number is part of the keyed value, so one lambda serves all rounds
     left, right = shift("f.l", "concat(j, ':', f.r)", 0), shift("f.r", "concat(j, ':', f.l)", 1)
     if hexadecimal:  # all digits of one case: capital if any is
-        left, right = (e.replace("c between 'A' and 'F'", "(c between 'A' and 'F' or (c between '0' and '9' and z.p = upper(z.p) and z.p rlike '[A-F]'))") for e in (left, right))
+        left, right = (e.replace("c between 'A' and 'F'", "(c between 'A' and 'F' or (z.u and c between '0' and '9'))") for e in (left, right))
     step = f"if(j % 2 = 0, named_struct('l', {left}, 'r', f.r), named_struct('l', f.l, 'r', {right}))"
     return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (f, j) -> {step}, f -> concat(f.l, f.r))"
 
@@ -75,9 +88,9 @@ def _string(x: str, key: str, name: str, hexadecimal: bool = False) -> str:
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
 
 
-def _refill(digits: str) -> str:
-    """m with its digits replaced in order by those of the string expression."""
-    step = "if(c between '0' and '9', named_struct('o', concat(s.o, substring(s.d, 1, 1)), 'd', substring(s.d, 2)), named_struct('o', concat(s.o, c), 'd', s.d))"
+def _refill(digits: str, what: str = "c between '0' and '9'") -> str:
+    """m with its digits, or the characters c that are what, replaced in order by those of the string expression."""
+    step = f"if({what}, named_struct('o', concat(s.o, substring(s.d, 1, 1)), 'd', substring(s.d, 2)), named_struct('o', concat(s.o, c), 'd', s.d))"
     return f"aggregate(filter(split(m, ''), c -> c <> ''), named_struct('o', '', 'd', {digits}), (s, c) -> {step}, s -> s.o)"
 
 
@@ -107,19 +120,22 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
     area = f"(cast(substring({_DIGITS}, 1, 3) as bigint))"
     ssn = f"((({area} - if({area} > 666, 2, 1)) * 99 + cast(substring({_DIGITS}, 4, 2) as bigint) - 1) * 9999 + cast(substring({_DIGITS}, 6) as bigint) - 1)"
     ssn_new = f"aggregate(array({_number(ssn, 88902, 9999, key, 'ssn')}), '', (acc, v) -> concat_ws('-', lpad(cast(v div 989901 + if(v div 989901 >= 665, 2, 1) as string), 3, '0'), lpad(cast((v div 9999) % 99 + 1 as string), 2, '0'), lpad(cast(v % 9999 + 1 as string), 4, '0')))"
-    form = "case when m rlike '^[0-9]{4}-' then 'yyyy-MM-dd' when m like '%.%' then 'dd.MM.yyyy' else 'MM/dd/yyyy' end"
+    form = "case when m rlike '^[0-9]{4}-' then 'yyyy-MM-dd' when m like '%.%' then 'dd.MM.yyyy' when try_to_timestamp(m, 'MM/dd/yyyy') is not null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
     day = f"(datediff(cast(try_to_timestamp(m, {form}) as date), date'1800-01-01'))"
-    date_new = f"date_format(date_add(date'1800-01-01', cast({_number(day, 773, 189, key, 'date')} as int)), {form})"
+    as_date = lambda x: f"date_add(date'1800-01-01', cast({x} as int))"
+    # with slashes, the first number is a day where it is over 12: the permutation goes on until it is again
+    walk = f"aggregate(sequence(1, 64), {_number(day, 773, 189, key, 'date')}, (v, t) -> if(dayofmonth({as_date('v')}) <= 12, {_number('v', 773, 189, key, 'date')}, v))"
+    date_new = f"date_format({as_date(f"if({form} = 'dd/MM/yyyy', {walk}, {_number(day, 773, 189, key, 'date')})")}, {form})"
     iban = "regexp_replace(m, ' ', '')"
-    code = lambda c: f"cast(ascii({c}) - 55 as string)"
-    cc = f"concat({code(f'substring({iban}, 1, 1)')}, {code(f'substring({iban}, 2, 1)')})"
+    digits = lambda x: f"aggregate(filter(split({x}, ''), c -> c <> ''), 0, (t, c) -> if(c between '0' and '9', (t * 10 + cast(c as int)) % 97, (t * 100 + ascii(c) - 55) % 97))"
+    check = lambda b: f"lpad(cast(98 - {digits(f"concat({b}, substring({iban}, 1, 2), '00')")} as string), 2, '0')"
     bban = f"substring({iban}, 5)"
-    iban_ok = f"cast(concat({bban}, {cc}, substring({iban}, 3, 2)) as decimal(38,0)) % 97 = 1"
-    iban_new = f"aggregate(array({_string(bban, key, 'iban')}), '', (acc, b) -> concat(lpad(cast(cast(98 - cast(concat(b, {cc}, '00') as decimal(38,0)) % 97 as int) as string), 2, '0'), b))"
+    iban_ok = f"substring({iban}, 3, 2) = {check(bban)}"
+    iban_new = f"aggregate(array({_string(bban, key, 'iban')}), '', (acc, b) -> concat(substring({iban}, 1, 2), {check('b')}, b))"
     at = "instr(m, '@')"
     return {
         "email": ("true", f"concat({_string(f'substring(m, 1, {at} - 1)', key, 'email')}, substring(m, {at}))"),
-        "iban": (iban_ok, _refill(iban_new)),
+        "iban": (iban_ok, _refill(iban_new, "c <> ' '")),
         "secret": ("true", f"if(m rlike '^[0-9a-fA-F]+$', if(m = lower(m) or m = upper(m), {_string('m', key, 'hex', True)}, {_string('m', key, 'token')}), {_string('m', key, 'token')})"),
         "date": (f"{day} between 0 and 146096", date_new),
         "ip": (f"forall({octets}, o -> o < 256)", ip_new),
@@ -129,21 +145,23 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
     }
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal data in text replaced, and n_private, the number of replaced values; all other columns stay.
 
-    Whole texts are searched. Values that fail their kind's validation stay as they are (a number that no check digit
-    confirms is no card). Null text stays null with 0; texts without such values are unchanged; repeated rows give
-    repeated results; a column n_private gives way; an empty table gives no rows. The key may hold letters, digits and -.
+    Whole texts are searched, of any length and with words of any length. Values that fail their kind's validation stay as
+    they are (a number that no check digit confirms is no card); so does what has over 255 characters before an @. Null text
+    stays null with 0; texts without such values are unchanged; repeated rows give repeated results; a column n_private
+    gives way; an empty table gives no rows. The key is the caller's secret and may hold letters, digits and -.
     """
     if not key or not all(c.isalnum() or c == "-" for c in key):
         raise ValueError("key: letters, digits and - only")
     any_ = _quoted("|".join(f"(?:{p})" for p in PATTERNS.values()))
     kind = "case " + " ".join(f"when m rlike {_quoted(f'^(?:{p})$')} and coalesce({ok}, false) then {new}" for (k, p), (ok, new) in zip(PATTERNS.items(), _rules(key).values(), strict=True)) + " else m end"
-    text = F.col("text").cast("string")
-    out = docs.drop("n_private", "_m", "_new").withColumn("text", text)
-    out = out.withColumn("_m", F.expr(f"if(text rlike '[0-9@]' or text rlike '(?:sk|pk|ghp|gho|xox[bp])[_\\\\-]', regexp_extract_all(text, {any_}, 0), array())"))
-    out = out.withColumn("_new", F.expr(f"transform(_m, m -> {kind})"))
-    rebuilt = f"array_join(zip_with(split(text, {any_}), _new, (a, b) -> concat(coalesce(a, ''), coalesce(b, ''))), '')"
-    n = "size(filter(arrays_zip(_m, _new), z -> z._m <> z._new))"
-    return out.withColumn("n_private", F.expr(f"if(text is null, 0, {n})")).withColumn("text", F.expr(f"if(size(_m) > 0, {rebuilt}, text)")).select(*[c for c in docs.columns if c != "n_private"], "n_private")
+    kept = docs.drop("n_private")
+    m, new = fresh(kept, "_m"), fresh(kept, "_new")
+    out = kept.withColumn("text", F.col("text").cast("string"))
+    out = out.withColumn(m, F.expr(f"if(text rlike {_quoted(MAYBE)}, regexp_extract_all(text, {any_}, 0), array())"))
+    out = out.withColumn(new, F.expr(f"transform({m}, m -> {kind})"))
+    rebuilt = f"array_join(zip_with(split(text, {any_}), {new}, (a, b) -> concat(coalesce(a, ''), coalesce(b, ''))), '')"
+    n = f"size(filter(zip_with({m}, {new}, (a, b) -> a <> b), x -> x))"
+    return out.withColumn("n_private", F.expr(f"if(text is null, 0, {n})")).withColumn("text", F.expr(f"if(size({m}) > 0, {rebuilt}, text)")).select(*kept.columns, "n_private")

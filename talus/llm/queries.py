@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from talus.llm import decontam, html_text, jaccard, langid, lines, lmscore, packing, pii, sharding, spotsigs
 
 
+#: Stands for the secret of spark.talus.key, where that is not set, over the invented documents.
+DEMO_KEY = "invented-documents"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -21,7 +25,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(_documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.pseudonymize(_documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get("spark.talus.key", DEMO_KEY))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +37,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(_documents(spark, sf_dir), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, sf_dir))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +50,10 @@ def op8_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     # labels grow with the documents, so this is a shuffled join at every size
     docs = _documents(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    return lmscore.score(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return lmscore.score(docs)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

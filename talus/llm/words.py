@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from talus.llm import worker
+
 U64 = np.uint64
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -22,6 +24,7 @@ _BYTE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+worker.remembers("shingles", _powers.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +121,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tup
     return out, at
 
 
-def slices(offsets: np.ndarray, most_bytes: int = 8 << 20, most_rows: int = 4096):
+def slices(offsets: np.ndarray, most_bytes: int = 4 << 20, most_rows: int = 4096):
     """Runs of rows (from, to) with at most so many bytes or rows each, one row at least."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

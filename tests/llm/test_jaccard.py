@@ -72,7 +72,16 @@ def test_first_of_groups(spark):
     text = "the quick brown fox jumps over the lazy dog and runs far away from it all"
     rows = [(4, text, "a"), (2, text.upper(), "b"), (9, None, "c"), (9, None, "c"), (1, "other", None)]
     out = jaccard.first_of_groups(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id, r.n) for r in out) == [(1, None), (2, "b"), (9, "c")]
+    assert sorted((r.doc_id, r.n) for r in out) == [(1, None), (2, "b"), (9, "c"), (9, "c")]
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs far away from it all"
+    rows = [(None, "one text that nobody has but this row", "a"), (None, "another of them", "b"), (5, "a third", "c"), (5, "and a fourth one", "d"), (6, text, "e"), (6, text, "e"), (3, text, "f"), (4, " ", "g")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(r.n for r in jaccard.first_of_groups(df).collect()) == ["a", "b", "c", "d", "f", "g"]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(df).collect()), key=str)
+    assert got == sorted([(None, 4, None), (None, 1, None), (5, 1, 5), (5, 1, 5), (6, 12, 3), (6, 12, 3), (3, 12, 3), (4, 0, 4)], key=str)
 
 
 def test_empty_table(spark):

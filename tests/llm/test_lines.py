@@ -28,7 +28,8 @@ def brute(rows):
             if not w:
                 kept.append(line)
                 continue
-            if not any(w == o or (min(len(w), len(o)) >= 7 and max(len(w), len(o)) >= 8 and distance_at_most_one(w, o)) for o in seen):
+            # near copies: one word edit, which is at most an eighth of the longer line's words
+            if not any(w == o or (max(len(w), len(o)) >= 8 and distance_at_most_one(w, o)) for o in seen):
                 kept.append(line)
             seen.append(w)
         out[i] = ("\n".join(kept), len(all_), len(all_) - len(kept))
@@ -58,3 +59,22 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert lines.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = [(1, "copy", "a"), (5, "zz\ncopy", "b"), (5, "zz\nunique line here", "c"), (None, "one\ncopy", "d"), (None, "two", "e"), (7, "two", "f"), (8, "same\n\nrow", "g"), (8, "same\n\nrow", "g")]
+    out = sorted((o.pos, o.text, o.n_lines, o.n_removed) for o in lines.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert [o for o in out if o[0] in "adef"] == [("a", "", 1, 1), ("d", "one\ncopy", 2, 0), ("e", "two", 1, 0), ("f", "", 1, 1)]
+    assert sorted(o[1:] for o in out if o[0] in "bc") in ([("unique line here", 2, 1), ("zz", 2, 1)], [("", 2, 2), ("zz\nunique line here", 2, 0)])
+    assert sorted(o[1:] for o in out if o[0] == "g") == [("", 3, 2), ("same\n\nrow", 3, 0)]
+
+
+def test_seven_words_beside_eight(spark):
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f z", "x"), (3, "a b c d e f g h", "x")]
+    out = {o.doc_id: o.text for o in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: "a b c d e f g", 2: "a b c d e f z", 3: ""}
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x\ny", 3, "k", 9)], "doc_id long, text string, doc int, _doc string, _all int")
+    assert lines.dedup(df).first().asDict() == {"doc_id": 1, "text": "x\ny", "doc": 3, "_doc": "k", "_all": 9, "n_lines": 2, "n_removed": 0}

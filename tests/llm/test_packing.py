@@ -69,7 +69,7 @@ TEXTS = [None, "", "  ", "It's a test of 12 THINGS, isn't it?", "naïve Éclair
 
 
 def test_ids_equal_the_tokenizer():
-    enc = packing.WordEncoder(packing.TOKENIZER)
+    enc = packing.WordEncoder(packing.tokenizer_path())
     for t in TEXTS:
         want = enc.whole.encode(t or "", add_special_tokens=False).ids
         for _ in range(2):
@@ -81,7 +81,7 @@ def test_pack(spark):
     texts = TEXTS + [" ".join(r.choice(["alpha", "beta,", "Gamma", "12"]) for _ in range(r.choice([3, 300, 3000, 9000]))) for _ in range(40)]
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, "null id", None), (5, texts[5], "x")]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
-    enc = packing.WordEncoder(packing.TOKENIZER)
+    enc = packing.WordEncoder(packing.tokenizer_path())
     want = Counter()
     for i, t, _ in rows:
         ids = [*enc.whole.encode(t or "", add_special_tokens=False).ids, 0]

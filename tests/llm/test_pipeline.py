@@ -18,7 +18,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert len(kept) == sum(1 for r in rows for line in r.text.split("\n") if line.strip())
     packed = corpus_pipeline.pack_sequences(spark, docs, DIR).collect()
     assert {p.doc_id for p in packed} == {r.doc_id for r in rows}
-    enc = packing.WordEncoder(packing.TOKENIZER)
+    enc = packing.WordEncoder(packing.tokenizer_path())
     assert sum(p.length for p in packed) == sum(len(enc.encode([r.text])[0]) // 4 + 1 for r in rows)
 
 
