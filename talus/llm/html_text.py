@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A tag's name, and the rest of it: a quote opens a value only right after an equals sign.
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_ATTR = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _WORD = re.compile(r"[a-z0-9]+")
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,6 +30,19 @@ _CHROME_WORDS = set(
     "newsletter subscribe subscription signup login form search comment comments commentlist respond reply replies disqus discussion "
     "pagination pager skip toolbar outbrain taboola".split()
 )
+# Words that tell nothing: a class name of these and furniture words is furniture, one with any other word isn't.
+_PLAIN_WORDS = set(
+    "area bar block body box bottom button buttons center col column component container content desktop element entries entry fixed global group groups holder "
+    "icon icons inner item items l label large left link links list main mobile module news outer page pages panel post posts primary r region right row rail secondary "
+    "section sections site slot small stories sticky story tertiary text the title top unit us view wrap wrapper you more also by for to of area1 area2".split()
+)
+_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+)?(?:comments?|replies|responses|discussion)(?:\s*\(\d+\))?:?|leave a (?:comment|reply)|join the (?:conversation|discussion)|post a comment", re.I)
+#: Which open elements an opening tag ends, at which of them it stops looking, and which hide them from it.
+_ENDS = {
+    "li": ({"li"}, {"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"tr"}, {"table"}), "td": ({"td", "th"}, {"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"thead", "tbody"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"thead", "tbody"}, {"table"}),
+}
 _MAIN_WORDS = set("article articlebody story storybody maincontent".split())
 _MAIN_PAIRS = [{"main", "content"}, {"post", "content"}, {"post", "body"}, {"entry", "content"}, {"article", "content"}, {"article", "body"}, {"story", "body"}]
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -55,13 +71,21 @@ LABELLED = [
 ]
 
 
-def fit_tree(rows: list[tuple], depth: int = 7):
-    """A binary classification tree by least Gini impurity: (feature, threshold, left, right), or 0 or 1."""
+#: The features of text and links alone; the first splits of the tree are between these.
+SHALLOW = tuple(FEATURES.index(f) for f in ("links", "words", "links_before", "links_after", "words_before", "words_after"))
+SHALLOW_DEPTH = 2
+
+
+def fit_tree(rows: list[tuple], depth: int = 8, shallow: int = SHALLOW_DEPTH):
+    """A binary classification tree by least Gini impurity: (feature, threshold, left, right), or 0 or 1.
+
+    The first shallow levels divide blocks by words and link density of the block and its neighbours only.
+    """
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
         return int(2 * ones >= len(rows))
     best = None
-    for f in range(len(rows[0]) - 1):
+    for f in SHALLOW if shallow else range(len(rows[0]) - 1):
         values = sorted({r[f] for r in rows})
         for lo, hi in zip(values, values[1:], strict=False):
             t = (lo + hi) / 2
@@ -74,7 +98,7 @@ def fit_tree(rows: list[tuple], depth: int = 7):
     if best is None:
         return int(2 * ones >= len(rows))
     _, f, t = best
-    return f, t, fit_tree([r for r in rows if r[f] <= t], depth - 1), fit_tree([r for r in rows if r[f] > t], depth - 1)
+    return f, t, *(fit_tree(side, depth - 1, max(0, shallow - 1)) for side in ([r for r in rows if r[f] <= t], [r for r in rows if r[f] > t]))
 
 
 @lru_cache(maxsize=1)
@@ -95,14 +119,21 @@ def _labels(tag: str, raw: str) -> tuple[bool, bool, bool]:
         return tag in _DROPPED, furniture, main
     attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(raw)}
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-    words = set(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+    names = [set(_WORD.findall(x)) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()]
+    words = set().union(*names)
     role = attrs.get("role", "").lower()
     if tag not in ("html", "body"):
         main |= role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody" or bool(words & _MAIN_WORDS) or any(p <= words for p in _MAIN_PAIRS)
-        furniture |= role in _CHROME_ROLES or bool(words & _CHROME_WORDS) and tag not in ("article", "main")
+        chrome = any(n & _CHROME_WORDS and all(w in _CHROME_WORDS or w in _PLAIN_WORDS or w.isdigit() for w in n) for n in names)
+        furniture |= role in _CHROME_ROLES or chrome and tag not in ("article", "main")
     return tag in _DROPPED or hidden, furniture, main
 
 
+@lru_cache(maxsize=64)
+def _close(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}", re.I)
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, heading, furniture, inside the article) of each flat run of text between block tags, in page order."""
     out: list[tuple[str, float, bool, bool, bool]] = []
@@ -110,7 +141,15 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     held: list[str] = []
     linked: list[str] = []
     links, at, size, heading = 0, 0, len(page), False
-    lower = None
+    cdata, open_ = True, Counter()
+
+    def push(tag: str, *flags: bool) -> None:
+        stack.append((tag, *flags))
+        open_[tag] += 1
+
+    def cut(k: int) -> None:
+        open_.subtract(x[0] for x in stack[k:])
+        del stack[k:]
 
     def state() -> tuple[bool, bool, bool]:
         return stack[-1][1:] if stack else (False, False, False)
@@ -138,34 +177,46 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             break
         if lt > at:
             add(page[at:lt])
-        m = _TAG.match(page, lt)
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page.startswith("<![CDATA[", lt) and cdata:
+            end = page.find("]]>", lt + 9)
+            cdata = end >= 0
+            if cdata:
+                add(page[lt + 9 : end].replace("&", "&amp;"))
+                at = end + 3
+                continue
+        if page.startswith(("<!", "<?"), lt):
+            end = page.find(">", lt)
+            at = end + 1 if end >= 0 else size
+            continue
+        m = _NAME.match(page, lt + 1)
         if not m:
             add("<")
             at = lt + 1
             continue
-        at = m.end()
-        if m[1] is not None:
-            add(m[1].replace("&", "&amp;"))
-        if not m[3]:
-            continue
-        tag, closing = m[3].lower(), m[2] == "/"
+        rest = _REST.match(page, m.end())
+        if rest.end() == size:  # the page ends within a tag
+            break
+        at = rest.end() + 1
+        tag, closing, raw = m[2].lower(), m[1] == "/", rest[0]
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in _INLINE or tag == "span":
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_[tag] else None
                 if tag != "span" or (k is not None and (stack[-1][1:] != (stack[k - 1][1:] if k else (False,) * 3))):
                     flush()
                 if k is not None:
-                    del stack[k:]
+                    cut(k)
                 if tag in _HEADINGS:
                     heading = False
             continue
-        if tag in _RAW and not m[4].rstrip().endswith("/"):
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{tag}", at)
-            gt = page.find(">", end) if end >= 0 else -1
+        if tag in _RAW and not raw.rstrip().endswith("/"):
+            end = _close(tag).search(page, at)
+            gt = page.find(">", end.end()) if end else -1
             at = gt + 1 if gt >= 0 else size
             continue
         if tag == "a":
@@ -178,18 +229,31 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             continue
         if tag in _INLINE and tag != "span":
             continue
-        drop, furniture, main = _labels(tag, m[4])
+        drop, furniture, main = _labels(tag, raw)
         if tag == "span":
             if not (drop or furniture):
-                stack.append((tag, *state()))
+                push(tag, *state())
                 continue
         flush()
         if tag != "span":
             links = 0
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            ends, last, stops = _ENDS.get(tag, ((), (), ()))
+            lowest = len(stack)
+            for k in range(len(stack) - 1, -1, -1) if any(open_[x] for x in ends) else ():
+                if stack[k][0] in stops:
+                    break
+                if stack[k][0] in ends:
+                    lowest = k
+                if stack[k][0] in last:
+                    break
+            cut(lowest)
+            k = len(stack)
+            while k and stack[k - 1][0] == "span":
+                k -= 1
+            if k and stack[k - 1][0] == "p":
+                cut(k - 1)
         up = state()
-        stack.append((tag, up[0] or drop, up[1] or furniture, up[2] or main))
+        push(tag, up[0] or drop, up[1] or furniture, up[2] or main)
         heading = tag in _HEADINGS
     flush()
     return out
@@ -200,11 +264,12 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     marked = any(b[4] for b in found)
     n = [len(b[0].split()) for b in found]
-    keep = []
+    keep, talk = [], False
     for i, (text, links, heading, furniture, main) in enumerate(found):
+        talk |= heading and _COMMENTS.fullmatch(text) is not None  # what follows are readers' comments
         before = (n[i - 1], found[i - 1][1]) if i else (0, 0.0)
         after = (n[i + 1], found[i + 1][1]) if i + 1 < len(found) else (0, 0.0)
-        x = (int(furniture), (1 if main else -1) if marked else 0, links, n[i], before[1], after[1], before[0], after[0], int(heading))
+        x = (int(furniture or talk), (1 if main else -1) if marked else 0, links, n[i], before[1], after[1], before[0], after[0], int(heading))
         if decide(tree(), x):
             keep.append(text)
     return "\n".join(keep)

@@ -80,6 +80,26 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.concatenate([got[i] for i in range(16)]), int(got[16][0])
 
 
+def least_hashed(docs: DataFrame, sample: int) -> DataFrame:
+    """(order, lang, text): the sample rows of each lang with the least hash of (doc_id, text), or all rows it has.
+
+    Rows are counted first, so only those below a bound that holds a little more than the sample are shuffled.
+    """
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("order"), "lang", "text")
+    rows = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    more = 1.0
+    while rows:
+        share = {k: more * (sample + 10 * sample**0.5 + 10) / n for k, n in rows.items()}
+        upto = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, 2**63 - 1 if v >= 1 else int(v * 2**64) - 2**63)]), F.col("lang"))
+        below = hashed.where(F.col("order") <= upto)
+        held = {r["lang"]: r["count"] for r in below.groupBy("lang").count().collect()}
+        if all(held.get(k, 0) >= min(sample, n) for k, n in rows.items()):
+            place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+            return below.withColumn("place", place).where(F.col("place") <= sample).drop("place")
+        more *= 2
+    return hashed
+
+
 def _features(batches):
     for batch in batches:
         out = []
@@ -145,8 +165,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     A fifth of the sample is kept to find the temperature that minimises log loss. Without rows there are no languages.
     """
     df, total = document_frequency(docs)
-    ranked = docs.withColumn("order", F.xxhash64("doc_id", "text")).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
-    picked = ranked.where(F.col("place") <= sample).select("order", "lang", "text")
+    picked = least_hashed(docs, sample)
     got = sorted(picked.mapInArrow(_features, "order long, lang string, at binary, tf binary").collect(), key=lambda r: (r["order"], r["lang"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:
@@ -173,7 +192,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty text. Whole texts are read, in blocks; repeated rows stay repeated; an empty table gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 0
-    docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held)
+    docs = docs.drop("held_out", "lang_pred", "score").withColumns({"held_out": held, "text": F.col("text").cast("string")})
     model = fit(_labelled(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), "held_out")), sample)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
@@ -188,4 +207,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is found with a calibrated score of at least least; columns as before."""
-    return identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    kept = docs.drop("held_out", "lang_pred", "score")
+    return identify(kept).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*kept.columns)

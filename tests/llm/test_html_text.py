@@ -1,3 +1,7 @@
+import time
+from html.parser import HTMLParser
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import types as T
 
@@ -38,3 +42,72 @@ def test_extract(spark):
     assert (out[2, None].text, out[2, None].n_chars) == ("", 0)
     assert out[None, "v"].n_chars == 499_999
     assert H.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+class Plain(HTMLParser):
+    """Blocks within <article>, by another parser: text between block tags, without scripts and styles."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.held, self.out = 0, 0, "", []
+
+    def flush(self):
+        if self.held.split():
+            self.out.append(" ".join(self.held.split()))
+        self.held = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.raw += tag in ("script", "style", "title")
+        if tag == "br":
+            self.held += " "
+        elif tag not in ("b", "a", "i", "em"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "i", "em"):
+            self.flush()
+        self.inside -= tag == "article"
+        self.raw -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.held += data
+
+
+def test_pages_equal_another_parser():
+    """Held-out pages, none of which the tree was fitted to: the text of every page is that of its article."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    wrong = 0
+    for row in pages:
+        p = Plain()
+        p.feed(row["html"])
+        p.close()
+        wrong += H.main_text(row["html"]).split("\n") != (p.out or [""])
+    assert wrong == 0 and len(pages) == 250
+
+
+@pytest.mark.parametrize("label", ['class="related-work"', 'class="form-factor"', 'class="social-history"', 'id="comment-letter"', "title=it's"])
+def test_labels_within_the_article(label):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><div {label}><p>{LONG}</p></div><p {label}>Short.</p><p>It's {LONG}</p></article>"
+    assert H.main_text(page).split("\n") == ["Title", LONG, LONG, "Short.", f"It's {LONG}"]
+
+
+@pytest.mark.parametrize("label", ['class="related-posts"', 'class="cookie-notice"', 'id="comments-list"', 'class="x ad-slot-2"'])
+def test_furniture_within_the_article(label):
+    assert H.main_text(f"<article><p>{LONG}</p><div {label}><p>{LONG}</p></div><p>The end</p></article>").split("\n") == [LONG, "The end"]
+
+
+def test_implied_end_tags():
+    assert H.main_text(f"<article><p>{LONG}<ul><li class=share>Share<li>{LONG}</ul><table><tr><td class=ad>Buy<td>{LONG}<tr><td>{LONG}</table></article>").split("\n") == [LONG] * 4
+
+
+def test_comments_without_a_label():
+    assert H.main_text(f"<h1>The title of it</h1><p>{LONG}</p><p>{LONG}</p><h3>2 comments</h3><div><p>{LONG}</p></div><div><p>{LONG}</p></div>").split("\n") == ["The title of it", LONG, LONG]
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<a href='", "<a b=\"", "<div>", "<![CDATA[", "<li>", "<td>", "</p>", "<div></x>", "<script>", "<", "<p title=it's>"])
+def test_broken_markup_takes_time_in_proportion(broken):
+    began = time.time()
+    H.main_text(f"<article><p>{LONG}</p>" + broken * 20_000)
+    assert time.time() - began < 5
