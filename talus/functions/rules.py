@@ -41,13 +41,24 @@ INVOLVEMENT_RULES = [("part_time", ["adjunct", "part-time", "part time"]), ("fle
 
 # What shows that a row is no person.
 NAME_PREFIXES = (
-    "department|division|school|center|institute|program|office|faculty|administration|clinical|students|technology|principal|research|application|deadlines|"
-    "about|contact|news|events|curriculum|admission|staff|committee|board|council|library|services|resources|the |a |an |affiliated|emeritus|visiting"
-).split("|")
+    "department", "division", "school", "center", "institute", "program", "office", "faculty", "administration", "clinical", "students", "technology", "principal",
+    "research", "application", "deadlines", "about", "contact", "news", "events", "curriculum", "admission", "staff", "committee", "board", "council", "library",
+    "services", "resources", "the ", "a ", "an ", "affiliated", "emeritus", "visiting",
+)
 NAME_JUNK = (
-    "expand_more|expand_less|read more|learn more|view all|load more|show more|see all|click here|privacy|more about|database list|timeline & faq|"
-    "policy award|follow us|health law|http|.edu|.com|.org"
-).split("|")
+    "expand_more", "expand_less", "read more", "learn more", "view all", "load more", "show more", "see all", "click here", "privacy", "more about", "database list",
+    "timeline & faq", "policy award", "follow us", "health law", "http", ".edu", ".com", ".org",
+)
+# The same for rows that come in, where articles are a rule of their own, and headings that are known.
+ARTICLES = ("the ", "a ", "an ")
+INGEST_JUNK = (
+    "expand_more", "expand_less", "read more", "learn more", "view all", "load more", "show more", "see all", "click here", "http://", "https://", ".edu", ".com", ".org",
+)
+JUNK_HEADINGS = (
+    "principal faculty", "principal faculty by research interest", "administration & operations", "clinical & translational research core", "faculty & leadership",
+    "students, fellows & scholars", "technology advancement", "liver diseases expand_more", "musculoskeletal diseases expand_more", "nervous system diseases expand_more",
+    "skin diseases expand_more",
+)
 
 
 def any_of(text: Column, parts: list[str]) -> Column:
@@ -95,15 +106,21 @@ def person_name(name: Column) -> Column:
 
 
 def reject_reason(name: Column) -> Column:
-    """Why a name is not admitted, by the first rule that fails; null for admitted names."""
+    """Why a name is not admitted, by the first rule that fails; null for admitted names.
+
+    A name in capitals is a heading, unless it is initials with dots and one word.
+    """
     n = F.trim(name)
-    low = F.lower(n)
-    prefix = F.lit(False)
-    for p in NAME_PREFIXES:
-        prefix = prefix | low.startswith(p)
+    low, letters = F.lower(n), F.regexp_replace(n, r"\P{L}", "")
+    prefix = F.coalesce(*[F.when(low.startswith(p), p) for p in NAME_PREFIXES if p not in ARTICLES])
+    junk = F.coalesce(*[F.when(F.contains(low, F.lit(p)), p) for p in INGEST_JUNK])
+    capitals = (letters != "") & (letters == F.upper(letters)) & (letters != F.lower(letters)) & ~n.rlike(r"^([A-Z]\.\s*)+[A-Z][A-Z'\-]*$")
+    article = low.startswith(ARTICLES[0]) | low.startswith(ARTICLES[1]) | low.startswith(ARTICLES[2])
     return (
-        F.when(n.isNull() | (n == ""), "empty name").when(F.length(n) > 60, "too long").when(n.rlike("[0-9]"), "contains digits")
-        .when(prefix, "non-person prefix").when(any_of(low, NAME_JUNK), "junk substring").when(~F.contains(n, F.lit(" ")), "single token")
+        F.when(n.isNull() | (n == ""), "empty name").when(~F.contains(n, F.lit(" ")), "single word (no space)").when(F.length(n) > 60, "longer than 60 characters")
+        .when(prefix.isNotNull(), F.concat(F.lit('starts with "'), prefix, F.lit('"'))).when(article, 'starts with article "The "/"A "/"An "')
+        .when(low.isin(*JUNK_HEADINGS), "known junk phrase").when(junk.isNotNull(), F.concat(F.lit('contains junk substring "'), junk, F.lit('"')))
+        .when(n.rlike("[0-9]"), "contains digits").when(capitals, "all uppercase (non-person heading)")
     )
 
 

@@ -12,8 +12,21 @@ from pyspark.sql.types import DoubleType, StringType
 
 # Fixed values.
 NAME_SUFFIXES = ["jr", "sr", "md", "phd", "ii", "iii", "iv"]
-TITLES = "prof professor dr mr mrs ms md phd jr sr ii iii iv".split()
-GENERIC_LOCALS = "info contact admin office support help webmaster department dept program general inquiry team staff hr communications admissions registrar".split()
+TITLES = ("dr", "prof", "professor", "mr", "mrs", "ms", "phd", "md", "jr", "sr", "iii", "ii", "iv")
+GENERIC_LOCALS = (
+    "info", "contact", "admin", "office", "support", "help", "webmaster", "department", "dept", "program", "general", "inquiry", "team", "staff", "hr",
+    "communications", "admissions", "registrar",
+)
+GENERIC_ADDRESSES = (
+    "info", "contact", "admin", "office", "department", "dept", "general", "inquiries", "support", "help", "webmaster", "web", "communications", "media", "press",
+    "news", "events", "editor", "subscribe", "noreply", "hr", "careers", "admissions", "registrar", "alumni", "development", "giving", "contedu", "programs?",
+    "courses?", "steppingstrong", "statistics", "math", "chemistry", "physics", "biology", "economics", "psychology", "sociology", "ogephd", "dms", "hms", "lab",
+    "research", "faculty", "staff", "graduate", "undergraduate",
+)
+STATES = (
+    "al", "ak", "az", "ar", "ca", "co", "ct", "de", "fl", "ga", "hi", "id", "il", "in", "ia", "ks", "ky", "la", "me", "md", "ma", "mi", "mn", "ms", "mo", "mt", "ne",
+    "nv", "nh", "nj", "nm", "ny", "nc", "nd", "oh", "ok", "or", "pa", "ri", "sc", "sd", "tn", "tx", "ut", "vt", "va", "wa", "wv", "wi", "wy", "dc", "pr", "vi",
+)
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 
 
@@ -48,24 +61,31 @@ def dedupe_name(folded: Column) -> Column:
 
 
 def plain_name(name: Column) -> Column:
-    """Lower case without titles and dots; hyphens stay."""
-    out = F.regexp_replace(F.lower(name), rf"\b(?:{'|'.join(TITLES)})\b\.?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[^a-z\\- ]", " "), " +", " "))
+    """Lower case without titles; other punctuation than hyphens is a space."""
+    out = F.regexp_replace(F.lower(F.trim(name)), rf"(?U)\b(?:{'|'.join(TITLES)})\b\.?", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s-]", " "), r"(?U)\s+", " "))
+
+
+def name_words(name: Column) -> Column:
+    return F.filter(F.split(plain_name(name), " "), lambda w: w != "")
 
 
 def name_part(name: Column, last: bool) -> Column:
-    words = F.split(F.trim(F.lower(name)), "\\s+")
-    return F.element_at(words, -1 if last else 1)
+    """The first or last word of a name without titles; empty for a name without words. One word is both."""
+    return F.coalesce(F.try_element_at(name_words(name), F.lit(-1 if last else 1)), F.lit(""))
 
 
 def name_variations(name: Column) -> Column:
-    """Spellings of a name in the order they are tried."""
-    w = F.split(plain_name(name), " ")
-    first, last = F.element_at(w, 1), F.element_at(w, -1)
-    one, mid = F.substring(first, 1, 1), F.when(F.size(w) > 2, F.element_at(w, 2))
-    j = F.concat_ws
-    tries = [j(" ", first, last), j(" ", last, first), j(", ", last, first), j(" ", one, last), j(". ", one, last), j(" ", last, one), j(" ", first, F.substring(last, 1, 1)), F.when(mid.isNotNull(), j(" ", first, mid, last)), F.when(mid.isNotNull(), j(" ", first, F.substring(mid, 1, 1), last))]
-    return F.array_distinct(F.array_compact(F.array(*tries)))
+    """Spellings of a name in the order they are tried: seven, three more with a middle name, two more with a hyphen in the last."""
+    w, first, last = name_words(name), name_part(name, False), name_part(name, True)
+    middle = F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " ")
+    one, mid = F.left(first, F.lit(1)), F.left(middle, F.lit(1))
+    j = lambda *p: F.trim(F.concat_ws(" ", *p))
+    base = F.array(plain_name(name), j(first, last), j(last, first), j(one, last), F.concat(one, last), last, first)
+    more = F.when(middle != "", F.array(j(first, middle, last), j(first, mid, last), j(one, mid, last)))
+    parts = F.when(F.contains(last, F.lit("-")), F.array(F.substring_index(last, "-", 1), F.substring_index(last, "-", -1)))
+    none = F.array().cast("array<string>")
+    return F.filter(F.concat(base, F.coalesce(more, none), F.coalesce(parts, none)), lambda v: v != "")
 
 
 def url_key(url: Column) -> Column:
@@ -82,24 +102,36 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), "^(?:[a-z]+://)?[^/?#]*([^?#]*)", 1)
 
 
-def slug(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+def slug(text: Column, mark: str = "-") -> Column:
+    """Lower-case ASCII letters and digits of a text, accents folded, with one mark for each run of anything else; unknown if there are none."""
+    out = F.regexp_replace(F.regexp_replace(ascii_fold(F.lower(F.trim(text))), "[^a-z0-9]+", mark), f"^{mark}+|{mark}+$", "")
     return F.when(F.coalesce(out, F.lit("")) == "", "unknown").otherwise(out)
 
 
 def title_case(text: Column) -> Column:
     """Each run of letters with a capital first: a letter after an apostrophe or a hyphen is one as well."""
-    marked = F.split(F.regexp_replace(F.lower(text), "(?<![a-z])(?=[a-z])", "\u0001"), "\u0001")
-    return F.array_join(F.transform(marked, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.expr("''"), p.substr(F.lit(2), F.length(p)))), "")
+    marked = F.split(F.regexp_replace(F.lower(text), r"(?<!\p{L})(?=\p{L})", "\u0001"), "\u0001")
+    return F.array_join(F.transform(marked, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), p.substr(F.lit(2), F.length(p)))), "")
 
 
 def location(text: Column) -> Column:
-    """City, ST for two parts; a second part of two letters in capitals."""
-    p = F.transform(F.split(text, ","), lambda x: F.trim(x))
-    second = F.element_at(p, 2)
-    two = F.concat_ws(", ", title_case(F.element_at(p, 1)), F.when(F.length(second) == 2, F.upper(second)).otherwise(title_case(second)))
+    """City, ST: parts with capitals first, and the last of several parts in capitals if it is a state or that short.
+
+    Of two parts that takes two letters, of more at most two. A single part changes if it is in capitals and over two letters.
+    """
     t = F.trim(text)
-    return F.when(F.size(p) == 2, two).when((F.size(p) == 1) & (t == F.upper(t)), title_case(t)).otherwise(t)
+    p = F.transform(F.split(t, ","), lambda x: F.trim(x))
+    n, last = F.size(p), F.element_at(p, -1)
+    short = F.lower(last).isin(*STATES) | F.when(n == 2, F.length(last) == 2).otherwise(F.length(last) <= 2)
+    head = F.transform(F.slice(p, 1, F.greatest(n - 1, F.lit(1))), title_case)
+    several = F.array_join(F.concat(head, F.array(F.when(short, F.upper(last)).otherwise(title_case(last)))), ", ")
+    one = F.when((t == F.upper(t)) & (F.length(t) > 2), title_case(t)).otherwise(t)
+    return F.when(F.coalesce(t, F.lit("")) == "", text).when(n == 1, one).otherwise(several)
+
+
+def generic_address(email: Column) -> Column:
+    """Whether an address is an office's, by its whole local part."""
+    return F.coalesce(F.lower(email).rlike(f"^(?:{'|'.join(GENERIC_ADDRESSES)})@"), F.lit(False))
 
 
 def emails(text: Column) -> Column:

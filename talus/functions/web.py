@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -98,7 +99,7 @@ def best_address(candidates: DataFrame, domains: list[str], fuzzy: bool = True)
     An address suits with a name score of .35 (.25 for a mailto link) or a total of .4. Of equals the first by address.
     """
     boost = F.coalesce(*[F.when(F.col("method") == m, v) for m, v in METHOD_BOOST.items()], F.lit(0.0))
-    scored = candidates.where(within_domains(F.col("email"), domains) & ~generic_local(F.col("email"))).withColumn("fit", email_name_score(F.col("email"), F.col("name"), fuzzy))
+    scored = candidates.where(within_domains(F.col("email"), domains) & ~text.generic_address(F.col("email"))).withColumn("fit", email_name_score(F.col("email"), F.col("name"), fuzzy))
     scored = scored.withColumn("score", F.round(F.col("fit") + boost, 4))
     good = scored.where((F.round("fit", 4) >= F.when(F.col("method") == "mailto", 0.25).otherwise(0.35)) | (F.col("score") >= 0.4))
     return keep_first(good, ["id"], F.col("score").desc(), F.col("email"), F.col("method")).select("id", "email", "method", "score")
@@ -147,15 +148,24 @@ def four_signals(url: Column, title: Column, name: Column, site: str) -> Column:
     return points((F.lit(bool(site)) & F.contains(u, F.lit(site)), 40), (F.contains(u, last), 25), (F.contains(F.lower(title), last), 15), (any_of(u, ["/~", "/people/", "/faculty/", "/profile/"]), 20)) / 100.0
 
 
-def page_of(url: Column, content: Column, name: Column, email: Column, department: Column) -> Column:
-    """Whether a page is a person's: the last name in it or its URL, the email's host with a person's path, or department and first name in it."""
-    u, c = F.lower(url), F.lower(F.coalesce(content, F.lit("")))
-    first, last = text.name_part(name, False), text.name_part(name, True)
+def page_of(url: Column, content: Column, name: Column, email: Column, department: Column, school: Column, status: Column) -> Column:
+    """Whether a page is a person's. status: the HTTP status, null where the page could not be had.
+
+    A page is if it or its URL has the last name; if the email's host is its site's and its path is a person's; if it has the
+    department and the first name; or if its URL has the school and a person's path. One that could not be had is by its path.
+    """
+    u, c, low = F.lower(url), F.lower(F.coalesce(content, F.lit(""))), F.lower(F.coalesce(school, F.lit("")))
+    words = F.split(F.trim(F.regexp_replace(name, "(?i)^Dr\\.\\s*", "")), "\\s+")
+    first, last = F.lower(F.get(words, F.lit(0))), F.when(F.size(words) >= 2, F.lower(F.element_at(words, -1))).otherwise("")
     host, at = F.split_part(F.lower(email), F.lit("@"), F.lit(2)), text.domain(url)
-    named = F.contains(c, last) | F.contains(u, last)
-    sited = (host != "") & (F.contains(at, host) | F.contains(host, at)) & any_of(u, ["/people/", "/faculty/", "/professor/", "/~", "/staff/"])
-    placed = (F.coalesce(department, F.lit("")) != "") & F.contains(c, F.lower(department)) & F.contains(c, first)
-    return F.coalesce(named, F.lit(False)) | F.coalesce(sited, F.lit(False)) | F.coalesce(placed, F.lit(False))
+    # Paths of persons.
+    paths = ["/people/", "/faculty/", "/professor/"]
+    named = (last != "") & (F.contains(c, last) | F.contains(u, last))
+    sited = (host != "") & (F.contains(at, host) | F.contains(host, at)) & any_of(u, [*paths, "/~", "/staff/"])
+    placed = (F.coalesce(department, F.lit("")) != "") & F.contains(c, F.lower(department)) & (first != "") & F.contains(c, first)
+    schooled = (F.contains(low, F.lit("harvard")) & F.contains(u, F.lit("harvard")) & any_of(u, paths)) | (F.contains(low, F.lit("mit")) & F.contains(u, F.lit("mit")) & any_of(u, [*paths, "/~"]))
+    had = reduce(lambda x, y: x | y, [F.coalesce(x, F.lit(False)) for x in (named, sited, placed, schooled)])
+    return F.when(F.coalesce(url, F.lit("")) == "", False).when(status.isNull(), any_of(u, [*paths, "/~"])).otherwise((status < 400) & had)
 
 
 def candidate_urls(forms: list[Column], templates: list[str]) -> Column:

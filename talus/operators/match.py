@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from talus.functions import rules
 
 
+# Words of a kind of work that tell nothing.
+WORK_STOPWORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "using", "based", "into", "through", "between", "over", "such", "also", "more", "than", "has", "are", "was", "were",
+    "been",
+)
+
+
 def points(*terms: tuple[Column, int]) -> Column:
     """The sum of the points whose condition holds; null counts as not."""
     return reduce(lambda a, b: a + b, [F.when(c, p).otherwise(0) for c, p in terms])
@@ -20,7 +27,7 @@ def url_score(url: Column, domain: Column, path: Column, first: Column, last: Co
     # Paths of profile pages.
     profile = ["/people/", "/person/", "/profile/", "/profiles/", "/faculty/", "/directory/", "/bios/", "/find-a-doctor", "/provider", "/team/", "/member-detail"]
     low = F.lower(url)
-    return trust + points((rules.any_of(path, profile), 30), (F.contains(low, last), 20), (F.contains(low, first), 10), (rules.any_of(domain, rejected), -50), (path.endswith(".pdf"), -30), (F.contains(path, F.lit("/search")) | F.contains(path, F.lit("/results")), -20))
+    return trust + points((rules.any_of(path, profile), 30), ((F.length(last) > 0) & F.contains(low, last), 20), ((F.length(first) > 0) & F.contains(low, first), 10), (rules.any_of(domain, rejected), -50), (path.endswith(".pdf"), -30), (F.contains(path, F.lit("/search")) | F.contains(path, F.lit("/results")), -20))
 
 
 def email_score(email: Column, first: Column, last: Column, primary: list[str], secondary: list[str]) -> Column:
@@ -32,6 +39,7 @@ def email_score(email: Column, first: Column, last: Column, primary: list[str],
     foreign = ~dom.endswith(".edu") & ~trusted
     named = F.contains(local, last) | F.contains(local, first)
     trust = F.when(rules.any_of(dom, primary), 100).when(rules.any_of(dom, secondary), 80).when(dom.endswith(".edu"), 30).otherwise(0)
+    # Hosts that give anybody an address.
     free = dom.isin("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "protonmail.com", "scispace.com")
     out = trust + points((F.contains(local, last), 20), (local.startswith(F.substring(first, 1, 1)), 10), (free | junk, -100), (~named & junk & foreign, -100), (~F.contains(local, last) & foreign, -50))
     return F.when(F.contains(e, F.lit("@")), out).otherwise(0)
@@ -55,7 +63,7 @@ def contact_points(email: Column, verified: Column, website: Column) -> Column:
 def constraint_points(accepts: Column, remote_wanted: bool, remote_ok: Column, location_pref: str | None, location: Column) -> Column:
     """Ten points less two for each unknown or soft mismatch; 0 when an explicit no blocks."""
     blocked = accepts.eqNullSafe(F.lit(False)) | (F.lit(remote_wanted) & remote_ok.eqNullSafe(F.lit(False)))
-    soft = points((accepts.isNull(), 2), (F.lit(remote_wanted) & remote_ok.isNull(), 2), (F.lit(bool(location_pref)) & ~F.contains(F.lower(location), F.lit((location_pref or "").lower())), 2))
+    soft = points((accepts.isNull(), 2), (F.lit(remote_wanted) & remote_ok.isNull(), 2), (F.lit(bool(location_pref)) & (F.coalesce(location, F.lit("")) != "") & ~F.contains(F.lower(location), F.lit((location_pref or "").lower())), 2))
     return F.when(blocked, 0).otherwise(10 - soft)
 
 
@@ -64,10 +72,12 @@ def action_points(join_page: Column, openings: Column, days: Column, website: Co
     return F.when(base == 0, points((website, 1), (email, 1))).otherwise(base)
 
 
-def intent_points(intent: str, openings: Column, needs_funding: bool, grants: Column, website: Column, topics: Column, email: Column) -> Column:
+def intent_points(intent: str, openings: Column, join_page: Column, needs_funding: bool, grants: Column, website: Column, topics: Column, email: Column) -> Column:
+    """Up to ten points by what is wanted; unknown grants count as none."""
+    grants = F.coalesce(grants, F.lit(0))
     if intent == "join_now":
-        fund = F.when(grants > 0, 5).when(grants == 0, 1).otherwise(0) if needs_funding else F.lit(3)
-        return F.when(openings, 5).otherwise(2) + fund
+        fund = F.when(grants > 0, 5).otherwise(1) if needs_funding else F.lit(3)
+        return F.when(openings, 5).when(join_page, 5).otherwise(2) + fund
     if intent == "explore":
         return points((website, 5), (topics, 3)) + 2
     if intent == "mentorship":
@@ -86,11 +96,12 @@ def available_total(components: list[tuple[Column, int, Column]]) -> tuple[Colum
 def tag_score(department: Column, haystack: Column, title: Column, key: str, display: str, work: str, involvement: str, year: str) -> Column:
     """Four answers, 100 points: research area 40, kind of work 30, involvement 20, year 10."""
     area = F.when(rules.category(department) == key, 40).when(F.contains(haystack, F.lit(display.lower())), 24).when(F.contains(haystack, F.lit(key)), 16).otherwise(0)
-    words = [w for w in work.lower().split() if len(w) > 2]
+    words = [w for w in work.lower().split() if len(w) > 2 and w not in WORK_STOPWORDS]
     kind = F.when(F.contains(haystack, F.lit(work.lower())), 30).when(rules.any_of(haystack, words), 18).otherwise(0)
     bucket = rules.involvement(title)
     time = F.when(bucket == involvement, 20).when(F.lit(involvement == "flexible") & (bucket == "part_time"), 8).otherwise(0)
     graduate = year == "Graduate"
+    # What tells of a student's year.
     hints = ["phd", "ph.d", "doctoral", "graduate", "master", "postdoc"] if graduate else ["undergraduate", "ug ", "course", "summer"]
     return area + kind + time + F.when(rules.any_of(haystack, hints), 10).otherwise(4 if graduate else 5)
 

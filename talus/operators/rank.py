@@ -53,15 +53,45 @@ def best_of(array: str, score) -> Column:
 
 
 def unique_ids(df: DataFrame, base: Column, *order: Column) -> DataFrame:
-    """id: base, and -2, -3 and so on for later rows with the same base."""
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    out = df.withColumn("_base", base).withColumn("_n", n)
-    return out.withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n")))).drop("_base", "_n")
+    """id: base, and -2, -3 and so on for later rows with the same base, in order.
 
-
-def within_budget(df: DataFrame, cost: Column, budget: int, *order: Column) -> DataFrame:
-    """The rows in order as long as their costs add up to at most the budget."""
-    return df.withColumn("spent", F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("spent") <= budget)
+    A base that ends in such a number itself may equal another row's id. Such rows are few; they get the next free number
+    among the rows whose bases share the stem, one stem at a time.
+    """
+    stem = F.regexp_replace("_base", "(-[0-9]+)+$", "")
+    out = df.withColumn("_base", base).withColumn("_stem", stem)
+    twins = out.groupBy("_stem").agg(F.count_distinct("_base").alias("_k")).where("_k > 1").select("_stem")
+    plain = out.join(twins, "_stem", "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(*order)))
+    plain = plain.withColumn("id", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_n")))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_stem").orderBy(*order))
+    rows = out.join(twins, "_stem", "left_semi").withColumn("_n", place)
+
+    def name(t: pa.Table) -> pa.Table:
+        taken, next_, ids = set(), {}, []
+        for b in t.sort_by("_n")["_base"].to_pylist():
+            one, k = b, next_.get(b, 2)
+            while one in taken:
+                one, k = f"{b}-{k}", k + 1
+            next_[b] = k
+            taken.add(one)
+            ids.append(one)
+        return t.sort_by("_n").select(["_stem", "_n"]).append_column("id", pa.array(ids, pa.string()))
+
+    ids = rows.select("_stem", "_n", "_base").groupBy("_stem").applyInArrow(name, "_stem string, _n int, id string")
+    twin = rows.join(ids, ["_stem", "_n"]).drop("_n")
+    return plain.unionByName(twin).drop("_base", "_stem")
+
+
+def within_budget(df: DataFrame, high: Column, cost: int, other_cost: int, budget: int, *order: Column) -> DataFrame:
+    """The rows chosen under a budget of costs: all high ones, and of the others all but the last so many as the sum exceeds it by.
+
+    order: the stored order, by which the others' end is cut.
+    """
+    tier = df.withColumn("_high", high)
+    n, m = tier.agg(F.count_if(~F.col("_high")), F.count_if(F.col("_high"))).first()
+    over = max(0, m * cost + n * other_cost - budget)
+    others = tier.where(~F.col("_high")).orderBy(*order).limit(max(0, n - over))
+    return tier.where("_high").unionByName(others).drop("_high")
 
 
 def running_sum(df: DataFrame, value: str, key: str) -> DataFrame:

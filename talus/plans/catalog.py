@@ -70,11 +70,6 @@ def D2_priority_union(t):
     return rank.priority_union([s, c], ["k"], "id").select("k", "src_rank", "id")
 
 
-@query("with r as (select p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')) as b, row_number() over (partition by lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')) order by p_partkey) as n from part) select p_partkey, case when n = 1 then trim(b, '-') else trim(b, '-') || '-' || n end as id from r")
-def D8_unique_ids(t):
-    return rank.unique_ids(t("part").select("p_partkey", "p_name"), text.slug(C("p_name")), C("p_partkey")).select("p_partkey", "id")
-
-
 @query("select p_partkey, p_name, p_size from part where p_brand = (select min(p_brand) from part) and p_size >= 10 and contains(p_type, 'S')")
 def F1_browse(t):
     p = t("part")
@@ -128,19 +123,6 @@ def T13_involvement(t):
     return t("part").select("p_partkey", rules.involvement(F.expr("concat('x', case p_size % 5 when 0 then 'Adjunct Professor' when 1 then 'Visiting Scholar' else p_type end)")).alias("bucket"))
 
 
-_name = "case doc_id % 6 when 0 then 'Ada Lovelace' when 1 then 'The Board' when 2 then 'Ada' when 3 then 'Ada Lovelace 2' when 4 then 'Read more here' else substr(text, 1, 40) end"
-_prefix = " or ".join(f"starts_with(lower(trim(n)), '{p}')" for p in rules.NAME_PREFIXES)
-_junk = " or ".join(f"contains(lower(trim(n)), '{p}')" for p in rules.NAME_JUNK)
-
-
-@query(f"with x as (select doc_id, {_name} as n from documents) select doc_id, contains(trim(n), ' ') and length(trim(n)) <= 60 and not ({_prefix}) and not ({_junk}) and not regexp_matches(n, '[0-9]') as ok from x")
-def F4_person_name(t):
-    return t("documents").select("doc_id", rules.person_name(F.expr(_name)).alias("ok"))
-
-
-@query(f"with x as (select doc_id, {_name} as n from documents) select doc_id, case when trim(n) = '' then 'empty name' when length(trim(n)) > 60 then 'too long' when regexp_matches(n, '[0-9]') then 'contains digits' when {_prefix} then 'non-person prefix' when {_junk} then 'junk substring' when not contains(trim(n), ' ') then 'single token' end as reason from x")
-def F5_reject_reason(t):
-    return t("documents").select("doc_id", rules.reject_reason(F.expr(_name)).alias("reason"))
 
 
 @query("select p_partkey, case when p_size * 4 >= 100 then 'high' when p_size * 4 >= 40 then 'medium' when p_size * 4 > 0 then 'low' else 'none' end as confidence from part")
@@ -205,14 +187,9 @@ def _candidates(t, asked):
     return rank.top_k_by(hits, ["item_id"], 10, C("hits").desc(), C("doc_id"))
 
 
-@query("with tok as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark where item_id < 5), post as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select item_id, doc_id, count(*) as hits from tok join post using (w) where length(w) >= 6 group by 1, 2), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h) select * from r where rank <= 10")
-def J12_candidates(t):
-    return _candidates(t, "item_id < 5")
-
-
 @query("with tok as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark where item_id % 50 = 0), post as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), h as (select item_id, doc_id, count(*) as hits from tok join post using (w) where length(w) >= 6 group by 1, 2), r as (select *, row_number() over (partition by item_id order by hits desc, doc_id) as rank from h) select * from r where rank <= 10")
-def J12_candidates_all(t):
-    """J12_candidates for every item whose id is divisible by 50."""
+def J12_candidates(t):
+    """Searched for is every item whose id is divisible by 50, among all."""
     return _candidates(t, "item_id % 50 = 0")
 
 
@@ -234,13 +211,6 @@ def T8_domain(t):
     return t("pages").select("page_id", text.domain(C("url")).alias("d"))
 
 
-_loc = {"New York, ny": "New York, NY", "o'neil-smith, ny": "O'Neil-Smith, NY", "BOSTON": "Boston", "a, b, c": "a, b, c", "new haven, connecticut": "New Haven, Connecticut"}
-
-
-@query("select n_nationkey, case n_nationkey % 5 " + " ".join("when {} then '{}'".format(k, v.replace("'", "''")) for k, v in enumerate(_loc.values())) + " end as location from nation")
-def T10_location(t):
-    raw = F.element_at(F.array(*[L(x) for x in _loc]), C("n_nationkey") % 5 + 1)
-    return t("nation").select("n_nationkey", text.location(raw).alias("location"))
 
 
 _url = "lower(url)"
@@ -332,15 +302,9 @@ def M1_terms(t):
     return w.select("id", "term", F.round("weight", 4).alias("weight"))
 
 
-@query(_terms_sql + ", a as (select sum(weight) as all_, id from terms where id < 3 group by id), o as (select q.id as query_id, e.id, sum(q.weight * least(1.0, e.weight)) as s from terms q join terms e using (term) where q.id < 3 group by 1, 2) select query_id, o.id, round(least(1.0, s / all_), 4) as overlap from o join a on a.id = query_id")
-def M2_overlap(t):
-    w = match.weighted_terms(t("benchmark").select(C("item_id").alias("id"), "text"), PHRASES, ONTOLOGY)
-    return match.overlap(w.where("id < 3"), w).select("query_id", "id", F.round("overlap", 4).alias("overlap"))
-
-
 @query(_terms_sql + ", a as (select sum(weight) as all_, id from terms where id % 50 = 0 group by id), o as (select q.id as query_id, e.id, sum(q.weight * least(1.0, e.weight)) as s from terms q join terms e using (term) where q.id % 50 = 0 group by 1, 2) select query_id, o.id, round(least(1.0, s / all_), 4) as overlap from o join a on a.id = query_id")
-def M2_overlap_all(t):
-    """M2_overlap for every item whose id is divisible by 50."""
+def M2_overlap(t):
+    """Searched for is every item whose id is divisible by 50, among all."""
     w = match.weighted_terms(t("benchmark").select(C("item_id").alias("id"), "text"), PHRASES, ONTOLOGY)
     return match.overlap(w.where("id % 50 = 0"), w).select("query_id", "id", F.round("overlap", 4).alias("overlap"))
 
@@ -372,7 +336,7 @@ def M11_available_total(t):
     accepts = F.when(z % 7 == 0, L(False)).when(z % 7 == 1, L(None).cast("boolean")).otherwise(L(True))
     c = t("part").select(
         "p_partkey", z, match.contact_points(L(True), z % 2 == 0, website).alias("contact"), match.constraint_points(accepts, False, L(True), None, L("x")).alias("constraints"),
-        match.intent_points("join_now", z % 5 == 0, True, grants, website, L(True), L(True)).alias("intent"), match.action_points(L(False), z % 5 == 0, L(None).cast("int"), website, L(True)).alias("action"),
+        match.intent_points("join_now", z % 5 == 0, L(False), True, grants, website, L(True), L(True)).alias("intent"), match.action_points(L(False), z % 5 == 0, L(None).cast("int"), website, L(True)).alias("action"),
     )
     yes = L(True)
     score, completeness = match.available_total([(C("contact"), 10, yes), (C("constraints"), 10, yes), (C("intent"), 10, yes), (C("action"), 10, z % 9 != 0)])
@@ -384,21 +348,6 @@ def M22_activity(t):
     return t("part").select("p_partkey", F.round(0.7 * F.least(C("p_size") / 100.0, L(1.0)) + 0.3 * F.least(C("p_retailprice") / 500.0, L(1.0)), 4).alias("activity"))
 
 
-@query("with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id < 4), s as (select query_id, vec_id, round(list_cosine_similarity(a, embedding::double[]), 5) as cosine from q, embeddings where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select * from r where rank <= 10")
-def T29_cosine_topk(t):
-    """A stated set of four queries against all vectors."""
-    q = t("embeddings").where("vec_id < 4").select(C("vec_id").alias("query_id"), C("embedding").alias("a"))
-    s = t("embeddings").join(F.broadcast(q), C("vec_id") != C("query_id")).select("query_id", "vec_id", F.round(text.cosine(C("a"), C("embedding")), 5).alias("cosine"))
-    return rank.top_k_by(s, ["query_id"], 10, C("cosine").desc(), C("vec_id"))
-
-
-@query()
-def W9_mmr(t):
-    q = t("embeddings").where("vec_id < 4").select(C("vec_id").alias("query_id"), C("embedding").alias("a"))
-    s = t("embeddings").join(F.broadcast(q), C("vec_id") != C("query_id")).select("query_id", C("vec_id").alias("id"), (F.round(text.cosine(C("a"), C("embedding")), 5) * 100).alias("score"), C("embedding").alias("vector"))
-    return rank.mmr(rank.top_k_by(s, ["query_id"], 50, C("score").desc(), C("id")), 10)
-
-
 def _searched(t):
     """Every vector whose id is divisible by 50 beside all others, block by block of both: neither side is sent whole to a task."""
     q = t("embeddings").where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("a"))
@@ -407,24 +356,18 @@ def _searched(t):
 
 
 @query("with q as (select vec_id as query_id, embedding::double[] as a from embeddings where vec_id % 50 = 0), s as (select query_id, vec_id, round(list_cosine_similarity(a, embedding::double[]), 5) as cosine from q, embeddings where vec_id <> query_id), r as (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) select * from r where rank <= 10")
-def T29_cosine_topk_all(t):
-    """T29_cosine_topk for every vector whose id is divisible by 50."""
+def T29_cosine_topk(t):
+    """Searched for is every vector whose id is divisible by 50, among all."""
     return rank.top_k_by(_searched(t).drop("embedding"), ["query_id"], 10, C("cosine").desc(), C("vec_id"))
 
 
 @query()
-def W9_mmr_all(t):
-    """W9_mmr for every vector whose id is divisible by 50."""
+def W9_mmr(t):
+    """Searched for is every vector whose id is divisible by 50, among all."""
     s = _searched(t).select("query_id", C("vec_id").alias("id"), (C("cosine") * 100).alias("score"), C("embedding").alias("vector"))
     return rank.mmr(rank.top_k_by(s, ["query_id"], 50, C("score").desc(), C("id")), 10)
 
 
-@query("with r as (select s_suppkey, case when s_acctbal >= 4000 then 3 else 1 end as cost, sum(case when s_acctbal >= 4000 then 3 else 1 end) over (order by s_acctbal desc, s_suppkey rows unbounded preceding) as spent from supplier) select s_suppkey, cost, spent from r where spent <= 60")
-def W11_budget(t):
-    cost = F.when(C("s_acctbal") >= 4000, 3).otherwise(1)
-    return rank.within_budget(t("supplier"), cost, 60, C("s_acctbal").desc(), C("s_suppkey")).select("s_suppkey", cost.alias("cost"), "spent")
-
-
 @query("select source, max(n_chars) as longest, arg_max(doc_id, (n_chars, -doc_id)) as doc_id from documents group by 1")
 def W7_argmax(t):
     return t("documents").groupBy("source").agg(F.max("n_chars").alias("longest"), F.max_by("doc_id", F.struct("n_chars", -C("doc_id"))).alias("doc_id"))
@@ -456,15 +399,9 @@ def G3_sessions(t):
     return w.select("user_id", C("w.start").alias("start"), "n")
 
 
-@query("select cast(floor(sum(n) over (order by k rows unbounded preceding) / 100) as bigint) as account, k, n from (select user_id as k, count(*) as n from events where user_id < 50 group by 1)")
-def G4_rotation(t):
-    e = t("events").where("user_id < 50").groupBy(C("user_id").alias("k")).agg(F.count("*").alias("n"))
-    return e.select(F.floor(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) / 100).alias("account"), "k", "n")
-
-
 @query("select cast(floor(sum(n) over (order by k nulls last rows unbounded preceding) / 100) as bigint) as account, k, n from (select user_id as k, count(*) as n from events group by 1)")
-def G4_rotation_all(t):
-    """G4_rotation over every user."""
+def G4_rotation(t):
+    """Accounts of 100 uses, taken up in order of users."""
     e = t("events").groupBy(C("user_id").alias("k")).agg(F.count("*").alias("n"))
     return rank.running_sum(e, "n", "k").select(F.floor(C("total") / 100).alias("account"), "k", "n")
 

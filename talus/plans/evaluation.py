@@ -93,14 +93,6 @@ def V20_school_alias(t):
     return t("customer").select("c_custkey", F.coalesce(F.try_element_at(known, (C("c_nationkey") % 3).cast("string")), F.trim(F.concat(L(" "), C("c_name")))).alias("school"))
 
 
-_slugged = "p_name || ' / ' || p_brand"
-
-
-@query(f"select p_partkey, trim(lower(regexp_replace({_slugged}, '[^A-Za-z0-9]+', '-', 'g')), '-') as slug from part")
-def T9_slug(t):
-    return t("part").select("p_partkey", text.slug(F.expr(_slugged)).alias("slug"))
-
-
 @query("select p_partkey, least(40, greatest(round_even(round((0.4 * (p_size % 10) / 10 + 0.4 * (p_size % 7) / 7 + 0.2 * least(1, (p_size % 5) / 3)) * 28, 6), 0), case when p_size % 5 >= 2 then 8 when p_size % 5 >= 1 then 4 else 0 end) + round_even(round(greatest(0, (p_size % 11 - 3) / 10) * 12, 6), 0))::double as points from part")
 def M3_topic_fit(t):
     z = C("p_size")
