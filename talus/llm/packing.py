@@ -19,20 +19,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.llm import words as W
 from talus.llm import worker
 from talus.llm.store import stash
 
 CAPACITY = 2048
 #: The tokenizer's file, and the words that a worker remembers: beyond that, those which occur again.
 TOKENIZER = "word_bpe_49k.json"
-REMEMBER = 250_000
-#: Characters that are split and encoded at once.
-AT_ONCE = 2 << 20
+REMEMBER = 600_000
+#: Bytes of text that are split and encoded at once.
+AT_ONCE = 1 << 20
 
 # Words of these characters split alike in every regex engine and lower-case alike in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+_LETTERS = re.compile(r"[a-zà-öø-ÿ]+([!-&(-/:-@\[-`{-~]?)")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ÿ]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f]|<\\|")
+#: Texts with these go through the tokenizer as a whole.
+_ODD = "[\x1c-\x1f]|<\\|"
 _encoders: dict[str, "WordEncoder"] = {}
 worker.remembers("tokens", _encoders.clear)
 
@@ -46,8 +49,45 @@ def tokenizer_path(path: str | None = None) -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class WordTable:
+    """Token ids of words by the words' hashes: sorted hashes, where each word's ids begin, how many there are, and all ids."""
+
+    def __init__(self, keys=None, n=None, ids=None):
+        self.keys = np.zeros(0, np.uint64) if keys is None else keys
+        self.n = np.zeros(0, np.int32) if n is None else n
+        self.ids = np.zeros(0, np.uint32) if ids is None else ids
+        self.start = np.cumsum(self.n, dtype=np.int64) - self.n
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def take(self, at: np.ndarray) -> "WordTable":
+        """The words at places in ascending order of key."""
+        return WordTable(self.keys[at], self.n[at], gather(self.ids, self.start[at], self.n[at]))
+
+    def plus(self, other: "WordTable") -> "WordTable":
+        """Both tables' words; they share none."""
+        keys, n = np.concatenate([self.keys, other.keys]), np.concatenate([self.n, other.n])
+        start, ids = np.concatenate([self.start, other.start + len(self.ids)]), np.concatenate([self.ids, other.ids])
+        order = np.argsort(keys, kind="stable")
+        return WordTable(keys[order], n[order], gather(ids, start[order], n[order]))
+
+
+def gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs ids[start : start + n] one after another."""
+    end = np.cumsum(n, dtype=np.int64)
+    return ids[np.repeat(start - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+
+
 class WordEncoder:
-    """Token ids of whole texts by a BPE tokenizer that never joins words across white space, with words remembered."""
+    """Token ids of whole texts by a BPE tokenizer that never joins words across white space, with words remembered.
+
+    Words are told apart by 64-bit hashes of their bytes, A-Z in lower case as the tokenizer itself takes them.
+    """
 
     def __init__(self, path: str, remember: int = REMEMBER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,59 +102,89 @@ class WordEncoder:
         for token, i in spec["vocab"].items():
             self.ends[i] = token.endswith(spec["end_of_word_suffix"])
         self.remember = remember
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old, self.young = WordTable(), WordTable()
 
-    def _exact(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        split = {}
-        for w in words:
-            if _PLAIN.fullmatch(w):
-                split[w] = _PIECE.findall(w.lower())
-            else:
-                self.words[w] = self._exact(w)
-        every = {p for ps in split.values() for p in ps}
-        new = list(every.difference(self.parts))
-        if len(self.parts) + len(new) > self.remember:  # what occurs again stays
-            self.parts = {p: self.parts[p] for p in every.intersection(self.parts)}
-        for lo in range(0, len(new), 1 << 14):
-            part = new[lo : lo + (1 << 14)]
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after another, and where each piece's begin (with the end of the last)."""
+        found, size = [], []
+        for lo in range(0, len(pieces), 1 << 14):
+            part = pieces[lo : lo + (1 << 14)]
             lines = [" ".join(part[i : i + 512]) for i in range(0, len(part), 512)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.pieces.encode_batch_fast(lines, add_special_tokens=False)])
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.pieces.encode_batch_fast(lines, add_special_tokens=False)])
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part):
-                self.parts.update((p, self._exact(p)) for p in part)
-                continue
-            raw, lo_ = ids.tobytes(), 0
-            for p, hi in zip(part, (4 * cut).tolist(), strict=True):
-                self.parts[p] = raw[lo_:hi]
-                lo_ = hi
-        for w, ps in split.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, ps))
+                each = [self._exact(p) for p in part]
+                ids, cut = np.concatenate(each), np.cumsum([len(x) for x in each])
+            found.append(ids)
+            size.append(np.diff(cut, prepend=0))
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *size]))])
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> WordTable:
+        """A table of words new to the encoder, in ascending order of key. Each word is split into pieces that are encoded once."""
+        known: dict[str, int] = {}
+        number, odd = lambda p: known.setdefault(p, len(known)), {}
+        parts, count = [], np.zeros(len(words), np.int64)
+        for k, w in enumerate(words):
+            low = w.lower()
+            m = _LETTERS.fullmatch(low)
+            if m and (w.isascii() or _PLAIN.fullmatch(w)):
+                mark = m[1]
+                parts.append(number(low[:-1] if mark else low))
+                count[k] = 1
+                if mark:
+                    parts.append(number(mark))
+                    count[k] = 2
+            elif _PLAIN.fullmatch(w):
+                split = _PIECE.findall(low)
+                parts += map(number, split)
+                count[k] = len(split)
+            else:
+                odd[k] = self._exact(w)
+        ids, cut = self._ids(list(known))
+        parts = np.array(parts, np.int64)
+        n = (cut[1:] - cut[:-1])[parts]
+        flat = gather(ids, cut[:-1][parts], n)
+        end = np.concatenate([[0], np.cumsum(n)])[np.cumsum(count)]
+        size = np.diff(end, prepend=0)
+        if odd:
+            runs = np.split(flat, end)[:-1]
+            for k, x in odd.items():
+                runs[k], size[k] = x, len(x)
+            flat = np.concatenate(runs)
+        return WordTable(keys, size.astype(np.int32), flat)
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: none) as little-endian unsigned 32-bit integers; words new to the encoder are learnt together."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False)
+        plain = pc.if_else(odd, "", texts)
+        data, at = W.text_buffers(plain)
+        hashes, places, bounds = W.word_places(data, at)
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        old, young = self.old.find(keys), self.young.find(keys)
+        new = np.flatnonzero((old < 0) & (young < 0))
+        upto = np.append(places, len(data))
+        raw = data.tobytes()
+        words = [raw[a:b].rstrip(b" \t\n\v\f\r").decode("utf-8", "replace") for a, b in zip(places[first[new]].tolist(), upto[first[new] + 1].tolist(), strict=True)]
+        learnt = self._learn(keys[new], words)
+        # all different words of these texts in one table
+        used = self.old.take(old[old >= 0]).plus(self.young.take(young[young >= 0])).plus(learnt)
+        self.young = self.young.plus(learnt)
+        if len(self.old.keys) + len(self.young.keys) > self.remember:  # what occurs again stays
+            self.old, self.young = self.old.take(old[old >= 0]).plus(self.young.take(self.young.find(keys[young >= 0]))), WordTable()
+        elif 4 * len(self.young.keys) > len(self.old.keys):
+            self.old, self.young = self.old.plus(self.young), WordTable()
+        ids = gather(used.ids, used.start[back], used.n[back]).astype("<u4", copy=False)
+        end = np.concatenate([[0], np.cumsum(used.n[back], dtype=np.int64)])[bounds]
+        out = [ids[a:b].tobytes() for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[k] = self._exact(texts[int(k)].as_py()).astype("<u4", copy=False).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; words new to the list are learnt together."""
-        split = []
-        for t in texts:
-            if _ODD_SPACE.search(t):
-                split.append(None)
-                continue
-            try:  # within Latin-1, lower case depends on no neighbour: fewer different words
-                t.encode("latin-1")
-                t = t.lower()
-            except UnicodeEncodeError:
-                pass
-            split.append(t.split())
-        every = set().union(*(w for w in split if w))
-        new = every.difference(self.words)
-        if new:
-            if len(self.words) + len(new) > self.remember:  # what occurs again stays
-                self.words = {w: self.words[w] for w in every.intersection(self.words)}
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [self._exact(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        return self.encode_array(pa.array(texts, pa.string()))
 
 
 def encoded(enc: WordEncoder, texts: pa.Array):
@@ -123,7 +193,7 @@ def encoded(enc: WordEncoder, texts: pa.Array):
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + AT_ONCE, "right")) - 1)
-        yield from enc.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+        yield from enc.encode_array(texts.slice(lo, hi - lo))
         lo = hi
 
 

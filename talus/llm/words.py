@@ -77,8 +77,8 @@ def _cut(data: np.ndarray, offsets: np.ndarray, start: int) -> int:
     return int(best)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word in order, and for each row where its words begin (with the end of the last)."""
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word in order, where each begins, and for each row which of its words is the first (with the end of the last)."""
     found, places, start = [], [], 0
     while start < len(data):
         end = _cut(data, offsets, start)
@@ -98,8 +98,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             places.append(at + start)
         start = end
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(found), np.searchsorted(np.concatenate(places), offsets, "left")
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    places = np.concatenate(places)
+    return np.concatenate(found), places, np.searchsorted(places, offsets, "left")
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word in order, and for each row which of its words is the first (with the end of the last)."""
+    found, _, bounds = word_places(data, offsets)
+    return found, bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
