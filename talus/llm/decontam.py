@@ -52,16 +52,16 @@ class Items:
         shingles, cut = W.shingle_hashes(self.words, self.bounds, WIDTH)
         self.ids, self.n = ids, np.diff(self.bounds)
         self.sets = [np.unique(shingles[cut[i] : cut[i + 1]]) for i in range(len(ids))]
-        owner = np.repeat(np.arange(len(ids)), np.diff(cut))
-        order = np.argsort(shingles, kind="stable")
-        self.keys, self.owner = shingles[order], owner[order]
-        self.known, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]), return_counts=True)
+        keys = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], np.repeat(np.arange(len(ids)), [len(s) for s in self.sets])[order]
+        self.known, count = np.unique(keys, return_counts=True)
         if shared is not None:
             count = np.array([shared.get(int(s), 1) for s in self.known.view(np.int64)], np.int64)
         total = len(ids) if total is None else total
-        weights = np.log1p(total / np.maximum(count, 1))
+        self.weight = np.log1p(total / np.maximum(count, 1))
         self.rest = float(np.log1p(total))
-        self.weights = [weights[np.searchsorted(self.known, s)] for s in self.sets]
+        self.weights = [self.weight[np.searchsorted(self.known, s)] for s in self.sets]
         self.whole = np.array([w.sum() for w in self.weights])
         self.bloom = np.zeros(1 << 20, bool)
         self.bloom[(self.keys & U64((1 << 20) - 1)).astype(np.int64)] = True
@@ -99,41 +99,62 @@ class Items:
         return pairs[:, 0], pairs[:, 1]
 
     def likeness(self, s: np.ndarray, item: int) -> float:
-        """Weighted Jaccard of a set of shingles with an item's."""
-        own = np.isin(self.sets[item], s, assume_unique=True)
+        """Weighted Jaccard of a set of shingles, in order, with an item's."""
+        own = s[np.minimum(np.searchsorted(s, self.sets[item]), len(s) - 1)] == self.sets[item]
         return float(self.weights[item][own].sum() / (self.whole[item] + self.rest * (len(s) - own.sum())))
 
-    def windows(self, words: int, shingles: np.ndarray) -> np.ndarray:
-        """(start, end) of the windows of a document that can pass, without repeats and in order."""
+    def candidates(self, shingles: np.ndarray, cut: np.ndarray):
+        """(document, {item: (places, weights) of the item's shingles in it}) for documents that hold LEAST of an item's weight or more.
+
+        shingles: of several documents, each from its cut on.
+        """
         hit = np.flatnonzero(self.bloom[(shingles & U64((1 << 20) - 1)).astype(np.int64)])
-        hit = hit[np.isin(shingles[hit], self.known)]
+        at = np.minimum(np.searchsorted(self.known, shingles[hit]), max(0, len(self.known) - 1))
+        on = self.known[at] == shingles[hit] if len(self.known) else np.zeros(0, bool)
+        hit, at = hit[on], at[on]
         lo, hi = np.searchsorted(self.keys, shingles[hit], "left"), np.searchsorted(self.keys, shingles[hit], "right")
         n = hi - lo
         item = self.owner[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
-        place = np.repeat(hit, n)
+        place, shingle = np.repeat(hit, n), np.repeat(at, n)
+        doc = np.searchsorted(cut, place, "right") - 1
+        order = np.lexsort((place, shingle, item, doc))
+        doc, item, place, shingle = doc[order], item[order], place[order], shingle[order]
+        if not len(doc):
+            return
+        group = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
+        first = np.ones(len(doc), bool)
+        first[1:] = shingle[1:] != shingle[:-1]
+        first[group] = True
+        held = np.add.reduceat(self.weight[shingle] * first, group)
+        end, out, of = np.append(group[1:], len(doc)), {}, -1
+        for k in np.flatnonzero(held >= (LEAST - 1e-9) * self.whole[item[group]]):
+            a, b = group[k], end[k]
+            if doc[a] != of:
+                if out:
+                    yield of, out
+                out, of = {}, int(doc[a])
+            own = np.argsort(place[a:b])
+            out[int(item[a])] = (place[a:b][own] - cut[of], self.weight[shingle[a:b]][own])
+        if out:
+            yield of, out
+
+    def windows(self, words: int, held: dict) -> np.ndarray:
+        """(start, end) of the windows of a document that hold a shingle of an item of their size, without repeats and in order."""
         out = [np.zeros((0, 2), np.int64)]
-        order = np.argsort(item, kind="stable")
-        item, place = item[order], place[order]
-        cut = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]])) if len(item) else np.zeros(1, np.int64)
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            k = int(item[a])
-            own = np.isin(self.sets[k], shingles[place[a:b]])
-            if self.weights[k][own].sum() < (LEAST - 1e-9) * self.whole[k]:
-                continue
+        for k, (place, _) in held.items():
             size, last = int(self.n[k]), max(0, words - int(self.n[k]))
-            first = np.clip(np.unique(place[a:b]) - (size - WIDTH), 0, last)
-            upto = np.minimum(np.unique(place[a:b]), last)
             edge = np.zeros(last + 2, np.int32)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, upto + 1, -1)
+            np.add.at(edge, np.clip(place - (size - WIDTH), 0, last), 1)
+            np.add.at(edge, np.minimum(place, last) + 1, -1)
             start = np.flatnonzero(np.cumsum(edge) > 0)
             out.append(np.stack([start, np.minimum(start + size, words)], 1))
         return np.unique(np.concatenate(out), axis=0)
 
-    def scan(self, words: np.ndarray, shingles: np.ndarray) -> dict[int, tuple[float, int]]:
-        """item -> (likeness, first word) of the best window of a document of at least WIDTH words."""
+    def scan(self, words: np.ndarray, shingles: np.ndarray, held: dict) -> dict[int, tuple[float, int]]:
+        """item -> (likeness, first word) of the best window of a document of at least WIDTH words, for the items it holds enough of."""
         out: dict[int, tuple[float, int]] = {}
-        window = self.windows(len(words), shingles)
+        window = self.windows(len(words), held)
+        upto = {k: (place, np.concatenate([[0], np.cumsum(w)])) for k, (place, w) in held.items()}
         lo = 0
         while lo < len(window):
             first = int(window[lo, 0])
@@ -141,12 +162,20 @@ class Items:
             w = window[lo:hi]
             lo = hi
             last = int(w[:, 1].max())
-            prints = fingerprints(words[first:last], w[:, 0] - first, w[:, 1] - w[:, 0])
-            for x, item in zip(*self.near(prints), strict=True):
-                a, b = w[x]
-                got = self.likeness(np.unique(shingles[a : max(a + 1, b - WIDTH + 1)]), int(item))
-                if got >= LEAST - 1e-9 and got > out.get(int(item), (0.0, 0))[0]:
-                    out[int(item)] = (got, int(a))
+            near, items = self.near(fingerprints(words[first:last], w[:, 0] - first, w[:, 1] - w[:, 0]))
+            for item in held.keys() & set(items.tolist()):
+                x = w[near[items == item]]
+                place, total = upto[item]
+                # no window is more alike than by all the weight of the item's shingles in it
+                most = (total[np.searchsorted(place, x[:, 1] - WIDTH, "right")] - total[np.searchsorted(place, x[:, 0])]) / self.whole[item]
+                for k in np.lexsort((x[:, 0], -most)):
+                    best = out.get(item, (LEAST - 1e-9, 0))
+                    if most[k] < best[0] - 1e-12:
+                        break
+                    a, b = x[k]
+                    got = self.likeness(np.unique(shingles[a : max(a + 1, b - WIDTH + 1)]), item)
+                    if got > best[0] + 1e-12 or (item in out and abs(got - best[0]) <= 1e-12 and a < best[1]) or (item not in out and got >= best[0]):
+                        out[item] = (got, int(a))
         return out
 
 
@@ -200,10 +229,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, hi in W.slices(at):
                     words, bounds = W.word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                     all_, cut = W.shingle_hashes(words, bounds, WIDTH)
-                    maybe = np.add.reduceat(np.append(items.bloom[(all_ & U64((1 << 20) - 1)).astype(np.int64)], False), np.minimum(cut[:-1], len(all_))) > 0 if len(cut) > 1 else []
-                    for i in np.flatnonzero(maybe):
+                    for i, held in items.candidates(all_, cut):
                         if bounds[i + 1] - bounds[i] >= WIDTH:
-                            found = items.scan(words[bounds[i] : bounds[i + 1]], all_[cut[i] : cut[i + 1]])
+                            found = items.scan(words[bounds[i] : bounds[i + 1]], all_[cut[i] : cut[i + 1]], held)
                             rows += [(ids[lo + i], items.ids[k], s, a) for k, (s, a) in found.items()]
                     for width in items.short:
                         part, cut2 = W.shingle_hashes(words, bounds, width)

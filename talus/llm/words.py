@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from talus.llm import worker
 
 U64 = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
