@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Department categories in order, each with the substrings that select it.
@@ -61,6 +63,44 @@ JUNK_HEADINGS = (
 )
 
 
+# What a scraped name does not start with or contain.
+SCRAPED_PREFIXES = (
+    "administration", "clinical", "faculty", "students", "technology", "principal", "research", "application", "deadlines", "program", "department", "office", "center",
+    "institute", "about", "contact", "news", "events", "curriculum", "admission",
+)
+SCRAPED_JUNK = ("expand_more", "expand_less", "read more", "learn more", "view all", "load more", "show more", "see all")
+# Schools by the names they go under, and those that are shown.
+SCHOOLS = {
+    "harvard": "Harvard University", "harvard university": "Harvard University", "harvard medical school": "Harvard University", "broad institute": "Harvard University",
+    "broad institute of mit and harvard": "Harvard University", "mit": "MIT", "massachusetts institute of technology": "MIT", "bu": "Boston University",
+    "boston university": "Boston University", "northeastern": "Northeastern University", "northeastern university": "Northeastern University", "tufts": "Tufts University",
+    "tufts university": "Tufts University", "stanford": "Stanford University", "stanford university": "Stanford University", "yale": "Yale University",
+    "yale university": "Yale University", "princeton": "Princeton University", "princeton university": "Princeton University",
+}
+ENABLED_SCHOOLS = (
+    "harvard university", "mit", "boston university", "northeastern university", "tufts university", "stanford university", "yale university", "princeton university",
+)
+# What tells of a field, and of work at a bench or a computer.
+DOMAINS = {
+    "life_sciences": ("biology", "biochemistry", "genetics", "genomics", "cell", "molecular", "neuroscience", "immunology", "microbiology", "ecology", "evolution"),
+    "physical_sciences": ("physics", "chemistry", "materials", "quantum", "optics", "thermodynamics"),
+    "engineering": ("engineering", "robotics", "systems", "design", "optimization", "control"),
+    "computer_science": ("computer", "algorithm", "software", "programming", "data", "computing"),
+    "social_sciences": ("psychology", "economics", "sociology", "political", "anthropology"),
+}
+WET_LAB = ("pcr", "western blot", "cell culture", "microscopy", "chromatography", "electrophoresis", "cloning", "transfection", "immunostaining")
+DRY_LAB = ("python", "r", "matlab", "machine learning", "data analysis", "statistical analysis", "bioinformatics", "computational modeling")
+# What tells of a level, the first that is found.
+LEVELS = [("postdoc", ["postdoc", "post-doctoral", "research fellow"]), ("phd", ["phd", "doctoral", "dissertation"]), ("masters", ["master", "ms ", "ma ", "mba"])]
+# Categories as they are shown.
+CATEGORY_NAMES = {
+    "cs": "Computer Science", "engineering": "Engineering", "biology": "Biology & Life Sciences", "chemistry": "Chemistry", "physics": "Physics & Astronomy",
+    "math": "Mathematics & Statistics", "medicine": "Medicine & Health", "neuro": "Neuroscience", "social": "Social Sciences", "economics": "Economics & Finance",
+    "materials": "Materials Science", "earth": "Earth & Planetary Sciences", "business": "Business & Management", "arts": "Arts & Humanities", "env": "Environmental Science",
+    "energy": "Energy",
+}
+
+
 def any_of(text: Column, parts: list[str]) -> Column:
     """Whether text contains one of the parts; null text contains none."""
     out = F.lit(False)
@@ -105,6 +145,63 @@ def person_name(name: Column) -> Column:
     return F.coalesce(F.contains(n, F.lit(" ")) & (F.length(n) <= 60) & ~prefix & ~any_of(low, NAME_JUNK) & ~n.rlike("[0-9]"), F.lit(False))
 
 
+def count_of(text: Column, parts: Sequence[str]) -> Column:
+    """How many of the parts a text contains."""
+    return F.size(F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p)))
+
+
+def level(text: Column) -> Column:
+    return first_rule(F.lower(text), LEVELS, "undergraduate")
+
+
+def lab_kind(text: Column) -> Column:
+    """wet or dry where words of one outnumber the other's twice over, mixed where there are any."""
+    wet, dry = count_of(F.lower(text), WET_LAB), count_of(F.lower(text), DRY_LAB)
+    return F.when(wet > dry * 2, "wet").when(dry > wet * 2, "dry").when((wet > 0) | (dry > 0), "mixed").otherwise("any")
+
+
+def domains(text: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(any_of(F.lower(text), list(v)), k) for k, v in DOMAINS.items()]))
+
+
+def scraped_name(name: Column) -> Column:
+    """Whether a heading or link of a page can be a name."""
+    n = F.trim(name)
+    low, prefix = F.lower(n), F.lit(False)
+    for p in SCRAPED_PREFIXES:
+        prefix = prefix | low.startswith(p)
+    return F.coalesce(F.contains(n, F.lit(" ")) & (F.length(n) <= 60) & ~prefix & ~any_of(low, SCRAPED_JUNK), F.lit(False))
+
+
+def mapped(value: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), value)
+
+
+def school(name: Column) -> Column:
+    """A school by the name it is shown under; any other without spaces around, null as empty."""
+    own = F.trim(F.coalesce(name, F.lit("")))
+    return F.coalesce(mapped(F.lower(own), SCHOOLS), own)
+
+
+def category_name(key: Column) -> Column:
+    return mapped(key, CATEGORY_NAMES)
+
+
+def attribute_filter(df: DataFrame, wanted: dict) -> DataFrame:
+    """The rows that meet all that is wanted of: min_h_index, max_h_index, has_email, has_website, has_funding, department, research_field."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    within = lambda c, x: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(x.lower()))
+    h = F.coalesce("h_index", F.lit(0))
+    rules_ = {
+        "min_h_index": lambda x: h >= x, "max_h_index": lambda x: h <= x, "has_email": lambda x: ~blank("email") if x else F.lit(True), "has_website": lambda x: ~blank("website") if x else F.lit(True),
+        "has_funding": lambda x: F.coalesce("grants", F.lit(0)) > 0 if x else F.lit(True), "department": lambda x: within("department", x), "research_field": lambda x: within("topics", x) | within("areas", x),
+    }
+    for name, value in wanted.items():
+        if value is not None and value != "":
+            df = df.where(rules_[name](value))
+    return df
+
+
 def reject_reason(name: Column) -> Column:
     """Why a name is not admitted, by the first rule that fails; null for admitted names.
 

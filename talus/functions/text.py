@@ -147,6 +147,17 @@ def emails(text: Column) -> Column:
     return F.filter(found, own)
 
 
+def any_email(text: Column) -> Column:
+    """The first personal address of a text that has .edu in it, else the first; null for none."""
+    found = emails(text)
+    return F.coalesce(F.get(F.filter(found, lambda e: F.contains(e, F.lit(".edu"))), F.lit(0)), F.get(found, F.lit(0)))
+
+
+def instant(text: Column) -> Column:
+    """The time that an ISO 8601 text names, in UTC where it names no zone; null for anything else."""
+    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+
+
 def tokens(text: Column, least: int = 3) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) >= least)
 

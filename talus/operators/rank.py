@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.sources.scratch import stash
+
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows in an order, with rank; the order should end in a unique column."""
@@ -113,6 +115,23 @@ def running_sum(df: DataFrame, value: str, key: str) -> DataFrame:
     return summed.withColumn("total", F.col("total") + F.col("start")).drop("range_", "start")
 
 
+def places(df: DataFrame, to: str, *order: Column) -> DataFrame:
+    """df with to: each row's place in an order, from 1. The order should end in a unique column.
+
+    Rows are sorted by ranges; only the number of rows in each range comes to the driver, so no task sees all rows.
+    """
+    held = stash(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    held = held.withColumn("_range", F.shiftright("_at", 33))
+    counts = sorted((r["_range"], r["count"]) for r in held.groupBy("_range").count().collect())
+    start, at = [], 0
+    for r, n in counts:
+        start.append((r, at))
+        at += n
+    begins = df.sparkSession.createDataFrame(start, "_range long, _start long")
+    place = F.col("_start") + F.col("_at") - F.shiftleft("_range", 33) + 1
+    return held.join(F.broadcast(begins), "_range").withColumn(to, place).drop("_at", "_range", "_start")
+
+
 def mmr(pool: DataFrame, k: int, weight: float = 0.75) -> DataFrame:
     """Maximal marginal relevance for each query: pool (query_id, id, score 0..100, and vector or terms) -> query_id, id, rank.
 

@@ -77,19 +77,6 @@ def F1_browse(t):
     return p.join(low, "p_brand", "left_semi").where((C("p_size") >= 10) & F.contains("p_type", L("S"))).select("p_partkey", "p_name", "p_size")
 
 
-_T, _S = "(select min(p_type) from part)", 25
-
-
-@query(f"with f as (select *, p_type = {_T} as ft, p_size <= {_S} as fs from part) select 'brand' as facet, p_brand as value, count(*) as n from f where ft and fs group by p_brand union all select 'type', p_type, count(*) from f where fs group by p_type union all select 'size', cast(p_size as varchar), count(*) from f where ft group by p_size")
-def M24_facets(t):
-    """Values of each facet among the rows that pass all other filters: one pass over flags."""
-    p = t("part")
-    low = p.agg(F.min("p_type").alias("low"))
-    f = p.crossJoin(F.broadcast(low)).select("p_brand", "p_type", C("p_size").cast("string").alias("p_size"), (C("p_type") == C("low")).alias("ft"), (C("p_size") <= _S).alias("fs"))
-    rows = F.array(F.struct(L("brand").alias("facet"), C("p_brand").alias("value"), (C("ft") & C("fs")).alias("ok")), F.struct(L("type").alias("facet"), C("p_type").alias("value"), C("fs").alias("ok")), F.struct(L("size").alias("facet"), C("p_size").alias("value"), C("ft").alias("ok")))
-    return f.select(F.inline(rows)).where("ok").groupBy("facet", "value").agg(F.count("*").alias("n"))
-
-
 @query("select c_custkey, 2.0 * (c_acctbal > 0)::int + (c_mktsegment is not null)::int + 0.5 * (c_nationkey > 5)::int as priority from customer")
 def M23_priority(t):
     return t("customer").select("c_custkey", (2.0 * (C("c_acctbal") > 0).cast("int") + C("c_mktsegment").isNotNull().cast("int") + 0.5 * (C("c_nationkey") > 5).cast("int")).alias("priority"))
@@ -153,11 +140,6 @@ def J3_saved_flag(t):
     return t("customer").join(saved, "c_custkey", "left").select("c_custkey", C("y").isNotNull().alias("is_saved"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1998-01-01')")
-def J4_anti(t):
-    return t("customer").join(t("orders").where("o_orderdate >= timestamp'1998-01-01'"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("with k as (select * from (values ('example.com', 'com', 1), ('blog.', 'blog', 2), ('example', 'any', 3), ('/en/', 'english', 4)) v(k, d, p)), m as (select page_id, d, row_number() over (partition by page_id order by length(k) desc, p) as rn from pages join k on contains(lower(url), k)) select page_id, d from m where rn = 1")
 def J10_longest_key(t):
     """The value of the longest key that a URL contains: literal keys, so no join."""
@@ -411,21 +393,6 @@ def X4_set_operations(t):
     return both.subtract(t("nation").where("n_regionkey = 1").select("n_nationkey"))
 
 
-@query("select c_mktsegment, metric, value from (select c_mktsegment, count(*)::double as n, round(max(c_acctbal), 2) as most from customer group by 1) unpivot (value for metric in (n, most))")
-def V8_comparison(t):
-    a = t("customer").groupBy("c_mktsegment").agg(F.count("*").cast("double").alias("n"), F.round(F.max("c_acctbal"), 2).alias("most"))
-    return a.unpivot("c_mktsegment", ["n", "most"], "metric", "value")
-
-
-@query()
-def J6_fuzzy_names(t):
-    """The best customer for each supplier name among those of its nation; matching-blocks ratio of at least 0.85."""
-    s = t("supplier").select("s_suppkey", C("s_nationkey").alias("k"), F.lower("s_name").alias("a"))
-    c = t("customer").select("c_custkey", C("c_nationkey").alias("k"), F.regexp_replace(F.lower("c_name"), "customer", "supplier").alias("b"))
-    scored = s.join(c, "k").where("levenshtein(a, b, 6) >= 0").select("s_suppkey", "c_custkey", F.round(text.seq_ratio("a", "b"), 4).alias("ratio")).where("ratio >= 0.85")
-    return rank.keep_first(scored, ["s_suppkey"], C("ratio").desc(), C("c_custkey"))
-
-
 @query("select c_custkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(c_name || ', Jr.'), '[.,]', ' ', 'g'), '\\s+', ' ', 'g'), ' (Jr|Sr|III?|MD)( |$)', ' '))) as name_key from customer")
 def T1_name_key(t):
     return t("customer").select("c_custkey", text.dedupe_name(text.ascii_fold(F.concat("c_name", L(", Jr.")))).alias("name_key"))

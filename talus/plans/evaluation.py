@@ -69,11 +69,6 @@ def M17_keyword_stage(t):
     return rank.top_k(t("part").select("p_partkey", evaluate.keyword_stage(z % 6, z % 2, z % 3).alias("score")), 100, C("score").desc(), C("p_partkey"))
 
 
-@query("select p_partkey from part where p_size >= 10 and p_size <= 40 and contains(lower(p_type), 'small')")
-def F2_attributes(t):
-    return t("part").where(evaluate.attributes(10, 40, C("p_size"), [F.contains(F.lower("p_type"), L("small"))])).select("p_partkey")
-
-
 @query("select doc_id, regexp_extract(text, '20[0-9]{2}') as year from documents")
 def T27_year(t):
     return t("documents").select("doc_id", F.regexp_extract("text", "20[0-9]{2}", 0).alias("year"))
@@ -85,9 +80,3 @@ _text = "case doc_id % 4 when 0 then 'mail info@alpha.edu or jdoe@alpha.edu, Jan
 @query("select doc_id, case doc_id % 4 when 0 then 'jdoe@alpha.edu' when 1 then 'doe@c.edu' end as email from documents")
 def T15_best_email(t):
     return t("documents").select("doc_id", evaluate.best_email(F.expr(_text), L("jane"), L("doe")).alias("email"))
-
-
-@query("select c_custkey, coalesce(case c_nationkey % 3 when 0 then 'MIT' when 1 then 'Harvard' end, trim(' ' || c_name)) as school from customer")
-def V20_school_alias(t):
-    known = F.create_map(L("0"), L("MIT"), L("1"), L("Harvard"))
-    return t("customer").select("c_custkey", F.coalesce(F.try_element_at(known, (C("c_nationkey") % 3).cast("string")), F.trim(F.concat(L(" "), C("c_name")))).alias("school"))

@@ -132,17 +132,6 @@ def W10_staged(t):
     return rank.top_k(third.select("vec_id", "rubric", "score"), 20, C("rubric").desc(), C("score").desc(), C("vec_id")).drop("score")
 
 
-@query(
-    "with s as (select s_suppkey, s_nationkey as k, right(s_name, 2) as last from supplier), c as (select c_custkey, c_nationkey as k, right(c_name, 2) as last, left(c_mktsegment, 1) as one from customer), "
-    "m as (select s_suppkey, c_custkey, row_number() over (partition by s_suppkey order by c_custkey) as r from s join c using (k, last) where one in ('B', 'M')) select s_suppkey, c_custkey from m where r = 1"
-)
-def J5_first_match(t):
-    """Equal last part within a nation, then a rule on the first part; the first candidate in stored order."""
-    s = t("supplier").select("s_suppkey", C("s_nationkey").alias("k"), F.right("s_name", L(2)).alias("last"))
-    c = t("customer").where(F.left("c_mktsegment", L(1)).isin("B", "M")).select("c_custkey", C("c_nationkey").alias("k"), F.right("c_name", L(2)).alias("last"))
-    return rank.keep_first(s.join(c, ["k", "last"]), ["s_suppkey"], C("c_custkey")).select("s_suppkey", "c_custkey")
-
-
 @query("select * exclude (r) from (select s_nationkey, s_suppkey, s_acctbal, row_number() over (partition by s_nationkey order by s_acctbal, s_suppkey) as r from supplier) where r <= 50")
 def A19_samples(t):
     s = t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from talus.plans import catalog, evaluation, matching, pages, people  # noqa: F401
+from talus.plans import catalog, evaluation, joins, matching, pages, people, reshape  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
