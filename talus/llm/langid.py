@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talus.llm import worker
+
 #: Hashed n-gram features.
 DIM = 1 << 16
 #: N-gram lengths in code points.
@@ -58,6 +60,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     block = DIM // 16
 
     def go(batches):
+        worker.claim("grams")
         df, rows = np.zeros(DIM, np.int64), 0
         for batch in batches:
             for t in batch.column("text"):
@@ -197,6 +200,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
     def go(batches):
+        worker.claim("grams")
         for batch in batches:
             out = [model.predict(t.as_py()) for t in batch.column("text")]
             batch = batch.append_column("lang_pred", pa.array([o[0] for o in out], pa.string()))

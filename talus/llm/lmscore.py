@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.llm import worker
 from talus.llm.jaccard import by_bucket, chunk_id, pack, unpack
 from talus.llm.packing import encoded, encoder, tokenizer_path
 from talus.llm.store import buckets, stash
@@ -23,7 +24,7 @@ VOCABULARY = 1 << 16
 START = VOCABULARY - 1
 #: Weight of the unigram model in the bigram model, in counts; and of the uniform in the unigram model.
 MU, UNIFORM = 8.0, 1.0
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Text bytes whose bigrams one bucket takes, about.
 BUCKET_BYTES = 16 << 20
 
@@ -70,6 +71,7 @@ def _pairs(h: dict) -> np.ndarray:
 
 def _unigrams(batches):
     """Counts of tokens and of histories, in the background's documents and in the target's, by one row for each partition."""
+    worker.claim("counts")
     held = np.zeros((4, VOCABULARY), np.int64)
     for batch in batches:
         for blob in batch.column("body").to_pylist():
@@ -90,6 +92,7 @@ def _sum(table: pa.Table) -> pa.Table:
 
 def _bigram_rows(nb: int):
     def go(batches):
+        worker.claim("counts")
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 h = unpack(blob)
@@ -152,6 +155,7 @@ def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         uni[r["k"]] = np.frombuffer(r["counts"], np.int64)
 
     def answer(table: pa.Table) -> pa.Table:
+        worker.claim("counts")
         own = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(c, np.uint32).reshape(2, -1) for c in table.column("counts").to_pylist()], axis=1)
         _, back = np.unique(np.concatenate(own), return_inverse=True)
@@ -162,6 +166,7 @@ def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     answers = chunks.mapInArrow(_bigram_rows(nb), "bucket int, chunk long, keys binary, counts binary").groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, total binary")
 
     def collect(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker.claim("counts")
         h = unpack(left.column("body")[0].as_py())
         pair = _pairs(h)
         keys, back = np.unique(pair, return_inverse=True)

@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talus.sources.scratch import shared_dir, stash  # noqa: F401  (the operators take them from here)
+
 #: What a null doc_id counts as in order: the least number.
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset and all runs in one process, a folder of this session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.talus.scratch", None)
-        if not path:
-            master = spark.conf.get("spark.master", "")
-            if master != "local" and not master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            path = "file://" + tempfile.mkdtemp(prefix="talus-")
-            spark.conf.set("spark.talus.scratch", path)
-    return path.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends here and a lost executor loses nothing.
-
-    The table stays as long as the shared folder does, since the frame returned is lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     """How many partitions the cluster is set to deal a shuffle over."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
