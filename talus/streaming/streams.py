@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from talus.sources.scratch import fresh_path
+
 
 class Limiter(StatefulProcessor):
     """Admits an attempt while fewer than `most` admitted ones lie within `seconds` before it; rejected ones don't count."""
@@ -57,7 +59,33 @@ def views(events: DataFrame, every: str = "1 day", late: str | None = None) -> D
 
 
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what its source has now, into a table in memory."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what its source has now, with a checkpoint, into Parquet files of the shared folder; gives their rows.
+
+    A stream in complete mode writes its whole result each time, and the last one counts.
+    """
+    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, name)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    last = []
+
+    def whole(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows-{batch}")
+        last.append(batch)
+
+    writer.foreachBatch(whole).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows-{max(last)}") if last else spark.createDataFrame([], stream.schema)
+
+
+def resumed(spark, source: str, glob: str, schema, checkpoint: str, out: str) -> int:
+    """Takes what a folder has that earlier runs with this checkpoint did not take, appends it to out; the number of new rows."""
+    new = []
+
+    def add(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        new.append(spark.read.parquet(f"{out}/batch={batch}").count())
+
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source)
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    return sum(new)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import text
 from talus.operators import rank
-from talus.plans import catalog, joins, matching, pages, people, reshape  # noqa: F401
+from talus.plans import catalog, files, joins, matching, pages, people, reshape  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 MORE = "/root/testdata/sf0.01"
