@@ -17,8 +17,8 @@ SHARDS = 24
 FIRST = 2048
 #: Probes between a splitter's bounds in each round.
 PROBES = 32
-#: Ranges that each shard is exchanged in; slots are numbered within them.
-RANGES = 8
+#: Ranges that each shard is exchanged in, at least, and rows that a range holds about, at most; slots are numbered within them.
+RANGES, RANGE_ROWS = 8, 2_000_000
 
 _SPAN = 1 << 64
 
@@ -103,12 +103,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0
 def _shard(keyed: DataFrame, shards: int, tolerance: float) -> DataFrame:
     """Numbers keyed rows (h, d, r, size, ...); the rows themselves move once, to the range that holds them."""
     keyed = stash(keyed, "keys")
-    total = keyed.agg(F.sum("size")).first()[0]
+    total, rows = keyed.agg(F.sum("size"), F.count("*")).first()
+    ranges = max(RANGES, -(-rows // (shards * RANGE_ROWS)))
     if total is None:
         return keyed.withColumns({"range": F.lit(0), "shard": F.lit(0), "slot": F.lit(0).cast("long")})
     share = total / shards
-    loose = [int(tolerance * share) if (k + 1) % RANGES == 0 else int(share / RANGES / 4) for k in range(shards * RANGES - 1)]
-    cuts = _bytes(sorted(splitters(keyed, total, shards * RANGES, loose)))
+    loose = [int(tolerance * share) if (k + 1) % ranges == 0 else int(share / ranges / 4) for k in range(shards * ranges - 1)]
+    cuts = _bytes(sorted(splitters(keyed, total, shards * ranges, loose)))
 
     def deal(batches):
         for batch in batches:
@@ -117,10 +118,10 @@ def _shard(keyed: DataFrame, shards: int, tolerance: float) -> DataFrame:
     dealt = keyed.mapInArrow(deal, T.StructType([*keyed.schema.fields, T.StructField("range", T.IntegerType())]))
     size = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
     base, at = [], 0
-    for k in range(shards * RANGES):
-        at = 0 if k % RANGES == 0 else at
+    for k in range(shards * ranges):
+        at = 0 if k % ranges == 0 else at
         base.append(at)
         at += size.get(k, 0)
     slot = F.row_number().over(Window.partitionBy("range").orderBy("h", "d", "r")) - 1
     first = F.element_at(F.array(*[F.lit(b) for b in base]), F.col("range") + 1)
-    return dealt.withColumns({"slot": (slot + first).cast("long"), "shard": F.floor(F.col("range") / RANGES).cast("int")})
+    return dealt.withColumns({"slot": (slot + first).cast("long"), "shard": F.floor(F.col("range") / ranges).cast("int")})

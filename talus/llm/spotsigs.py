@@ -25,19 +25,22 @@ ANCHORS = (
 def signatures(docs: DataFrame, text: str, to: str) -> DataFrame:
     """docs with the column to: the sorted distinct signatures of column text (null: empty).
 
-    The start of a text counts as an anchor. A text of anchors only has one signature of all its words, and a text without
-    words one of its characters, so equal texts always have equal signatures and every text has one at least.
+    The start of a text counts as an anchor. Where no other anchor has a content word behind it (tables, lists, other languages),
+    all chains of three content words count, so that the whole text tells. A text of anchors only has one signature of all
+    its words, and a text without words one of its characters, so equal texts always have equal signatures and every text
+    has one at least.
     """
     words = f"filter(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> t <> '')"
     listed = ", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))
     out = docs.withColumn("_t", F.expr(f"transform({words}, t -> struct(xxhash64(t) as h, t in ({listed}) as a))"))
     before = "concat(array(struct(0L as h, true as a)), slice(_t, 1, greatest(size(_t) - 1, 0)))"
     out = out.withColumn("_c", F.expr(f"filter(zip_with(_t, {before}, (x, p) -> struct(x.h as h, x.a as a, p.h as ph, p.a as pa)), x -> not x.a)"))
+    out = out.withColumn("_w", F.expr("not exists(_c, x -> x.pa and x.ph <> 0L)"))
     pairs = "zip_with(_c, slice(_c, 2, greatest(size(_c), 1)), (x, y) -> struct(x.pa as pa, x.ph as ph, x.h as h, y.h as n1))"
-    chains = f"zip_with({pairs}, slice(_c, 3, greatest(size(_c), 1)), (x, y) -> if(x.pa, xxhash64(x.ph, x.h, coalesce(x.n1, 1L), coalesce(y.h, 2L)) & 4294967295L, null))"
+    chains = f"zip_with({pairs}, slice(_c, 3, greatest(size(_c), 1)), (x, y) -> if(x.pa or _w, xxhash64(if(_w, 0L, x.ph), x.h, coalesce(x.n1, 1L), coalesce(y.h, 2L)) & 4294967295L, null))"
     kept = f"array_sort(array_distinct(filter({chains}, s -> s is not null)))"
     whole = f"array(xxhash64(if(size(_t) > 0, cast(transform(_t, x -> x.h) as string), coalesce({text}, ''))) & 4294967295L)"
-    return out.withColumn(to, F.expr(f"if(size(_c) > 0, {kept}, {whole})")).drop("_t", "_c")
+    return out.withColumn(to, F.expr(f"if(size(_c) > 0, {kept}, {whole})")).drop("_t", "_c", "_w")
 
 
 def printed(signature: str) -> Column:
@@ -75,10 +78,11 @@ def near_pairs(docs: DataFrame, least: float = 0.75) -> DataFrame:
     return met.where(F.col("likeness") >= least).dropDuplicates(["a", "b"])
 
 
-def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, cols: list[str], make=None) -> DataFrame:
     """docs (doc_id, text, ...) with next_<c> of the row that follows in order of doc_id and text; after the last comes the first.
 
     Rows are dealt to ranges of doc_id. The first row of each range closes the one before it, so no task sees more than a range.
+    make adds columns of cols that docs lacks; it is given each row once, and the first ones of ranges a second time.
     """
     n = max(1, min(parts(docs.sparkSession), 1000))
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
@@ -91,6 +95,7 @@ def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
     docs = docs.withColumn("_bucket", bucket)
     heads = sorted((r["_bucket"], r["low"]) for r in docs.groupBy("_bucket").agg(F.min("_id").alias("low")).collect())
     if not heads:
+        docs = make(docs) if make else docs
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in cols]).drop("_id", "_bucket")
     before = {b: heads[k - 1][0] for k, (b, _) in enumerate(heads)}
     spark = docs.sparkSession
@@ -98,6 +103,7 @@ def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
     first = docs.join(F.broadcast(low), ["_bucket", "_id"]).withColumn("_n", F.row_number().over(Window.partitionBy("_bucket").orderBy("text"))).where("_n = 1")
     first = first.withColumns({"_bucket": F.col("_to"), "_end": F.lit(1)}).drop("_to", "_n")
     both = docs.withColumn("_end", F.lit(0)).unionByName(first)
+    both = make(both) if make else both
     w = Window.partitionBy("_bucket").orderBy("_end", "_id", "text")
     return both.withColumns({f"next_{c}": F.lead(c).over(w) for c in cols}).where("_end = 0").drop("_end", "_id", "_bucket")
 
@@ -110,7 +116,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     row the first). Null texts count as empty. Repeated rows follow each other. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = with_next(signatures(own, "text", "s"), ["text", "s"])
+    both = with_next(own, ["text", "s"], lambda rows: signatures(rows, "text", "s"))
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     cut = "cast(floor(n_chars / 4) as int)"
     both = both.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {cut}), substring(next_text, 1, {cut}))")).drop("text", "next_text")

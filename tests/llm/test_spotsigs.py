@@ -15,9 +15,10 @@ def chains(text):
     t = [w for w in re.split(r"[^\w]|_", text.lower()) if w]
     anchors = set(spotsigs.ANCHORS)
     out, c = set(), [(w, t[k - 1] if k else None, k == 0 or t[k - 1] in anchors) for k, w in enumerate(t) if w not in anchors]
+    inner = any(starts and before is not None for _, before, starts in c)
     for k, (w, before, starts) in enumerate(c):
-        if starts:
-            out.add((before, w, *[x[0] for x in c[k + 1 : k + 3]]))
+        if starts or not inner:  # without an inner anchor all chains count
+            out.add((before if inner else None, w, *[x[0] for x in c[k + 1 : k + 3]]))
     return out or {("whole", *t) if t else ("raw", text)}
 
 
@@ -26,6 +27,7 @@ def test_fingerprints_equal_brute_force(spark):
     vocab = spotsigs.ANCHORS[:20] + [f"w{k}é" for k in range(30)]
     rows = [(k * 5 - 20, " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 5, 40]))) + r.choice(["", "!", "…"]), "x") for k in range(40)]
     rows += [(None, "the one of them", None), (1000, None, "x"), (1001, "the and of", "x"), (1001, "the and of", "x"), (1002, " * ", "x"), (1003, "the word " * 40_000, "x")]
+    rows += [(2000 + k, " ".join(f"cell{k % 2}{j}" for j in range(30)) + f" end{k}", "x") for k in range(4)]  # no anchors at all
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     want = []
     for k, (i, t, _) in enumerate(order):
