@@ -13,6 +13,16 @@ STOPWORDS = (
     "of", "in", "to", "on", "by", "as", "or", "at", "it", "its",
 )
 
+# Words of award abstracts that are no keywords.
+AWARD_STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been", "be", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "this", "that", "these", "those", "it", "its", "they", "their", "them", "we", "our",
+    "you", "your", "he", "she", "his", "her", "which", "who", "whom", "what", "where", "when", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other",
+    "some", "such", "no", "not", "only", "same", "so", "than", "too", "very", "can", "just", "also", "now", "new", "one", "two", "first", "well", "way", "use", "used",
+    "using", "work", "project", "research", "study", "studies", "develop", "developed", "program", "award", "nsf", "support", "supported", "provide", "provides", "include",
+    "including", "based", "approach", "approaches", "understanding", "understand",
+)
+
 # Phrases that count as one term of more weight.
 PHRASES = (
     "machine learning", "deep learning", "neural network", "neural networks", "natural language processing", "computer vision", "reinforcement learning",

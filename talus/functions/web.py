@@ -6,7 +6,7 @@ import html
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -178,3 +178,50 @@ def heading_names(page: Column, levels: str = "2-4", longest: int = 60) -> Colum
     inner = F.regexp_extract_all(page, F.lit(rf"(?s)<h[{levels}][^>]*>(.*?)</h[{levels}]>"), F.lit(1))
     plain = F.transform(inner, lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", " "), "[ \\t\\r\\n]+", " ")))
     return F.array_distinct(F.filter(plain, lambda h: F.contains(h, F.lit(" ")) & (F.length(h) <= longest)))
+
+
+# What tells of a page with addresses, in a link's target and in its text; and how many such pages are looked at.
+CONTACT_TARGETS = (
+    "/contact", "/about", "/email", "/bio", "/profile", "/cv", "/home", "biography", "personal", "/people/", "/faculty/", "/staff/", "/directory/", "/info", "/reach",
+    "/connect", "?page=contact", "?view=contact", "?tab=contact",
+)
+CONTACT_WORDS = ("contact", "email", "reach", "about me", "bio")
+MOST_CONTACT_PAGES = 7
+
+
+def contact_pages(page: Column, url: Column) -> Column:
+    """Pages of the same host that a page links to as contact pages, in order, and those that usually are; seven at most."""
+    parts = F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*href\s*=\s*[\"']?([^\"'> ]*)[^>]*>.*?</a>"), F.lit(1))
+    words = F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*href\s*=\s*[\"']?[^\"'> ]*[^>]*>(.*?)</a>"), F.lit(1))
+    host, root = text.domain(url), F.regexp_extract(url, "^([a-z]+://[^/?#]*)", 1)
+    whole = lambda h: F.when(h.rlike("(?i)^[a-z]+://"), h).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(F.regexp_replace(url, "[^/]*$", ""), h))
+    links = F.zip_with(parts, words, lambda h, w: F.struct(h.alias("h"), F.lower(w).alias("w")))
+    some = F.filter(links, lambda x: ~F.lower(x["h"]).startswith("mailto:") & (any_of(F.lower(x["h"]), CONTACT_TARGETS) | any_of(x["w"], CONTACT_WORDS)))
+    there = F.filter(F.transform(some, lambda x: whole(x["h"])), lambda u: F.contains(text.domain(u), host) & (u != url))
+    base = F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", "")
+    usual = F.array(F.concat(base, F.lit("/contact")), F.concat(root, F.lit("/contact")), F.concat(base, F.lit("?tab=contact")))
+    return F.slice(F.array_distinct(F.concat(there, usual)), 1, MOST_CONTACT_PAGES)
+
+
+def link_names(page: Column, longest: int = 60) -> Column:
+    """Texts of links that can be names, as heading_names."""
+    inner = F.regexp_extract_all(page, F.lit(r"(?s)<a\b[^>]*>(.*?)</a>"), F.lit(1))
+    plain = F.transform(inner, lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, "<[^>]*>", " "), "[ \\t\\r\\n]+", " ")))
+    return F.array_distinct(F.filter(plain, lambda h: F.contains(h, F.lit(" ")) & (F.length(h) <= longest)))
+
+
+def directory_entries(pages: DataFrame) -> DataFrame:
+    """(name, email, website) of directory pages (page, html): the first six words before each mailto link since the one before it, its
+    address, and the first web link behind it. A later page, and a later place in it, overwrites an earlier one of the same name."""
+    part = F.split(F.col("html"), r"(?i)<a\b[^>]*href\s*=\s*[\"']?mailto:", -1)
+    each = pages.select("page", F.posexplode(part).alias("at", "part"), F.col("html"))
+    before = F.lag("part").over(Window.partitionBy("page").orderBy("at"))
+    each = each.withColumn("before", before).where("at > 0")
+    email = F.lower(F.trim(F.regexp_extract("part", r"^([^\"'>?]*)", 1)))
+    # what follows the link before this one up to the end of its entry belongs to that
+    own = F.when(F.col("at") > 1, F.regexp_replace("before", r"(?s)^.*?</(?:div|li|tr|p)>", "")).otherwise(F.col("before"))
+    words = F.filter(F.split(visible_text(own), r"\s+"), lambda w: w != "")
+    site = F.regexp_extract("part", r"(?i)<a\b[^>]*href\s*=\s*[\"']?(https?://[^\"'> ]*)", 1)
+    found = each.select("page", "at", F.array_join(F.slice(words, 1, 6), " ").alias("name"), email.alias("email"), site.alias("website")).where("email <> '' and name <> ''")
+    last = Window.partitionBy(F.lower("name")).orderBy(F.col("page").desc(), F.col("at").desc())
+    return found.withColumn("n", F.row_number().over(last)).where("n = 1").select("name", "email", "website")

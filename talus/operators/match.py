@@ -31,17 +31,17 @@ def url_score(url: Column, domain: Column, path: Column, first: Column, last: Co
 
 
 def email_score(email: Column, first: Column, last: Column, primary: list[str], secondary: list[str]) -> Column:
+    """Points of an address as a person's: trust in its host, the name in it; less for junk, for others' addresses and foreign hosts."""
     e = F.lower(F.trim(email))
     local, dom = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
-    trusted = rules.any_of(dom, primary + secondary)
     # Junk senders.
     junk = rules.any_of(local, ["admin", "support", "noreply", "no-reply", "donotreply", "helpdesk", "webmaster", "postmaster", "info"])
-    foreign = ~dom.endswith(".edu") & ~trusted
-    named = F.contains(local, last) | F.contains(local, first)
-    trust = F.when(rules.any_of(dom, primary), 100).when(rules.any_of(dom, secondary), 80).when(dom.endswith(".edu"), 30).otherwise(0)
     # Hosts that give anybody an address.
     free = dom.isin("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "protonmail.com", "scispace.com")
-    out = trust + points((F.contains(local, last), 20), (local.startswith(F.substring(first, 1, 1)), 10), (free | junk, -100), (~named & junk & foreign, -100), (~F.contains(local, last) & foreign, -50))
+    has = lambda name: (name != "") & F.contains(local, name)
+    foreign = ~dom.endswith(".edu") & ~rules.any_of(dom, primary + secondary)
+    trust = F.when(rules.any_of(dom, primary), 100).when(rules.any_of(dom, secondary), 80).when(dom.endswith(".edu"), 30).otherwise(0)
+    out = trust + points((has(last), 20), ((first != "") & local.startswith(F.left(first, F.lit(1))), 10), (free | junk, -100), (~has(last) & ~has(first) & junk & foreign, -100), ((last != "") & ~has(last) & foreign, -50))
     return F.when(F.contains(e, F.lit("@")), out).otherwise(0)
 
 

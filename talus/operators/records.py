@@ -179,3 +179,9 @@ def snippet(areas: Column, topics: Column) -> Column:
     """What is shown of somebody's research: areas, else four topics, else a dash; cut to 160 characters."""
     own = F.when(F.trim(text_or(areas)) != "", F.trim(areas)).when(F.size(F.coalesce(topics, none())) > 0, F.array_join(F.slice(topics, 1, 4), ", ")).otherwise("—")
     return F.when(F.length(own) > 160, F.concat(F.left(own, L(157)), L("…"))).otherwise(own)
+
+
+def json_array(said: Column) -> Column:
+    """The JSON array in a text, from its first bracket to its last; null where that is no JSON."""
+    found = F.nullif(F.regexp_extract(said, r"(?s)\[.*\]", 0), L(""))
+    return F.when(F.try_parse_json(found).isNotNull(), found)

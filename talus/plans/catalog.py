@@ -82,36 +82,6 @@ def M23_priority(t):
     return t("customer").select("c_custkey", (2.0 * (C("c_acctbal") > 0).cast("int") + C("c_mktsegment").isNotNull().cast("int") + 0.5 * (C("c_nationkey") > 5).cast("int")).alias("priority"))
 
 
-@query("with p as (select trim(unnest(string_split_regex(p_name || ', ' || p_type, '[,;]'))) as phrase from part), c as (select phrase, count(*) as n from p where length(phrase) between 4 and 120 group by 1), r as (select *, row_number() over (order by n desc, lower(phrase), phrase) as rank from c) select * from r where rank <= 36")
-def A6_phrases(t):
-    p = t("part").select(F.explode(F.split(F.concat_ws(", ", "p_name", "p_type"), "[,;]")).alias("p")).select(F.trim("p").alias("phrase"))
-    return rank.top_k(p.where(F.length("phrase").between(4, 120)).groupBy("phrase").agg(F.count("*").alias("n")), 36, C("n").desc(), F.lower("phrase"), C("phrase"))
-
-
-_dept = "case doc_id % 12 when 0 then 'Biochemistry' when 1 then 'Department of Law' when 2 then '' when 3 then 'Applied Math' when 4 then 'Computer Science' when 5 then 'Neuroscience' when 6 then 'Mechanical Engineering' when 7 then 'Climate Studies' when 8 then 'Earth and Planetary' when 9 then 'Business' when 10 then 'Physics' else text end"
-
-
-@query(f"select doc_id, {rules.rules_sql(f'lower({_dept})', rules.CATEGORY_RULES, 'default')} as category from documents")
-def T11_category(t):
-    return t("documents").select("doc_id", rules.category(F.expr(_dept)).alias("category"))
-
-
-# upper() of Spark and Python makes two letters of one sharp s, that of DuckDB does not
-_upper = "upper(replace(text, 'ß', 'SS'))"
-
-
-@query(f"select doc_id, {rules.rules_sql(_upper, rules.FIELD_RULES, 'Research')} as field from documents")
-def T12_research_field(t):
-    return t("documents").select("doc_id", rules.research_field(C("text")).alias("field"))
-
-
-@query(f"select p_partkey, {rules.rules_sql(chr(39) + 'x' + chr(39) + ' || lower(case p_size % 5 when 0 then ' + chr(39) + 'Adjunct Professor' + chr(39) + ' when 1 then ' + chr(39) + 'Visiting Scholar' + chr(39) + ' else p_type end)', rules.INVOLVEMENT_RULES, 'full_time')} as bucket from part")
-def T13_involvement(t):
-    return t("part").select("p_partkey", rules.involvement(F.expr("concat('x', case p_size % 5 when 0 then 'Adjunct Professor' when 1 then 'Visiting Scholar' else p_type end)")).alias("bucket"))
-
-
-
-
 @query("select p_partkey, case when p_size * 4 >= 100 then 'high' when p_size * 4 >= 40 then 'medium' when p_size * 4 > 0 then 'low' else 'none' end as confidence from part")
 def T22_confidence(t):
     return t("part").select("p_partkey", rules.confidence(C("p_size") * 4, 100, 40).alias("confidence"))
@@ -149,13 +119,6 @@ def J10_longest_key(t):
     return t("pages").select("page_id", d.alias("d")).where("d is not null")
 
 
-@query("with r as (select r_name, n_name, row_number() over (partition by n_nationkey order by r_regionkey) as rn from nation, region where contains(n_name, substr(r_name, 1, 1))) select n_name, r_name from r where rn = 1")
-def J9_map_enrich(t):
-    """The first key, in order, that a text contains; the keys are a table of a few rows."""
-    w = F.min_by("r_name", "r_regionkey")
-    return t("nation").join(F.broadcast(t("region")), F.contains("n_name", F.substring("r_name", 1, 1))).groupBy("n_nationkey", "n_name").agg(w.alias("r_name")).select("n_name", "r_name")
-
-
 @query("select a.l_orderkey, a.l_partkey as one, b.l_partkey as two from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1")
 def J8_zip(t):
     a = t("lineitem").select("l_orderkey", "l_linenumber", C("l_partkey").alias("one"))
@@ -215,12 +178,6 @@ def T15_emails(t):
     return t("documents").select("doc_id", F.explode(text.emails(C("text"))).alias("e"))
 
 
-@query("with e as (select c_custkey, case c_custkey % 4 when 0 then 'jdoe@alpha.edu' when 1 then 'info@alpha.edu' when 2 then 'jane@gmail.com' else 'x' end as e from customer) select c_custkey, case e when 'jdoe@alpha.edu' then 130 when 'info@alpha.edu' then 0 when 'jane@gmail.com' then -140 else 0 end as score from e")
-def T20_email_score(t):
-    e = F.element_at(F.array(L("jdoe@alpha.edu"), L("info@alpha.edu"), L("jane@gmail.com"), L("x")), (C("c_custkey") % 4 + 1).cast("int"))
-    return t("customer").select("c_custkey", match.email_score(e, L("jane"), L("doe"), ["alpha.edu"], ["beta.org"]).alias("score"))
-
-
 @query(f"with c as (select {_dom} as d, count(*) as n, min(page_id) as f from pages group by 1), r as (select d, n, row_number() over (order by n desc, f) as rank from c) select * from r where rank <= 15")
 def A4_top_domains(t):
     c = t("pages").groupBy(text.domain(C("url")).alias("d")).agg(F.count("*").alias("n"), F.min("page_id").alias("f"))
@@ -241,18 +198,6 @@ def A2_metrics(t):
     return j.agg(F.count("*").alias("n"), F.count_if(C("quality") == 1).alias("good"), F.count_if(C("toxic") == 1).alias("toxic"), F.count_if((C("quality") == 1) & (C("toxic") == 0)).alias("both_ok"), F.round(100.0 * F.count_if(C("quality") == 1) / F.count("*"), 1).alias("good_rate"))
 
 
-@query("with x as (select l_suppkey, sum(l_quantity) as awards, round(sum(l_extendedprice), 2) as funding, min(l_orderkey) as first_order from lineitem group by 1) select s_name, awards, funding, first_order from x join supplier on s_suppkey = l_suppkey")
-def A7_group_merge(t):
-    g = t("lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("awards"), F.round(F.sum("l_extendedprice"), 2).alias("funding"), F.min("l_orderkey").alias("first_order"))
-    return g.join(t("supplier"), C("s_suppkey") == C("l_suppkey")).select("s_name", "awards", "funding", "first_order")
-
-
-@query("with w as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{4,}'), 1) as p from benchmark), c as (select item_id, w, count(*) as n, min(p) as p from w group by 1, 2), r as (select item_id, w, n, row_number() over (partition by item_id order by n desc, p) as rank from c) select * from r where rank <= 15")
-def A8_keywords(t):
-    w = t("benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), L("[a-z]{4,}"), L(0))).alias("p", "w"))
-    return rank.top_k_by(w.groupBy("item_id", "w").agg(F.count("*").alias("n"), F.min("p").alias("p")), ["item_id"], 15, C("n").desc(), C("p")).drop("p")
-
-
 @query("select o_orderpriority, count(*) as total, count_if(o_orderstatus = 'F') as complete, count_if(o_orderstatus = 'O') as partial, count_if(o_orderstatus = 'P') as review from orders group by 1")
 def A9_split_counts(t):
     s = C("o_orderstatus")
@@ -343,29 +288,11 @@ def G3_sessions(t):
     return w.select("user_id", C("w.start").alias("start"), "n")
 
 
-@query("select cast(floor(sum(n) over (order by k nulls last rows unbounded preceding) / 100) as bigint) as account, k, n from (select user_id as k, count(*) as n from events group by 1)")
-def G4_rotation(t):
-    """Accounts of 100 uses, taken up in order of users."""
-    e = t("events").groupBy(C("user_id").alias("k")).agg(F.count("*").alias("n"))
-    return rank.running_sum(e, "n", "k").select(F.floor(C("total") / 100).alias("account"), "k", "n")
-
-
 @query("select event_id from events where event_id not in (select event_id from events where event_id % 3 = 0)")
 def S14_resume(t):
     return unprocessed(t("events").select("event_id"), t("events").where("event_id % 3 = 0"), "event_id")
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as int) as k from events")
-def T30_json(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-
-
-@query("select o_orderkey, case when d <= 180 then 2 when d <= 365 then 1 else 0 end as fresh from (select o_orderkey, date_diff('day', o_orderdate::date, date '1998-08-01') as d from orders)")
-def T28_freshness(t):
-    d = F.datediff(L("1998-08-01").cast("date"), C("o_orderdate").cast("date"))
-    return t("orders").select("o_orderkey", F.when(d <= 180, 2).when(d <= 365, 1).otherwise(0).alias("fresh"))
-
-
 @query("select vec_id, left(md5(cast(label as varchar)), 16) as key from embeddings")
 def T38_cache_key(t):
     return t("embeddings").select("vec_id", F.left(F.md5(C("label").cast("string")), L(16)).alias("key"))

@@ -28,20 +28,6 @@ def T24_website_points(t):
     return _website(t)
 
 
-@query(_points + "select count(*) as n, count_if(points = 1) as exact, round(100.0 * count_if(points > 0) / count(*), 1) as found_rate, round(avg(points), 4) as mean from p")
-def A3_rates(t):
-    p = _website(t)
-    return p.agg(F.count("*").alias("n"), F.count_if(C("points") == 1).alias("exact"), F.round(100.0 * F.count_if(C("points") > 0) / F.count("*"), 1).alias("found_rate"), F.round(F.avg("points"), 4).alias("mean"))
-
-
-_mail = "case c_custkey % 5 when 0 then 'A@alpha.edu ' when 1 then 'b@alpha.edu' when 2 then 'c@beta.org' when 3 then '' end"
-
-
-@query(f"with m as (select c_custkey, lower(trim({_mail})) as f from customer) select c_custkey, case f when 'a@alpha.edu' then 1.0 when 'b@alpha.edu' then 0.5 when 'c@beta.org' then 0.2 else 0.0 end::double as points from m")
-def T24_email_points(t):
-    return t("customer").select("c_custkey", evaluate.email_points(F.expr(_mail), L("a@ALPHA.edu")).alias("points"))
-
-
 _list = "replace(p_type || ' ' || p_name, ' ', ' ; ') || ';;' || p_type || ';' || p_brand"
 
 
@@ -57,12 +43,6 @@ def M14_six_factor(t):
     return t("part").select("p_partkey", s.alias("score"))
 
 
-@query("select p_partkey, case when p_size * 3 > 120 then 6.0 when p_size * 3 > 80 then 10.5 else 15 end::double as undergraduate, 12.0::double as masters, case when p_size * 3 >= 40 then 15.0 else 9 end::double as phd, case when p_size * 3 >= 60 then 15.0 else 7.5 end::double as postdoc, case when p_size * 3 >= 75 then 'excellent' when p_size * 3 >= 60 then 'good' when p_size * 3 >= 45 then 'moderate' else 'weak' end as quality from part")
-def M20_experience_fit(t):
-    h = C("p_size") * 3
-    return t("part").select("p_partkey", *[evaluate.experience_fit(v, h).alias(v) for v in ("undergraduate", "masters", "phd", "postdoc")], evaluate.quality(h).alias("quality"))
-
-
 @query("with s as (select p_partkey, p_size % 6 + 5 * (p_size % 2) + 3 * (p_size % 3) as score from part), r as (select *, row_number() over (order by score desc, p_partkey) as rank from s) select * from r where rank <= 100")
 def M17_keyword_stage(t):
     z = C("p_size")
@@ -72,11 +52,3 @@ def M17_keyword_stage(t):
 @query("select doc_id, regexp_extract(text, '20[0-9]{2}') as year from documents")
 def T27_year(t):
     return t("documents").select("doc_id", F.regexp_extract("text", "20[0-9]{2}", 0).alias("year"))
-
-
-_text = "case doc_id % 4 when 0 then 'mail info@alpha.edu or jdoe@alpha.edu, Jane.Doe@x.org' when 1 then 'a@b.co; doe@c.edu' when 2 then 'office@d.edu' else 'none' end"
-
-
-@query("select doc_id, case doc_id % 4 when 0 then 'jdoe@alpha.edu' when 1 then 'doe@c.edu' end as email from documents")
-def T15_best_email(t):
-    return t("documents").select("doc_id", evaluate.best_email(F.expr(_text), L("jane"), L("doe")).alias("email"))

@@ -36,31 +36,6 @@ def V9_page_email(t):
     return t("pages").select("page_id", web.page_email(F.expr(_mailed)).alias("email"))
 
 
-_cand = f"select page_id as id, {_first} as first, {_last} as last, unnest(['jane.doe@alpha.edu', 'sexample@cs.alpha.edu', 'info@alpha.edu', 'al_li@other.org', 'doe@alpha.edu']) as email, unnest(['mailto', 'regex', 'mailto', 'regex', 'obfuscated']) as method from pages"
-_fit = """case when length(last) > 2 and contains(loc, last) then 0.5 else 0 end + case when length(first) > 2 and contains(loc, first) then 0.3 else 0 end
-+ case when contains(loc, first[1] || last) or contains(loc, last || first[1]) or contains(loc, first[1] || '_' || last) or contains(loc, first[1] || '.' || last) or contains(loc, first || '.' || last)
-or contains(loc, first || '_' || last) or contains(loc, first || last) or contains(loc, last || '.' || first) or contains(loc, last || '_' || first) then 0.2 else 0 end"""
-
-
-def _candidates(t):
-    found = F.array(*[F.struct(L(e).alias("email"), L(m).alias("method")) for e, m in (("jane.doe@alpha.edu", "mailto"), ("sexample@cs.alpha.edu", "regex"), ("info@alpha.edu", "mailto"), ("al_li@other.org", "regex"), ("doe@alpha.edu", "obfuscated"))])
-    return t("pages").select(C("page_id").alias("id"), F.expr(_name).alias("name"), F.inline(found))
-
-
-@query(f"with c as ({_cand}), l as (select *, split_part(email, '@', 1) as loc from c) select id, email, {_fit}::double as score from l")
-def T17_email_name(t):
-    return _candidates(t).select("id", "email", web.email_name_score(C("email"), C("name"), fuzzy=False).alias("score"))
-
-
-@query(
-    f"with c as ({_cand}), l as (select *, split_part(email, '@', 1) as loc from c), f as (select *, {_fit}::double as fit from l where email <> 'info@alpha.edu' and regexp_matches(email, '[@.]alpha[.]edu$')), "
-    "s as (select id, email, method, fit, round(fit + case method when 'mailto' then 0.3 when 'regex' then 0.2 else 0.1 end, 4) as score from f), "
-    "r as (select *, row_number() over (partition by id order by score desc, email, method) as k from s where fit >= case method when 'mailto' then 0.25 else 0.35 end or score >= 0.4) select id, email, method, score::double as score from r where k = 1"
-)
-def T18_best_email(t):
-    return web.best_address(_candidates(t), ["alpha.edu"], fuzzy=False)
-
-
 _url = "url || case page_id % 6 when 0 then '/~jane/' when 1 then '/people/example' when 2 then '/lab/' when 3 then '/people/' when 4 then '/papers/x.pdf' else '' end"
 _deny = _any("u", web.DENIED_SITES + web.DENIED_PATHS)
 
@@ -107,16 +82,6 @@ def V34_older_website(t):
     return rank.keep_first(s.where("score >= 0.3"), ["who"], C("score").desc(), C("page_id"))
 
 
-_templates = ["https://cs.example.edu/people/{}", "https://people.example.edu/~{}/"]
-_forms = ["replace(lower(c_name), '#', '-')", "left(lower(c_name), 1) || c_custkey"]
-
-
-@query("select c_custkey, pos, url from (select c_custkey, unnest([" + ", ".join(f"'{t.split('{}')[0]}' || {f} || '{t.split('{}')[1]}'" for f in _forms for t in _templates) + "]) as url, unnest([0, 1, 2, 3]) as pos from customer)")
-def V31_candidate_urls(t):
-    urls = web.candidate_urls([F.expr("replace(lower(c_name), '#', '-')"), F.concat(F.left(F.lower("c_name"), L(1)), C("c_custkey"))], _templates)
-    return t("customer").select("c_custkey", F.posexplode(urls).alias("pos", "url"))
-
-
 @query(
     "with k as (select vec_id, label % 7 + 5 * (vec_id % 3) as kw from embeddings), a as (select * from k order by kw desc, vec_id limit 100), q as (select embedding::double[] as qv from embeddings where vec_id = 0), "
     "b as (select vec_id, kw, round(kw + 50 * list_cosine_similarity(embedding::double[], qv), 4) as score from a join embeddings using (vec_id), q order by score desc, vec_id limit 30), "

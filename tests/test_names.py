@@ -9,7 +9,7 @@ import pytest
 
 from talus.functions import text
 from talus.operators import matcher, names, rank
-from talus.plans import catalog, joins, matching, people  # noqa: F401
+from talus.plans import catalog, joins, matching, older, people, scores  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -172,3 +172,50 @@ def test_vector_diversity_equals_a_loop(spark):
         return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
 
     assert got == {q: mmr([(s, 0, i, v) for p, i, s, v in rows if p == q], 8, 0.75, cosine) for q in (1, 2)}
+
+
+def test_first_words_equal_a_loop(spark):
+    t = tables(spark)
+    word = lambda n: (bare(re.sub(r"^Dr\.?\s+", "", n.strip())).split() or [""])[0]
+    a = {word(r.name) for r in people.people(t).collect() if r.name is not None}
+    b = {word(n) for n in ["Jane", "J.", "Josè", "Anne-Marie", "Al", "Lee", "Robert", "Bobby"]}
+    got = {(r.a, r.b) for r in catalog.QUERIES["T6_first_names"](spark, DIR).collect()}
+    assert got == {(x, y) for x in a for y in b if first_names_match(x, y)} and len(got) > 5
+
+
+def test_spelling_of_addresses_equals_a_loop(spark):
+    from talus.functions import web
+
+    offers = scores._offers_of(tables(spark))
+    rows = offers.select("name", "email", web.email_name_score(offers["email"], offers["name"], fuzzy=False).alias("a"), web.email_name_score(offers["email"], offers["name"]).alias("b")).distinct().collect()
+    for r in rows:
+        w = plain(r.name).split() or [""]
+        bonus = 0.1 if alike(r.email.split("@")[0], w[0] + w[-1]) > 0.7 and w[0] else 0.0
+        assert abs(min(1.0, r.a + bonus) - r.b) < 1e-9, (r, bonus)
+    assert any(r.a != r.b for r in rows)
+
+
+def test_directory_entries_equal_a_loop(spark):
+    want = {}
+    for r in sorted(people.people(tables(spark)).collect(), key=lambda r: (r.id % 9, r.id)):
+        email = (r.email or "").strip().lower()
+        words = f"{r.name or ''} Office {r.id}".split()[:6]
+        if email:
+            want[" ".join(words).lower()] = (" ".join(words), email, f"https://site.org/{r.id}")
+    got = {r.name.lower(): (r.name, r.email, r.website) for r in catalog.QUERIES["V37_directory"](spark, DIR).collect()}
+    assert got == want
+
+
+def test_page_addresses_equal_a_loop(spark):
+    from talus.functions import web
+
+    want = set()
+    for r in people.people(tables(spark)).collect():
+        site = f"https://www.alpha.edu/people/{r.id}"
+        email = (r.email or "").strip().lower()
+        if email:
+            want.add((r.id, "mailto", email))
+        want |= {(r.id, "obfuscated", "jane@beta.org"), (r.id, "regex", "lab@alpha.edu")}
+        pages = ["https://www.alpha.edu/contact-me", f"https://www.alpha.edu/bio/{r.id}", f"{site}/contact", "https://www.alpha.edu/contact", f"{site}?tab=contact"]
+        want |= {(r.id, "contact", p) for p in pages[: web.MOST_CONTACT_PAGES]}
+    assert {(r.id, r.kind, r.value) for r in catalog.QUERIES["T16_page_addresses"](spark, DIR).collect()} == want
