@@ -10,6 +10,8 @@ from talus.plans.catalog import query
 from talus.plans.joins import LISTED_SQL, listed
 from talus.plans.people import WITH, _words, lit, people, pick
 from talus.plans.reshape import _authors, _cn, _found, _nm, _split, authors, results, split
+from talus.sources import tables
+from talus.sources.scratch import fresh_path
 
 C, L = F.col, F.lit
 
@@ -147,3 +149,102 @@ def M18_second_stage(t):
     q = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
     s = q.join(F.broadcast(first)).select("query_id", "vec_id", F.round(C("kw") + 50 * text.cosine(C("embedding"), C("q")), 4).alias("score"))
     return rank.top_k_by(s, ["query_id"], 30, C("score").desc(), C("vec_id"))
+
+
+# --- parts that other queries hold as well, each by itself -------------------------------------------------------------------
+
+
+@query("select o_orderkey, o_totalprice from orders where o_custkey = 50")
+def S6_by_key(t):
+    """Rows of one key; the filter reaches the scan."""
+    return t("orders").where("o_custkey = 50").select("o_orderkey", "o_totalprice")
+
+
+@query(WITH + "select id, coalesce(name, '') as name, coalesce(trim(location), '') as location from people")
+def S10_csv_columns(t):
+    """A CSV of stated columns in stated order, read again; what is empty in it comes back as nothing."""
+    p = people(t).select("location", "id", "name")
+    path = fresh_path(p.sparkSession, "columns")
+    tables.write_csv(p, path, ["id", "name", "location"])
+    back = p.sparkSession.read.csv(path, header=True, multiLine=True, escape='"')
+    assert back.columns == ["id", "name", "location"]
+    return back.select(C("id").cast("long").alias("id"), F.coalesce("name", L("")).alias("name"), F.trim(F.coalesce("location", L(""))).alias("location"))
+
+
+@query(WITH + "select id, coalesce(split_part(lower(email), '@', 2) = 'alpha.edu' or ends_with(split_part(lower(email), '@', 2), '.alpha.edu'), false) as valid from people where email is null or email = trim(email)")
+def F10_host(t):
+    """Whether an address is at a host or below it."""
+    return people(t).where("email is null or email = trim(email)").select("id", web.within_domains(C("email"), ["alpha.edu"]).alias("valid"))
+
+
+@query(WITH + "select coalesce(department, '') as department, string_agg(cast(id as varchar), '|' order by id) as ids from people group by 1")
+def A15_lists_by_department(t):
+    g = people(t).groupBy(F.coalesce("department", L("")).alias("department")).agg(F.sort_array(F.collect_list("id")).alias("l"))
+    return g.select("department", F.array_join(F.transform("l", lambda x: x.cast("string")), "|").alias("ids"))
+
+
+_asks = "['pcr', 'imaging', 'python', 'statistics']"
+
+
+@query(WITH + f"select id, array_to_string(list_filter({_asks}, lambda x: not list_contains(list_transform({_split('techniques', '[,;]')}, lambda y: lower(y)), x)), '|') as missing from people")
+def D11_missing_skills(t):
+    own = F.transform(split("techniques", "[,;]"), F.lower)
+    return people(t).select("id", F.array_join(F.array_except(F.array(*[L(x) for x in ("pcr", "imaging", "python", "statistics")]), own), "|").alias("missing"))
+
+
+@query()
+def T5_likeness(t):
+    """How alike each person's name is to three others: 1 for equal, 0.9 for one within the other, else the matching-blocks ratio. Held against a loop."""
+    p = people(t).where("name is not null").select(text.plain_name(C("name")).alias("a")).distinct()
+    return p.select("a", F.explode(F.array(L("jane doe"), L("al li"), L("mary smith"))).alias("b")).select("a", "b", text.seq_ratio("a", "b").alias("ratio"))
+
+
+@query(WITH + f"select id, lower(concat_ws(' ', coalesce(department, ''), coalesce(areas, ''), coalesce(techniques, ''), coalesce(title, ''), array_to_string({_split('topics', '[|]')}[1:12], ' '))) as hay from people")
+def T14_haystack(t):
+    e = lambda c: F.coalesce(C(c), L(""))
+    return people(t).select("id", F.lower(F.concat_ws(" ", e("department"), e("areas"), e("techniques"), e("title"), F.array_join(F.slice(split("topics", "[|]"), 1, 12), " "))).alias("hay"))
+
+
+@query(WITH + "select id, case when contains(coalesce(techniques, ''), ';') then len(list_filter(string_split(techniques, ';'), lambda x: trim(x) <> '')) else len(list_filter(string_split(coalesce(techniques, ''), ','), lambda x: trim(x) <> '')) end as items from people")
+def T32_list_parser(t):
+    """How many items a list in a text has; semicolons part it if there are any, else commas."""
+    return people(t).select("id", F.size(records.split_list(C("techniques"))).cast("long").alias("items"))
+
+
+@query(WITH + "select id from people where lower(trim(email)) in ('jdoe@alpha.edu', 'info@alpha.edu', 'x')")
+def T39_allowed(t):
+    return people(t).where(F.lower(F.trim("email")).isin("jdoe@alpha.edu", "info@alpha.edu", "x")).select("id")
+
+
+@query("select 'Total' as label, count(*) as n from customer union all select c_mktsegment, count(*) from customer group by 1")
+def T40_parsed_report(t):
+    """The counters of a report's lines."""
+    lines = tables.report(t("customer"), "Customers", "c_mktsegment")
+    return tables.parse_report(t("customer").sparkSession.createDataFrame([(x,) for x in lines], "value string"))
+
+
+@query("select 'kept' as what, count(*) as n from events union all select 'added', count_if(event_type = 'error') from events")
+def V6_appended(t):
+    """Rows appended to a log stand beside those that were there."""
+    e = t("events").select("event_id", "event_type")
+    spark, path = e.sparkSession, fresh_path(e.sparkSession, "log")
+    e.withColumn("what", L("kept")).write.parquet(path)
+    e.where("event_type = 'error'").withColumn("what", L("added")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).groupBy("what").agg(F.count("*").alias("n"))
+
+
+@query(WITH + "select status, count(*) as n, round_even(100.0 * count_if(coalesce(email, '') <> '') / count(*), 1)::double as with_email, round_even(100.0 * count_if(coalesce(website, '') <> '') / count(*), 1)::double as with_website from people group by 1")
+def V16_results_with_measures(t):
+    """Results as JSON and CSV with their measures, read from what was written."""
+    p = people(t).select("id", "status", "email", "website")
+    path = fresh_path(p.sparkSession, "results")
+    tables.write_export(p, path, ["id", "status"], {"n": F.count("*")})
+    rate = lambda c: F.bround(100.0 * F.count_if(F.coalesce(c, L("")) != "") / F.count("*"), 1)
+    return p.sparkSession.read.schema(p.schema).json(f"{path}/rows").groupBy("status").agg(F.count("*").alias("n"), rate("email").alias("with_email"), rate("website").alias("with_website"))
+
+
+@query(WITH + "select id, case status when 'complete' then 2 when 'partial' then 1 when 'needs_review' then 0 else -1 end as status_rank, case lower(title) when 'professor' then 3 when 'emeritus' then 1 else -1 end as title_rank from people")
+def V21_rank_maps(t):
+    """States as numbers; what is in no map is -1."""
+    of = lambda c, m: F.coalesce(*[F.when(c == k, v) for k, v in m.items()], L(-1))
+    return people(t).select("id", of(C("status"), {"complete": 2, "partial": 1, "needs_review": 0}).alias("status_rank"), of(F.lower("title"), {"professor": 3, "emeritus": 1}).alias("title_rank"))

@@ -75,7 +75,7 @@ def write_split(df: DataFrame, path: str, by: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.select(*columns).write.mode("overwrite").csv(path, header=True)
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_statuses(df: DataFrame, path: str, status: str) -> dict[str, str]:

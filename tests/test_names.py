@@ -219,3 +219,8 @@ def test_page_addresses_equal_a_loop(spark):
         pages = ["https://www.alpha.edu/contact-me", f"https://www.alpha.edu/bio/{r.id}", f"{site}/contact", "https://www.alpha.edu/contact", f"{site}?tab=contact"]
         want |= {(r.id, "contact", p) for p in pages[: web.MOST_CONTACT_PAGES]}
     assert {(r.id, r.kind, r.value) for r in catalog.QUERIES["T16_page_addresses"](spark, DIR).collect()} == want
+
+
+def test_likeness_equals_a_loop(spark):
+    for r in catalog.QUERIES["T5_likeness"](spark, DIR).collect():
+        assert abs(r.ratio - (alike(r.a, r.b) if r.a else 0.0)) < 1e-12
