@@ -433,7 +433,8 @@ def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     seen = stash(exchange(sent, _shared, _classify, "doc_id long, n long, sig long, sig2 long, may boolean"), "sets")
     reps = seen.where("may").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("doc_id"))
     reps = stash(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sets = docs.join(reps.select("doc_id", "cid"), "doc_id").select(F.col("cid").alias("doc_id"), "text")
+    # classes grow with the documents, so this is a shuffled join at every size
+    sets = docs.join(reps.select("doc_id", "cid").hint("merge"), "doc_id").select(F.col("cid").alias("doc_id"), "text")
     sets = stash(sets.mapInArrow(_class_sets, "cid long, n long, shingles binary, slack long"), "shingles")
 
     found = stash(sets.mapInArrow(_segment_rows(nb), ROW).groupBy("bucket").applyInArrow(lambda t: _segment_pairs(t, hot), "a long, b long, slot int"), "candidates")
@@ -459,7 +460,7 @@ def _groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     classes = stash(classes, "low")
     low = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     named = classes.join(low, "component").select("sig", "sig2", "n", "component_id")
-    return seen.join(named, ["sig", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return seen.join(named.hint("merge"), ["sig", "sig2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
