@@ -17,39 +17,48 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay: doc_id, text, n_lines, n_removed. See lines.dedup for nulls, ties and repeats."""
     return lines.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; links at 0.75 of five-word shingles. See jaccard.near_groups."""
     return jaccard.near_groups(_documents(spark, sf_dir))
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced: doc_id, text, n_private. See pii.pseudonymize."""
     return pii.pseudonymize(_documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get("spark.talus.key", DEMO_KEY))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; learns from rows that are not held out. See langid.identify."""
     return langid.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page. See html_text.extract."""
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens. See packing.pack."""
     return packing.pack(_documents(spark, sf_dir))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards of nearly equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard. See sharding.shard_by_bytes."""
     out = sharding.shard_by_bytes(_documents(spark, sf_dir), carry=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and its edited text, and what they are like. See spotsigs.fingerprints."""
     return spotsigs.fingerprints(_documents(spark, sf_dir))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, score of every document; the target is what labels call good. See lmscore.score."""
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     # labels grow with the documents, so this is a shuffled join at every size
     docs = _documents(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
@@ -57,6 +66,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, start_word of every benchmark item in a document. See decontam.leaks."""
     return decontam.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
