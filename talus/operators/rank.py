@@ -47,6 +47,20 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return rows.withColumns({"total_pages": F.lit(pages), "page": F.lit(number), "show_start": F.lit(at + 1 if n else 0), "show_end": F.lit(min(at + size, n))})
 
 
+def top_phrases(rows: DataFrame, k: int = 36) -> DataFrame:
+    """(phrase, n, rank): the k most frequent phrases of rows (id, first, second), equals by lower case; 4 to 120 characters long.
+
+    Rows are taken in order of id, a whole number. Those of second count only as long as fewer than 2k different phrases have
+    been seen before them: up to the place where the (2k)th different phrase comes for the first time.
+    """
+    one = lambda c, k: rows.select(F.explode(c).alias("phrase"), (2 * F.col("id") + k).alias("pos"))
+    every = one("first", 0).unionByName(one("second", 1)).where(F.length("phrase").between(4, 120))
+    seen = every.groupBy("phrase").agg(F.min("pos").alias("pos")).orderBy("pos").limit(2 * k).agg(F.count("*").alias("n"), F.max("pos").alias("upto")).first()
+    if seen["n"] == 2 * k:
+        every = every.where((F.col("pos") % 2 == 0) | (F.col("pos") <= seen["upto"]))
+    return top_k(every.groupBy("phrase").agg(F.count("*").alias("n")), k, F.col("n").desc(), F.lower("phrase"), F.col("phrase"))
+
+
 def best_of(array: str, score) -> Column:
     """The element of an array with the highest score; the first of equals; null where no score is above 0."""
     scored = F.transform(F.col(array), lambda x, i: F.struct(score(x).alias("s"), (-i).alias("i"), x.alias("x")))

@@ -224,3 +224,19 @@ def test_page_addresses_equal_a_loop(spark):
 def test_likeness_equals_a_loop(spark):
     for r in catalog.QUERIES["T5_likeness"](spark, DIR).collect():
         assert abs(r.ratio - (alike(r.a, r.b) if r.a else 0.0)) < 1e-12
+
+
+@pytest.mark.parametrize("k", [3, 10, 36])
+def test_phrases_equal_a_loop(spark, k):
+    rows = sorted((r.id, r.techniques or "", r.areas or "") for r in people.people(tables(spark)).collect())
+    raw = {}
+    for _, techniques, areas in rows:
+        for source in (techniques, areas):
+            if source is techniques or len(raw) < 2 * k:
+                for part in re.split("[,;]", source):
+                    if 4 <= len(part.strip()) <= 120:
+                        raw[part.strip()] = raw.get(part.strip(), 0) + 1
+    want = [p for p, _ in sorted(raw.items(), key=lambda x: (-x[1], x[0].lower(), x[0]))[:k]]
+    split = lambda c: f"filter(transform(split(coalesce({c}, ''), '[,;]'), x -> trim(x)), x -> x <> '')"
+    df = people.people(tables(spark)).selectExpr("id", f"{split('techniques')} as first", f"{split('areas')} as second")
+    assert [r.phrase for r in rank.top_phrases(df, k).orderBy("rank").collect()] == want
