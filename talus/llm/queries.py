@@ -74,5 +74,28 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: The words and sets of op2, links by an inverted join, and components by following links.
+_NEAR = r"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from d),
+e as (select doc_id, unnest(g) as g from s), n as (select doc_id, len(g) as n from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)), both_ as (select x, y from l union all select y, x from l),
+r(doc_id, root) as (select doc_id, doc_id from s union select both_.y, r.root from r join both_ on both_.x = r.doc_id)
+select doc_id, any_value(n.n) as n_shingles, min(root) as component_id from r join n using (doc_id) group by 1"""
+
+#: The lines of op1; copies by equal words, near copies by pairs that share their first or last half, verified word by word.
+_LINES = r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents where text is not null),
+m as (select *, doc_id * 1048576 + pos as place, list_filter(string_split_regex(lower(line), '[ \t\r\f\x0b]+'), lambda w: w <> '') as w from l),
+u as (select w, len(w) as n, min(place) as first from m where len(w) > 0 group by w),
+k as (select *, unnest([n, n, n - 1, n - 1]) as s, unnest(['first', 'last', 'first', 'last']) as side from u where n >= 7),
+h as (select first, n, w, s, side, case side when 'first' then w[1:s // 2] else w[n - s + s // 2 + 1:n] end as h from k),
+c as (select distinct a.first as early, a.w as x, b.first as late, b.w as y from h a join h b on a.s = b.s and a.side = b.side and a.h = b.h and a.first < b.first and abs(a.n - b.n) <= 1 and greatest(a.n, b.n) >= 8),
+v as (select late, coalesce(nullif(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]), false), 0) - 1, least(len(x), len(y))) as front, coalesce(nullif(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[-i] = y[-i]), false), 0) - 1, least(len(x), len(y))) as back, greatest(len(x), len(y)) as most from c),
+gone as (select m.place from m join u using (w) where m.place > u.first union select late from v where front + back >= most - 1)
+select d.doc_id, case when d.text is null then null else coalesce(string_agg(m.line, chr(10) order by m.pos) filter (where m.place not in (select place from gone)), '') end as text, cast(count(m.place) as int) as n_lines, cast(count(m.place) filter (where m.place in (select place from gone)) as int) as n_removed
+from documents d left join m on m.doc_id = d.doc_id group by d.doc_id, d.text"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others need a tokenizer, a trained model, keyed hashes or a parser."""
+    return {"op1_line_dedup": _LINES, "op2_ngram_jaccard_join": _NEAR}
