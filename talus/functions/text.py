@@ -50,10 +50,6 @@ def seq_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
-
 def dedupe_name(folded: Column) -> Column:
     """The key two spellings of a name share: lower case, no punctuation, no suffixes. Takes an ASCII-folded name."""
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(folded), "[.,]", " "), "\\s+", " ")), " ")

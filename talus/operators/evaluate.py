@@ -74,15 +74,6 @@ def keyword_stage(shared: Column, domains: Column, techniques: Column) -> Column
     return shared + 5 * domains + 3 * techniques
 
 
-def attributes(h_low: int | None, h_high: int | None, h: Column, needs: list[Column]) -> Column:
-    """A filter by h-index (missing counts as 0) and by attributes that must hold; a bound of None is off."""
-    value = F.coalesce(h.cast("string").try_cast("int"), F.lit(0))
-    out = F.lit(True)
-    for on in [*([value >= h_low] if h_low is not None else []), *([value <= h_high] if h_high is not None else []), *needs]:
-        out = out & F.coalesce(on, F.lit(False))
-    return out
-
-
 def email_signals(email: Column, first: Column, last: Column) -> Column:
     """How much an address looks like a person's: last name 10, first name 5, either with the other's initial 8, .edu 3."""
     local = F.split_part(email, F.lit("@"), F.lit(1))
@@ -94,12 +85,3 @@ def best_email(source: Column, first: Column, last: Column) -> Column:
     """The personal address in a text with the highest signals, the first of equals; null where there is none."""
     scored = F.transform(text.emails(source), lambda e, i: F.struct(email_signals(e, first, last).alias("s"), (-i).alias("i"), e.alias("e")))
     return F.array_max(scored)["e"]
-
-
-def topic_fit(jaccard: Column, overlap: Column, shared: Column, cosine: Column | None = None) -> Column:
-    """Topic fit of 40 points: up to 28 for terms (8 at least for two shared topics, 4 for one), up to 12 for the cosine."""
-    r = 0.4 * jaccard + 0.4 * overlap + 0.2 * F.least(F.lit(1.0), shared / 3)
-    base = F.greatest(F.bround(F.round(r * 28, 6), 0), F.when(shared >= 2, 8.0).when(shared >= 1, 4.0).otherwise(0.0))
-    if cosine is not None:
-        base = base + F.bround(F.round(F.greatest(F.lit(0.0), cosine) * 12, 6), 0)
-    return F.least(F.lit(40.0), base)

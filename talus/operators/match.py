@@ -56,43 +56,11 @@ def five_question(hits: Column, keywords: Column, h: Column, level: str, needs_f
     return research + fit + funding + contact
 
 
-def contact_points(email: Column, verified: Column, website: Column) -> Column:
-    return points((email, 3), (email & verified, 1), (website, 1))
-
-
-def constraint_points(accepts: Column, remote_wanted: bool, remote_ok: Column, location_pref: str | None, location: Column) -> Column:
-    """Ten points less two for each unknown or soft mismatch; 0 when an explicit no blocks."""
-    blocked = accepts.eqNullSafe(F.lit(False)) | (F.lit(remote_wanted) & remote_ok.eqNullSafe(F.lit(False)))
-    soft = points((accepts.isNull(), 2), (F.lit(remote_wanted) & remote_ok.isNull(), 2), (F.lit(bool(location_pref)) & (F.coalesce(location, F.lit("")) != "") & ~F.contains(F.lower(location), F.lit((location_pref or "").lower())), 2))
-    return F.when(blocked, 0).otherwise(10 - soft)
-
-
 def action_points(join_page: Column, openings: Column, days: Column, website: Column, email: Column) -> Column:
     base = points((join_page, 4), (openings, 3)) + F.when(days <= 180, 2).when(days <= 365, 1).otherwise(0)
     return F.when(base == 0, points((website, 1), (email, 1))).otherwise(base)
 
 
-def intent_points(intent: str, openings: Column, join_page: Column, needs_funding: bool, grants: Column, website: Column, topics: Column, email: Column) -> Column:
-    """Up to ten points by what is wanted; unknown grants count as none."""
-    grants = F.coalesce(grants, F.lit(0))
-    if intent == "join_now":
-        fund = F.when(grants > 0, 5).otherwise(1) if needs_funding else F.lit(3)
-        return F.when(openings, 5).when(join_page, 5).otherwise(2) + fund
-    if intent == "explore":
-        return points((website, 5), (topics, 3)) + 2
-    if intent == "mentorship":
-        return points((email, 5), (website, 3)) + 2
-    return F.lit(5) + (F.when(grants > 0, 3).otherwise(0) if needs_funding else F.lit(0))
-
-
-def available_total(components: list[tuple[Column, int, Column]]) -> tuple[Column, Column]:
-    """(score 0..100, completeness) of components (points, maximum, available): only available ones count."""
-    raw = reduce(lambda a, b: a + b, [F.when(a, p).otherwise(0) for p, _, a in components])
-    most = reduce(lambda a, b: a + b, [F.when(a, m).otherwise(0) for _, m, a in components])
-    score = F.coalesce(F.bround(F.try_divide(100.0 * raw, most), 0), F.lit(0)).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(100), score)), most / 100.0
-
-
 def tag_score(department: Column, haystack: Column, title: Column, key: str, display: str, work: str, involvement: str, year: str) -> Column:
     """Four answers, 100 points: research area 40, kind of work 30, involvement 20, year 10."""
     area = F.when(rules.category(department) == key, 40).when(F.contains(haystack, F.lit(display.lower())), 24).when(F.contains(haystack, F.lit(key)), 16).otherwise(0)
@@ -109,32 +77,3 @@ def tag_score(department: Column, haystack: Column, title: Column, key: str, dis
 def term_search(df: DataFrame, terms: list[str], weights: dict[str, int]) -> Column:
     """Points for each term in each column that contains it."""
     return reduce(lambda a, b: a + b, [F.when(F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t.lower())), w).otherwise(0) for t in terms for c, w in weights.items()])
-
-
-def weighted_terms(texts: DataFrame, phrases: list[str], ontology: dict[str, list[str]]) -> DataFrame:
-    """(id, term, weight) of texts (id, text): tokens 1 each, phrases 3 once, expansions of active keys 0.7 each, scaled to a maximum of 1.
-
-    A key is active where it occurs as a substring, or where a key before it in order brought it in as an expansion.
-    """
-    low = texts.select("id", F.lower("text").alias("t"))
-    words = low.select("id", F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).where(F.length("term") >= 3).withColumn("w", F.lit(1.0))
-    said = low.select("id", F.explode(F.array_compact(F.array(*[F.when(F.contains("t", F.lit(p)), p) for p in phrases]))).alias("term")).withColumn("w", F.lit(3.0))
-    active: dict[str, Column] = {}
-    for key in ontology:
-        on = F.contains(F.col("t"), F.lit(key))
-        for earlier, found in active.items():
-            if key in ontology[earlier]:
-                on = on | found
-        active[key] = on
-    grown = low.select("id", F.explode(F.flatten(F.array(*[F.when(active[k], F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>")) for k, v in ontology.items()]))).alias("term")).withColumn("w", F.lit(0.7))
-    total = words.unionByName(said).unionByName(grown).groupBy("id", "term").agg(F.sum("w").alias("w"))
-    most = total.groupBy("id").agg(F.max("w").alias("most"))
-    return total.join(most, "id").select("id", "term", (F.col("w") / F.col("most")).alias("weight"))
-
-
-def overlap(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query_id, id, overlap): the share of a query's term weight that an entity's terms cover."""
-    q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("qw"))
-    total = q.groupBy("query_id").agg(F.sum("qw").alias("all"))
-    both = q.join(entities.select("id", "term", "weight"), "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.least(F.lit(1.0), "weight")).alias("s"))
-    return both.join(total, "query_id").select("query_id", "id", F.least(F.lit(1.0), F.col("s") / F.col("all")).alias("overlap"))

@@ -58,12 +58,11 @@ def S4_year_folders(t):
     n, r = t("nation"), t("region").select("r_regionkey", "r_name")
     spark, path = n.sparkSession, fresh_path(n.sparkSession, "years")
     for year, region in ((2023, 1), (2024, 2), (2019, 3)):
-        n.where(C("n_regionkey") == region).select("n_nationkey", "n_name").coalesce(1).write.json(f"{path}/with/{year}/deep")
-    whole(r, f"{path}/without")
-    spark.read.text(f"{path}/without").coalesce(1).write.json(f"{path}/plain")
-    years = spark.read.option("recursiveFileLookup", True).json(f"{path}/with").select("n_name", F.col("_metadata.file_path").alias("p")).where(C("p").rlike("/(2023|2024|2025)/"))
-    named = years.select(F.regexp_extract("p", "/(20[0-9]{2})/", 1).cast("int").alias("year"), C("n_name").alias("name"))
-    return named.unionByName(tables.read_json_records(spark, f"{path}/without").select(L(0).alias("year"), field("r_name").alias("name")))
+        one = n.where(C("n_regionkey") == region).agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("awards"))).alias("value"))
+        tables.write_text(one, f"{path}/with/{year}/deep", ".json")
+    tables.write_text(r.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*r.columns)))).alias("value")), f"{path}/without", ".json")
+    named = tables.read_years(spark, f"{path}/with", [2023, 2024, 2025]).select(F.regexp_extract("path", "/(20[0-9]{2})/deep/", 1).cast("int").alias("year"), field("n_name").alias("name"))
+    return named.unionByName(tables.read_years(spark, f"{path}/without", [2023, 2024, 2025]).select(L(0).alias("year"), field("r_name").alias("name")))
 
 
 @query(WITH + "select id, trim(name) as name, trim(school) as school from people where trim(coalesce(name, '')) <> '' and trim(coalesce(school, '')) <> ''")

@@ -211,6 +211,13 @@ def T32_list_parser(t):
     return people(t).select("id", F.size(records.split_list(C("techniques"))).cast("long").alias("items"))
 
 
+@query(WITH + f"select id, case when id % 3 = 0 then array_to_string({_split('topics', '[|]')}, '|') when id % 3 = 1 then coalesce(title, '') else '' end as items from people")
+def T32_list_or_text(t):
+    """A field of JSON records that holds a list or one text or nothing, as a list."""
+    own = F.when(C("id") % 3 == 0, F.to_json(F.struct("id", split("topics", "[|]").alias("x")))).when(C("id") % 3 == 1, F.to_json(F.struct("id", C("title").alias("x")))).otherwise(F.to_json(F.struct("id")))
+    return people(t).select("id", F.array_join(tables.list_or_text(own, "x"), "|").alias("items"))
+
+
 @query(WITH + "select id from people where lower(trim(email)) in ('jdoe@alpha.edu', 'info@alpha.edu', 'x')")
 def T39_allowed(t):
     return people(t).where(F.lower(F.trim("email")).isin("jdoe@alpha.edu", "info@alpha.edu", "x")).select("id")

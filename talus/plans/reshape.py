@@ -117,7 +117,6 @@ def P10_good_authors(t):
 
 
 _nm = "list_filter(list_transform(tp[1:15], lambda x: x.name), lambda x: x <> '')"
-_fd = "list_distinct(list_transform(tp[1:15], lambda x: x.field))"
 _cn = "list_filter(list_transform(co[1:10], lambda x: x.name), lambda x: x <> '')"
 
 

@@ -74,6 +74,18 @@ def write_split(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_text(df: DataFrame, path: str, suffix: str) -> None:
+    """One text file of a few lines (value) whose name ends in suffix."""
+    spark = df.sparkSession
+    df.coalesce(1).write.mode("overwrite").text(path)
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(jvm(path)):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(f.getPath(), jvm(f"{path}/{name.rsplit('.', 1)[0]}{suffix}"))
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
