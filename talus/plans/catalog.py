@@ -215,13 +215,6 @@ def A13_source_histogram(t):
     return t("documents").where("lang is not null").groupBy("source").agg(F.count("*").alias("n"), F.round(F.count_if(C("lang") == "en") / F.count("*"), 3).alias("share"))
 
 
-@query("select p_partkey, least(50.0, (contains(lower(p_name), 'steel')::int + contains(lower(p_type), 'small')::int) / 2.0 * 50) + case when p_size between 15 and 150 then 20 when p_size < 15 then 10 else 15 end + case when p_retailprice > 1000 then 15 else 0 end + least(15, 10 + case when p_size % 2 = 0 then 3 else 0 end + 2) as score from part")
-def M13_five_question(t):
-    hits = F.contains(F.lower("p_name"), L("steel")).cast("int") + F.contains(F.lower("p_type"), L("small")).cast("int")
-    s = match.five_question(hits, L(2), C("p_size"), "phd", True, (C("p_retailprice") > 1000).cast("int"), L(True), C("p_size") % 2 == 0, L(True))
-    return t("part").select("p_partkey", s.alias("score"))
-
-
 _hay = "lower(p_type || ' ' || p_name || ' ' || p_brand)"
 
 

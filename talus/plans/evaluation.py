@@ -36,19 +36,6 @@ def D5_ordered_items(t):
     return t("part").select("p_partkey", F.array_join(evaluate.ordered_items(F.expr(_list)), "|").alias("items"))
 
 
-@query("select p_partkey, 40.0::double * (p_size % 4) / least(6, p_size % 7 + 4) + case when lower(p_brand) = 'brand#1' then 15 when contains(lower(p_brand), 'brand#1') then 10.5 else 0 end + case when p_size < 15 then 7.5 else 15 end + case when p_size % 5 >= 3 then 10 when p_size % 5 >= 1 then 7 else 3 end + case when p_size * 3 >= 100 then 10 when p_size * 3 >= 50 then 8 when p_size * 3 >= 20 then 6 else 4 end + case when p_size % 2 = 0 and p_size % 3 = 0 then 10 when p_size % 2 = 0 then 6 else 0 end::double as score from part")
-def M14_six_factor(t):
-    z = C("p_size")
-    s = evaluate.six_factor(z % 4, L(6), z % 7 + 4, "Brand#1", C("p_brand"), "phd", z, z % 5, z * 3, z % 2 == 0, z % 3 == 0)
-    return t("part").select("p_partkey", s.alias("score"))
-
-
-@query("with s as (select p_partkey, p_size % 6 + 5 * (p_size % 2) + 3 * (p_size % 3) as score from part), r as (select *, row_number() over (order by score desc, p_partkey) as rank from s) select * from r where rank <= 100")
-def M17_keyword_stage(t):
-    z = C("p_size")
-    return rank.top_k(t("part").select("p_partkey", evaluate.keyword_stage(z % 6, z % 2, z % 3).alias("score")), 100, C("score").desc(), C("p_partkey"))
-
-
 @query("select doc_id, regexp_extract(text, '20[0-9]{2}') as year from documents")
 def T27_year(t):
     return t("documents").select("doc_id", F.regexp_extract("text", "20[0-9]{2}", 0).alias("year"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talus.functions import text, web
-from talus.operators import match, rank, records
+from talus.functions import rules, text, web
+from talus.operators import evaluate, match, rank, records
 from talus.plans.catalog import query
 from talus.plans.joins import LISTED_SQL, listed
 from talus.plans.people import WITH, _words, lit, people, pick
@@ -138,19 +138,67 @@ def V35_plain_addresses(t):
     return people(t).select("id", text.generic_address(F.expr(_mail)).alias("office"), web.within_domains(F.expr(_mail), ["site.edu"]).alias("sited"))
 
 
-@query(
+_stages = (
     "with k as (select vec_id, label % 7 + 5 * (vec_id % 3) as kw from embeddings), q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 50 = 0), a as (select * from k order by kw desc, vec_id limit 100), "
-    "s as (select query_id, vec_id, round(kw + 50 * list_cosine_similarity(embedding::double[], qv), 4) as score from a join embeddings using (vec_id), q), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select * from r where rank <= 30"
+    "s as (select query_id, vec_id, kw, round(kw + 50 * list_cosine_similarity(embedding::double[], qv), 4) as score from a join embeddings using (vec_id), q), b as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 30) "
 )
-def M18_second_stage(t):
-    """The second stage for every vector whose id is divisible by 50: words and cosine, thirty each of the hundred that the first stage leaves."""
+
+
+def _second(t):
+    """For every vector whose id is divisible by 50 the thirty best by words and cosine of the hundred that have most words."""
     e = t("embeddings")
     first = e.withColumn("kw", C("label") % 7 + 5 * (C("vec_id") % 3)).orderBy(C("kw").desc(), "vec_id").limit(100).select("vec_id", "kw", "embedding")
     q = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
-    s = q.join(F.broadcast(first)).select("query_id", "vec_id", F.round(C("kw") + 50 * text.cosine(C("embedding"), C("q")), 4).alias("score"))
+    s = q.join(F.broadcast(first)).select("query_id", "vec_id", "kw", F.round(C("kw") + 50 * text.cosine(C("embedding"), C("q")), 4).alias("score"))
     return rank.top_k_by(s, ["query_id"], 30, C("score").desc(), C("vec_id"))
 
 
+@query(_stages + "select query_id, vec_id, score, rank from b")
+def M18_second_stage(t):
+    return _second(t).drop("kw")
+
+
+@query(_stages + ", c as (select query_id, vec_id, score, least(15, kw * 2) + case when vec_id % 2 = 0 then 15 else 9 end as rubric from b), r as (select query_id, vec_id, rubric, row_number() over (partition by query_id order by rubric desc, score desc, vec_id) as rank from c) select * from r where rank <= 20")
+def W10_staged(t):
+    """Three stages for every vector whose id is divisible by 50: 100 by words, of these 30 by words and cosine, of these 20 by a rubric."""
+    third = _second(t).drop("rank").withColumn("rubric", F.least(L(15), C("kw") * 2) + F.when(C("vec_id") % 2 == 0, 15).otherwise(9))
+    return rank.top_k_by(third, ["query_id"], 20, C("rubric").desc(), C("score").desc(), C("vec_id")).select("query_id", "vec_id", "rubric", "rank")
+
+
+_keys = ["learning", "cell", "language", "energy", "clinical", "data"]
+_theirs = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(topics, '')), '[a-z]+'), lambda w: length(w) >= 3))"
+_keyed = f"{WITH}, k as (select *, {_theirs} as kw, lower(replace(coalesce(topics, ''), '|', ' ')) as tx from people), n as (select *, len(list_intersect(kw, [{', '.join(map(lit, _keys))}])) as shared from k) "
+
+
+def _shared(t):
+    theirs = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("topics", L(""))), L("[a-z]+"), L(0)), lambda w: F.length(w) >= 3))
+    p = people(t).withColumns({"kw": theirs, "tx": F.lower(F.replace(F.coalesce("topics", L("")), L("|"), L(" ")))})
+    return p.withColumn("shared", F.size(F.array_intersect("kw", F.array(*[L(k) for k in _keys]))))
+
+
+@query(
+    _keyed + f"select id, round(case when len(kw) > 0 then 40.0::double * shared / least({len(_keys)}, len(kw)) else 0 end + case when coalesce(department, '') = '' then 0 when lower(department) = 'business' then 15 when contains(lower(department), 'business') then 10.5 else 0 end + case when coalesce(h_index, 0) between 15 and 150 then 15 when coalesce(h_index, 0) < 15 then 7.5 else 10.5 end "
+    "+ case when coalesce(grants, 0) >= 3 then 10 when coalesce(grants, 0) >= 1 then 7 else 3 end + case when works >= 100 then 10 when works >= 50 then 8 when works >= 20 then 6 else 4 end + case when coalesce(email, '') = '' then 0 when id % 3 = 0 then 10 else 6 end, 6)::double as score from n"
+)
+def M14_six_factor(t):
+    p = _shared(t)
+    email = F.coalesce("email", L("")) != ""
+    s = evaluate.six_factor(C("shared"), L(len(_keys)), F.size("kw"), "Business", C("department"), "phd", F.coalesce("h_index", L(0)), F.coalesce("grants", L(0)), C("works"), email, C("id") % 3 == 0)
+    return p.select("id", F.round(s, 6).alias("score"))
+
+
+@query(
+    _keyed + f", m as (select id, shared + 5 * ({' + '.join(f'({" or ".join(f"contains(tx, {lit(w)})" for w in rules.DOMAINS[d])})::int' for d in ('life_sciences', 'computer_science'))}) + 3 * (contains(tx, 'deep')::int + contains(tx, 'imaging')::int) as score from n) "
+    "select id, score, rank from (select *, row_number() over (order by score desc, id) as rank from m) where rank <= 100"
+)
+def M17_keyword_stage(t):
+    """The first stage: shared keywords, shared fields and skills in what somebody works on; the hundred best."""
+    p = _shared(t)
+    fields = F.size(F.array_intersect(rules.domains(C("tx")), F.array(L("life_sciences"), L("computer_science"))))
+    skills = F.contains("tx", L("deep")).cast("int") + F.contains("tx", L("imaging")).cast("int")
+    return rank.top_k(p.select("id", evaluate.keyword_stage(C("shared"), fields, skills).alias("score")), 100, C("score").desc(), C("id"))
+
+
 # --- parts that other queries hold as well, each by itself -------------------------------------------------------------------
 
 

@@ -82,21 +82,6 @@ def V34_older_website(t):
     return rank.keep_first(s.where("score >= 0.3"), ["who"], C("score").desc(), C("page_id"))
 
 
-@query(
-    "with k as (select vec_id, label % 7 + 5 * (vec_id % 3) as kw from embeddings), a as (select * from k order by kw desc, vec_id limit 100), q as (select embedding::double[] as qv from embeddings where vec_id = 0), "
-    "b as (select vec_id, kw, round(kw + 50 * list_cosine_similarity(embedding::double[], qv), 4) as score from a join embeddings using (vec_id), q order by score desc, vec_id limit 30), "
-    "c as (select vec_id, score, least(15, kw * 2) + case when vec_id % 2 = 0 then 15 else 9 end as rubric from b), r as (select vec_id, rubric, row_number() over (order by rubric desc, score desc, vec_id) as rank from c) select * from r where rank <= 20"
-)
-def W10_staged(t):
-    """Three stages: 100 by shared words, of these 30 by words and cosine, of these 20 by a rubric."""
-    e = t("embeddings")
-    first = e.withColumn("kw", C("label") % 7 + 5 * (C("vec_id") % 3)).orderBy(C("kw").desc(), "vec_id").limit(100)
-    second = first.join(F.broadcast(e.where("vec_id = 0").limit(1).select(C("embedding").alias("q"))), how="inner", on=L(True))
-    second = second.withColumn("score", F.round(C("kw") + 50 * text.cosine(C("embedding"), C("q")), 4)).orderBy(C("score").desc(), "vec_id").limit(30)
-    third = second.withColumn("rubric", F.least(L(15), C("kw") * 2) + F.when(C("vec_id") % 2 == 0, 15).otherwise(9))
-    return rank.top_k(third.select("vec_id", "rubric", "score"), 20, C("rubric").desc(), C("score").desc(), C("vec_id")).drop("score")
-
-
 @query("select * exclude (r) from (select s_nationkey, s_suppkey, s_acctbal, row_number() over (partition by s_nationkey order by s_acctbal, s_suppkey) as r from supplier) where r <= 50")
 def A19_samples(t):
     s = t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
