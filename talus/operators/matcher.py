@@ -178,12 +178,15 @@ def match(profiles: DataFrame, people: DataFrame, now: int, today: str) -> DataF
     q_terms, p_terms = term_weights(profiles), term_weights(people)
     shared = overlaps(q_terms, p_terms)
     proof = overlaps(q_terms, term_weights(people.select("id", C("evidence").alias("text")))).select("query_id", "id", C("overlap").alias("covered"))
-    q = profiles.select(*[C(c).alias(f"q_{c}") for c in profiles.columns]).withColumnRenamed("q_id", "query_id")
-    cand = candidates(profiles, p_terms, people).join(q, "query_id").join(people, "id").join(shared, ["query_id", "id"], "left").join(proof, ["query_id", "id"], "left")
+    # what depends on one side alone is worked out before the sides meet
+    q = profiles.select(*[C(c).alias(f"q_{c}") for c in profiles.columns], skill_names(C("skills")).alias("own")).withColumnRenamed("q_id", "query_id")
+    needed = ["id", "text", "topics_text", "evidence", "last_year", "grants", "required", "techniques", "accepts", "remote_ok", "location", "join_page", "openings", "last_update", "website", "email", "email_verified"]
+    everyone, people = people, people.select(*needed).withColumns({"required_names": skill_names(C("required")), "preferred_names": skill_names(C("techniques"))})
+    cand = candidates(profiles, p_terms, everyone).join(q, "query_id").join(people, "id").join(shared, ["query_id", "id"], "left").join(proof, ["query_id", "id"], "left")
     mine = {c: C(f"q_{c}") for c in profiles.columns}
     them = {c: C(c) for c in people.columns}
     can = availability(mine, them)
-    own, required, preferred = skill_names(C("q_skills")), skill_names(C("required")), skill_names(C("techniques"))
+    own, required, preferred = C("own"), C("required_names"), C("preferred_names")
     days = F.datediff(L(today).cast("date"), C("last_update"))
     limits, blocked = constraint_points(C("accepts"), C("q_remote_ok"), C("remote_ok"), C("q_location"), C("location"))
     got = {

@@ -92,6 +92,8 @@ def look_up(rows: DataFrame, listed: DataFrame, best: bool) -> DataFrame:
     tries = rows.where("name is not null").select("id", F.posexplode(text.name_variations(C("name"))).alias("at", "name"))
     exact = rank.keep_first(tries.join(first.select("name", "ordinal"), "name"), ["id"], C("at")).select("id", "ordinal", L(1.0).alias("ratio"))
     left = rows.where("name is not null").join(exact.select("id"), "id", "left_anti").select("id", text.plain_name(C("name")).alias("key"))
-    near = like_names(left, named.where("name is not null").select("ordinal", "key"))
+    # equal keys are compared once, and of equal listed ones the first counts
+    near = like_names(left.select(C("key").alias("id"), "key").distinct(), named.where("name is not null").groupBy("key").agg(F.min("ordinal").alias("ordinal")))
     order = [C("ratio").desc(), C("ordinal")] if best else [C("ordinal")]
-    return exact.unionByName(rank.keep_first(near, ["id"], *order).select("id", "ordinal", "ratio"))
+    found = rank.keep_first(near, ["id"], *order).select(C("id").alias("key"), "ordinal", "ratio")
+    return exact.unionByName(left.join(found, "key").select("id", "ordinal", "ratio"))
