@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talus.llm.store import stash
+from talus.llm.store import fresh, stash
 
 SHARDS = 24
 #: Probes of the first round, evenly over all keys.
@@ -32,8 +32,8 @@ def _ranges(batch: pa.RecordBatch, cuts: np.ndarray) -> np.ndarray:
     """For each row of (h, d, r) the number of cuts at or below its key."""
     n = batch.num_rows
     cols = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("h", "d", "r")]
-    signed = [(x.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for x in cols[:2]] + [cols[2].astype(">u8")]
-    raw = np.stack(signed, 1).tobytes() if n else b""
+    signed = [x.view(np.uint64) ^ np.uint64(1 << 63) for x in cols[:2]] + [cols[2].view(np.uint64)]
+    raw = np.stack(signed, 1).astype(">u8").tobytes() if n else b""  # bytes in the order of the numbers
     return np.searchsorted(cuts, np.frombuffer(raw, "S24"), "right")
 
 
@@ -89,15 +89,23 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0
     size is the UTF-8 bytes of text (null: none) plus 8; text_crc32 that of the bytes (null: of none). Equal texts are
     neighbours, so a group of copies is divided only where its bytes need more than one shard. Slots count from 0 without
     gaps. A splitter's error is at most tolerance times a shard's share or one row. Repeated rows each get their slot; a null
-    doc_id sorts first; an empty table gives no rows. Columns of docs with the names of new ones give way to them. carry: the columns of docs to
-    keep (all of them if not given); text only moves if it is among them.
+    doc_id sorts first; an empty table gives no rows. Columns of docs with the names of new ones give way to them. carry: the
+    columns of docs to keep (all of them if not given); text only moves if it is among them.
     """
+    # columns of these names go along under others
+    kept = docs.drop("size", "text_crc32", "shard", "slot")
+    other: dict[str, str] = {}
+    for c in kept.columns:
+        if c.lower() in ("h", "d", "r", "range"):
+            other[c] = fresh(kept, f"_{c.lower()}")
+            kept = kept.withColumnRenamed(c, other[c])
+    docs = kept
     raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
     new = {"size": (F.octet_length(raw) + 8).cast("long"), "text_crc32": F.crc32(raw)}
-    keyed = docs.drop("shard", "slot", "range", "h", "d", "r").withColumns(new).withColumns({"h": F.xxhash64(raw), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "r": F.monotonically_increasing_id()})
+    keyed = docs.withColumns(new).withColumns({"h": F.xxhash64(raw), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "r": F.monotonically_increasing_id()})
     if carry is not None:
-        keyed = keyed.select(*dict.fromkeys([*carry, "size", "text_crc32", "h", "d", "r"]))
-    return _shard(keyed, shards, tolerance).drop("h", "d", "r", "range")
+        keyed = keyed.select(*dict.fromkeys([*[other.get(c, c) for c in carry], "size", "text_crc32", "h", "d", "r"]))
+    return _shard(keyed, shards, tolerance).drop("h", "d", "r", "range").withColumnsRenamed({v: k for k, v in other.items()})
 
 
 def _shard(keyed: DataFrame, shards: int, tolerance: float) -> DataFrame:
