@@ -9,7 +9,10 @@ from talus.llm.store import stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each vertex's neighbours to the least of them; large: those above the vertex, else those below it."""
+    """Links each vertex's neighbours to the least of them; large: those above the vertex, else those below it.
+
+    The edges of a vertex with very many meet one row, so a skew join may divide them.
+    """
     if large:
         e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -29,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         edges = stash(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             break
         mark = now

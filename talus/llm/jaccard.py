@@ -39,7 +39,10 @@ SPARE = 1.2
 #: Sets up to this size index no segments; they, and the larger sets they can link with, meet by their rarest shingles.
 TINY = 8
 #: Text bytes whose keys one bucket takes, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+
+#: Shingles whose keys a worker holds at once, and rows of sets that it takes up at once.
+AT_ONCE, ROWS = 1 << 18, 256
 
 _ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.binary()), ("keys", pa.binary()), ("aux", pa.binary())])
 ROW = "bucket int, chunk long, head binary, keys binary, aux binary"
@@ -110,6 +113,17 @@ def segments(lo: int, mid: int, hi: int) -> tuple[int, int]:
     return best[1:] if best else (max(1, hi // 2), max(1, hi // 2))
 
 
+def pieces(batches, sized: str | None = None, most: int = AT_ONCE):
+    """Slices of at most ROWS rows of batches; with sized, the name of a column of numbers, also of about most by their sum."""
+    for batch in batches:
+        lo = 0
+        total = np.concatenate([[0], np.cumsum(batch.column(sized).to_numpy(zero_copy_only=False))]) if sized else None
+        while lo < batch.num_rows:
+            hi = min(lo + ROWS, batch.num_rows) if total is None else max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def chunk_id(k: int) -> int:
     ctx = TaskContext.get()
     return ((ctx.partitionId() if ctx else 0) << 24) + k
@@ -141,6 +155,7 @@ def exchange(sent: DataFrame, answer, collect, schema: str) -> DataFrame:
     """
 
     def bucket(table: pa.Table) -> pa.Table:
+        worker.claim("shingles")
         heads, keys, aux = (table.column(c).to_pylist() for c in ("head", "keys", "aux"))
         ask = [i for i, k in enumerate(keys) if k is not None]
         got = [None] * len(keys)
@@ -264,8 +279,9 @@ def _class_sets(batches):
 
 def _segment_rows(nb: int):
     def go(batches):
+        worker.claim("shingles")
         k = 0
-        for batch in batches:
+        for batch in pieces(batches, "n"):
             cids = batch.column("cid").to_pylist()
             keys, who, room = [], [], []
             for cid, n, blob, slack in zip(cids, batch.column("n").to_pylist(), batch.column("shingles").to_pylist(), batch.column("slack").to_pylist(), strict=True):
@@ -299,6 +315,11 @@ def _runs(keys: np.ndarray, who: np.ndarray):
     return order, keys, who, cut
 
 
+def compact(pairs: list[np.ndarray], at_least: int = 0) -> list[np.ndarray]:
+    """The pairs as one array without repeats, once there are so many."""
+    return [np.unique(np.concatenate(pairs), axis=0)] if sum(map(len, pairs)) > at_least else pairs
+
+
 def _all_pairs(who: np.ndarray, cut: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The pairs within each run, as rows (a, b), without repeats."""
     out = []
@@ -324,6 +345,8 @@ def _segment_pairs(table: pa.Table, hot: int) -> pa.Table:
         own = who[cut[k] : cut[k + 1]]
         if keys[cut[k]] % U64(8) == 0:
             pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], 1))
+            if len(pairs) > 64:
+                pairs = compact(pairs, 1 << 20)
         lost.append(np.stack([own, room[cut[k] : cut[k + 1]].astype(np.int64)], 1))
     pairs = np.unique(np.concatenate(pairs), axis=0)
     lost = np.concatenate(lost) if lost else np.zeros((0, 2), np.int64)
@@ -331,7 +354,8 @@ def _segment_pairs(table: pa.Table, hot: int) -> pa.Table:
 
 
 def _verify(batches):
-    for batch in batches:
+    worker.claim("shingles")
+    for batch in pieces(batches):
         keep = []
         for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -350,8 +374,9 @@ def _rare_rows(nb: int):
     """Asks how many sets have each shingle."""
 
     def go(batches):
+        worker.claim("shingles")
         k = 0
-        for batch in batches:
+        for batch in pieces(batches, "n", 4 * AT_ONCE):
             chunk = chunk_id(k)
             k += 1
             sets = [np.frombuffer(s, np.uint64) for s in batch.column("shingles").to_pylist()]
@@ -411,7 +436,9 @@ def _rare_pairs(star: int, table: pa.Table) -> pa.Table:
             y = slice(0 if some else x + 1, None)
             fits = (at[y] != at[x]) & (np.minimum(rest[y], rest[x]) >= -(-PERCENT * (size[y] + size[x]) // (100 + PERCENT)))
             if fits.any():
-                pairs.append(np.stack([np.full(fits.sum(), w[x]), w[y][fits]], 1))
+                pairs.append(np.sort(np.stack([np.full(fits.sum(), w[x]), w[y][fits]], 1), axis=1))
+                if len(pairs) > 64:
+                    pairs = compact(pairs, 1 << 20)
     pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -441,11 +468,11 @@ def shingle_links(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     links = stash(_links(found.where("slot = -1").select("a", "b").distinct(), sets), "links")
 
     lost = found.where("slot >= 0").groupBy(F.col("a").alias("cid"), "slot").agg(F.sum("b").alias("lost")).groupBy("cid").agg(F.max("lost").alias("lost"))
-    open_ = sets.join(lost, "cid", "left").where("slack < coalesce(lost, 0)").select("cid", "shingles")
+    open_ = sets.join(lost, "cid", "left").where("slack < coalesce(lost, 0)").select("cid", "n", "shingles")
     # stars first: in a large group of near copies they join most owners, and only pairs across what is left meet after that
     for star in (hot, 0):
         home = components(links).select(F.col("v").alias("cid"), F.col("component").alias("home"))
-        homed = open_.join(home, "cid", "left").select("cid", F.coalesce("home", "cid").alias("home"), "shingles")
+        homed = open_.join(home, "cid", "left").select("cid", F.coalesce("home", "cid").alias("home"), "n", "shingles")
         asked = exchange(homed.mapInArrow(_rare_rows(nb), ROW), _frequency, _rarest(nb), ROW)
         again = asked.groupBy("bucket").applyInArrow(_paired(star), "a long, b long").distinct()
         links = stash(links.unionByName(_links(again, sets)), "links")
