@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where that is unset and all runs in one process, a folder of this session."""
@@ -30,8 +32,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here and a lost executor loses nothing.
 
-    The table stays as long as the shared folder does, since the frame returned is lazy.
+    The table stays as long as the shared folder does, since the frame returned is lazy. Rows go to Python workers in batches of
+    at most BATCH_ROWS while it is written, which bounds what executor and worker hold of long texts at once.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, str(before))
+    return spark.read.schema(df.schema).parquet(path)
