@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.store import stash
+from talus.llm.store import parts, stash
+
+#: Edges that one task writes, about.
+EDGES = 250_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,12 +32,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex of edges (a, b): component is the least vertex it reaches. Empty edges give no rows."""
     edges = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark = None
+    rows, mark = edges.count(), None
     while True:
-        edges = stash(_star(_star(edges, True), False), "edges")
+        step, files = _star(_star(edges, True), False), -(-rows // EDGES) or 1
+        # few edges go to few files
+        edges = stash(step.coalesce(files) if files < parts(step.sparkSession) else step, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             break
-        mark = now
+        rows, mark = now[0], now
     low = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "v")
     return low.unionByName(low.select(F.col("component").alias("v"), "component").distinct())
