@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm import decontam, html_text, jaccard, langid, lines, lmscore, packing, pii, sharding, spotsigs
+from talus.llm import decontam, fim, html_text, jaccard, langid, lines, lmscore, minhash, packing, pii, sharding, spotsigs, whitening
 
 
 #: Stands for the secret of spark.talus.key, where that is not set, over the invented documents.
@@ -71,6 +71,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document rewritten for filling in the middle, and of the text rebuilt from it. See fim.transform."""
+    out = fim.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256")]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; links at 0.8 of two-word shingles. See minhash.near_groups."""
+    return minhash.near_groups(_documents(spark, sf_dir))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every usable embedding. See whitening.whiten."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -112,6 +129,21 @@ short as (select doc_id, item_id, 1.0::double as s, min(a) as a from (select doc
 select doc_id, item_id, round(s, 6) as similarity, a as start_word from best where r = 1 union all select doc_id, item_id, s, a from short"""
 
 
+#: The lines, cuts and orders of op11, by string functions.
+_FIM = r"""with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+k as (select doc_id, t, u, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[25:32] as bigint) as h4 from d),
+c as (select doc_id, t, n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+  array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') as p, array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') as m, array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') as s from k)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) as output_sha256, sha256(t) as restored_sha256 from c"""
+
+
+def _near_sql() -> str:
+    """op12: as op2, with two words and four fifths."""
+    two = _NEAR.replace("len(w) < 5", "len(w) < 2").replace("range(1, len(w) - 3)", "range(1, len(w))").replace("w[i:i + 4]", "w[i:i + 1]").replace(">= 75 *", ">= 80 *")
+    return f"select *, doc_id = component_id as kept from ({two})"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others need a tokenizer, a trained model, keyed hashes or a parser."""
-    return {"op1_line_dedup": _LINES, "op2_ngram_jaccard_join": _NEAR, "op10_benchmark_decontamination": _LEAKS}
+    return {"op1_line_dedup": _LINES, "op2_ngram_jaccard_join": _NEAR, "op10_benchmark_decontamination": _LEAKS, "op11_fill_in_middle": _FIM, "op12_minhash_near_dedup": _near_sql()}
