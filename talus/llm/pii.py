@@ -27,14 +27,14 @@ _ibans = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}"
 
 # The patterns of each kind, in the order they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,254}+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,64}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,254}+@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}+\.){1,64}[A-Za-z]{2,24}",
     "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_ibans})\b",
     "secret": r"\b(?=[a-fA-F]*+\d)(?=\d*+[a-fA-F])[0-9a-fA-F]{32,}+\b|\b(?:sk|pk|ghp|gho|AKIA|xox[bp])(?:[_\-]|(?=[A-Za-z_\-]{0,80}\d))[A-Za-z0-9_\-]{16,}+",
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b|\b\d{2}/\d{2}/\d{4}\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\- ]\d{3}[.\- ]\d{4}(?![\d\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)",
-    "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])",
+    "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-]|\.\d)",
 }
 KINDS = tuple(PATTERNS)
 #: A text without a match of this has no value of any kind.
@@ -145,11 +145,28 @@ def _rules(key: str) -> dict[str, tuple[str, str]]:
     }
 
 
+def _within(kind: str) -> str:
+    """(new, n) of a match m that is no value itself: the values within it replaced, and how many.
+
+    A value begins and ends where a run of letters and digits does. From the left, at each place the longest value counts.
+    kind: the SQL of what a text m becomes.
+    """
+    edge = "substring(m, {0}, 1) rlike '[0-9A-Za-z]'"
+    starts = f"filter(sequence(1, length(m)), i -> substring(m, i, 1) rlike '[0-9A-Za-z(+]' and (i = 1 or not {edge.format('i - 1')}))"
+    ends = f"filter(sequence(length(m), 1, -1), e -> {edge.format('e')} and (e = length(m) or not {edge.format('e + 1')}))"
+    part = "substring(m, i, e - i + 1)"
+    tried = f"transform(filter({ends}, e -> e - i >= 6 and length(regexp_replace({part}, '[^0-9]', '')) >= 4), e -> named_struct('e', e, 'old', {part}, 'new', aggregate(array({part}), '', (acc, m) -> {kind})))"
+    hit = f"get(filter({tried}, x -> x.new <> x.old), 0)"
+    step = f"if(i < f.at, f, aggregate(array({hit}), f, (g, x) -> if(x is null, g, named_struct('o', concat(g.o, substring(m, g.at, i - g.at), x.new), 'at', x.e + 1, 'n', g.n + 1))))"
+    return f"aggregate({starts}, named_struct('o', '', 'at', 1, 'n', 0), (f, i) -> {step}, f -> named_struct('new', concat(f.o, substring(m, f.at)), 'n', f.n))"
+
+
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal data in text replaced, and n_private, the number of replaced values; all other columns stay.
 
-    Whole texts are searched, of any length and with words of any length. Values that fail their kind's validation stay as
-    they are (a number that no check digit confirms is no card); so does what has over 255 characters before an @. Null text
+    Whole texts are searched, of any length and with words of any length. What looks like a value and fails its kind's
+    validation is searched for values within it, since numbers beside a value may have been taken for a part of it; what is none
+    then stays (a number that no check digit confirms is no card), as does what has over 255 characters before an @. Null text
     stays null with 0; texts without such values are unchanged; repeated rows give repeated results; a column n_private
     gives way; an empty table gives no rows. The key is the caller's secret and may hold letters, digits and -.
     """
@@ -161,7 +178,9 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     m, new = fresh(kept, "_m"), fresh(kept, "_new")
     out = kept.withColumn("text", F.col("text").cast("string"))
     out = out.withColumn(m, F.expr(f"if(text rlike {_quoted(MAYBE)}, regexp_extract_all(text, {any_}, 0), array())"))
-    out = out.withColumn(new, F.expr(f"transform({m}, m -> {kind})"))
-    rebuilt = f"array_join(zip_with(split(text, {any_}), {new}, (a, b) -> concat(coalesce(a, ''), coalesce(b, ''))), '')"
-    n = f"size(filter(zip_with({m}, {new}, (a, b) -> a <> b), x -> x))"
+    whole = f"transform({m}, m -> named_struct('m', m, 'new', {kind}))"
+    inner = f"transform({whole}, x -> if(x.m <> x.new or length(x.m) < 9, named_struct('new', x.new, 'n', if(x.m <> x.new, 1, 0)), aggregate(array(x.m), named_struct('new', x.m, 'n', 0), (acc, m) -> {_within(kind)})))"
+    out = out.withColumn(new, F.expr(inner))
+    rebuilt = f"array_join(zip_with(split(text, {any_}), {new}, (a, b) -> concat(coalesce(a, ''), coalesce(b.new, ''))), '')"
+    n = f"aggregate({new}, 0, (t, x) -> t + x.n)"
     return out.withColumn("n_private", F.expr(f"if(text is null, 0, {n})")).withColumn("text", F.expr(f"if(size({m}) > 0, {rebuilt}, text)")).select(*kept.columns, "n_private")

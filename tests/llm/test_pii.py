@@ -19,6 +19,9 @@ def luhn(s):
     return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(d)) % 10 == 0
 
 
+#: With ASCII classes of digits and word characters; the texts hold no other letters beyond ASCII than these.
+PATTERNS = {k: p.replace(r"\p{L}\p{N}", "A-Za-z0-9éüï") for k, p in pii.PATTERNS.items()}
+
 VALUES = {
     "hein.19@mail5.example.com": r"[a-z]{4}\.\d\d@mail5\.example\.com",
     "4111 1111 1111 1111": r"\d{4} \d{4} \d{4} \d{4}",
@@ -120,7 +123,7 @@ def refill(m, new, what):
 
 
 def model_value(m):
-    kind = next((k for k, p in pii.PATTERNS.items() if re.fullmatch(p, m, re.A)), None)
+    kind = next((k for k, p in PATTERNS.items() if re.fullmatch(p, m, re.A)), None)
     d = re.sub("[^0-9]", "", m)
     digit = lambda c: c.isascii() and c.isdigit()
     if kind == "email":
@@ -177,12 +180,45 @@ def model_value(m):
     return m
 
 
+def within(m):
+    """(text, number of values): every span of m that no letter or digit touches is tried, from the left and the longest first."""
+    alnum = lambda c: c.isascii() and c.isalnum()
+    out, i, n = "", 0, 0
+    while i < len(m):
+        if i and alnum(m[i - 1]):
+            out, i = out + m[i], i + 1
+            continue
+        for j in range(len(m), i, -1):
+            if (j == len(m) or not alnum(m[j])) and alnum(m[j - 1]) and (new := model_value(m[i:j])) != m[i:j]:
+                out, i, n = out + new, j, n + 1
+                break
+        else:
+            out, i = out + m[i], i + 1
+    return out, n
+
+
 def model(text):
     if text is None:
         return None, 0
-    found = "|".join(f"(?:{p})" for p in pii.PATTERNS.values())
-    n = sum(model_value(m[0]) != m[0] for m in re.finditer(found, text, re.A))
-    return re.sub(found, lambda m: model_value(m[0]), text, flags=re.A), n
+    found, out, at, n = "|".join(f"(?:{p})" for p in PATTERNS.values()), "", 0, 0
+    for m in re.finditer(found, text, re.A):
+        new, k = (model_value(m[0]), 1) if model_value(m[0]) != m[0] else within(m[0]) if len(m[0]) >= 9 else (m[0], 0)
+        out, at, n = out + text[at : m.start()] + new, m.end(), n + k
+    return out + text[at:], n
+
+
+BESIDE = [
+    ("room 12 4111 1111 1111 1111 ok", r"room 12 \d{4} \d{4} \d{4} \d{4} ok", 1), ("pay 4111 1111 1111 1111 12", r"pay \d{4} \d{4} \d{4} \d{4} 12", 1), ("id 1234567 078-05-1120", r"id 1234567 \d{3}-\d\d-\d{4}", 1),
+    ("4111 1111 1111 1111 10.0.0.1", r"\d{4} \d{4} \d{4} \d{4} \d+\.\d+\.\d+\.\d+", 2), ("no 5 5500-0000-0000-0004 7", r"no 5 \d{4}-\d{4}-\d{4}-\d{4} 7", 1), ("\u00fcn\u00efcode@x.de", r"\u00fc[a-z]\u00ef[a-z]{4}@x\.de", 1),
+    ("9 2023-02-28 4111111111111111", r"9 \d{4}-\d\d-\d\d \d{16}", 2),
+]
+
+
+@pytest.mark.parametrize(("text", "form", "n"), BESIDE)
+def test_values_beside_other_numbers(spark, text, form, n):
+    r = pii.pseudonymize(spark.createDataFrame([(1, text, None)], SCHEMA), KEY).first()
+    assert re.fullmatch(form, r.text) and r.text != text and r.n_private == n
+    assert (r.text, r.n_private) == model(text)
 
 
 def test_equals_the_plain_model(spark):
@@ -208,6 +244,8 @@ def test_equals_the_plain_model(spark):
         lambda: card(r.randint(13, 19)), lambda: digits(16), lambda: "é" + words(3) + "@x.com", lambda: "plain words", lambda: "_a@b.co.", lambda: "a.b@c..d",
     ]
     rows = [(k, "".join(r.choice(makers)() + r.choice([" ", ", ", "\n", ".", ": "]) for _ in range(r.randint(0, 12))), "x") for k in range(400)]
+    numbers = [lambda: digits(r.randint(1, 7)), lambda: card(16), lambda: " ".join(card(16)[k : k + 4] for k in (0, 4, 8, 12)), lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: "10.0.0." + digits(1), lambda: "2020-01-1" + digits(1)]
+    rows += [(500 + k, r.choice([" ", "-"]).join(r.choice(numbers)() for _ in range(r.randint(2, 5))), "x") for k in range(150)]
     rows += [(1000 + k, m(), "x") for k, m in enumerate(makers)] + [(None, None, None), (2000, "", "x"), (2001, "AKIA_ABCDEFGHIJKLMNOPQRST", "no digit")]
     got = {o.doc_id: (o.text, o.n_private) for o in pii.pseudonymize(spark.createDataFrame(rows, SCHEMA), KEY).collect()}
     assert got == {i: model(t) for i, t, _ in rows}
