@@ -36,7 +36,8 @@ _PLAIN_WORDS = set(
     "icon icons inner item items l label large left link links list main mobile module news outer page pages panel post posts primary r region right row rail secondary "
     "section sections site slot small stories sticky story tertiary text the title top unit us view wrap wrapper you more also by for to of area1 area2".split()
 )
-_COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+)?(?:comments?|replies|responses|discussion)(?:\s*\(\d+\))?:?|leave a (?:comment|reply)|join the (?:conversation|discussion)|post a comment", re.I)
+# Headings of readers' comments; a section of an article may be called Discussion, Responses or Replies.
+_COMMENTS = re.compile(r"\d+\s+(?:reader\s+)?(?:comments?|replies|responses)|(?:reader\s+)?(?:comments?|replies|responses|discussion)\s*\(\d+\):?|(?:reader\s+)?comments:?|leave a (?:comment|reply)|join the (?:conversation|discussion)|post a comment", re.I)
 #: Which open elements an opening tag ends, at which of them it stops looking, and which hide them from it.
 _ENDS = {
     "li": ({"li"}, {"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
@@ -67,6 +68,7 @@ LABELLED = [
     (0, 1, 0.0, 7, 0.0, 1.0, 60, 2, 0, 1), (0, 1, 1.0, 3, 0.0, 1.0, 40, 20, 0, 1), (0, 1, 1.0, 5, 1.0, 0.0, 4, 60, 0, 1),
     (0, 0, 0.0, 19, 0.0, 0.0, 3, 1, 0, 1), (0, 0, 0.0, 1, 0.0, 0.0, 19, 19, 0, 1), (0, 0, 0.0, 19, 0.0, 1.0, 1, 1, 0, 1), (0, 0, 0.0, 3, 1.0, 0.0, 1, 19, 1, 1), (0, 0, 0.0, 22, 1.0, 1.0, 2, 2, 0, 1),
     (0, 0, 0.0, 100, 0.0, 0.0, 0, 0, 0, 1), (0, 0, 0.0, 30, 0.0, 0.0, 4, 5, 0, 1), (0, 0, 1.0, 1, 0.0, 1.0, 0, 1, 0, 0), (0, 0, 1.0, 1, 1.0, 0.0, 1, 3, 0, 0), (0, 0, 1.0, 1, 0.0, 0.0, 19, 0, 0, 0),
+    (0, 0, 0.0, 4, 0.0, 0.0, 0, 0, 0, 1), (0, 0, 0.0, 1, 0.0, 0.0, 0, 0, 0, 1), (0, 0, 0.0, 12, 0.0, 0.0, 0, 0, 0, 1), (0, 0, 0.2, 8, 0.0, 0.0, 0, 0, 0, 1), (0, 0, 1.0, 3, 0.0, 0.0, 0, 0, 0, 0),
     (0, 0, 0.0, 15, 0.0, 0.0, 2, 2, 0, 1), (0, -1, 0.0, 19, 0.0, 0.0, 3, 1, 0, 0), (0, -1, 0.0, 120, 0.0, 0.0, 30, 40, 0, 0), (0, 0, 1.0, 9, 1.0, 1.0, 8, 9, 0, 0),
 ]
 
@@ -260,13 +262,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page; empty for null, for empty pages and where no block counts as main text."""
+    """The main text of a page; empty for null, for pages without a letter or digit and where no block counts as main text."""
     found = blocks(page or "")
+    if not any(c.isalnum() for b in found for c in b[0]):
+        return ""
     marked = any(b[4] for b in found)
     n = [len(b[0].split()) for b in found]
     keep, talk = [], False
     for i, (text, links, heading, furniture, main) in enumerate(found):
-        talk |= heading and _COMMENTS.fullmatch(text) is not None  # what follows are readers' comments
+        if heading:  # what follows are readers' comments, up to the next heading
+            talk = _COMMENTS.fullmatch(text) is not None
         before = (n[i - 1], found[i - 1][1]) if i else (0, 0.0)
         after = (n[i + 1], found[i + 1][1]) if i + 1 < len(found) else (0, 0.0)
         x = (int(furniture or talk), (1 if main else -1) if marked else 0, links, n[i], before[1], after[1], before[0], after[0], int(heading))

@@ -111,3 +111,18 @@ def test_broken_markup_takes_time_in_proportion(broken):
     began = time.time()
     H.main_text(f"<article><p>{LONG}</p>" + broken * 20_000)
     assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("name", ["Discussion", "Responses", "Replies", "Results", "Comments on the method"])
+def test_sections_of_an_article_stay(name):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><h2>{name}</h2><p>{LONG}</p><h2>Conclusion</h2><p>{LONG}</p></article>"
+    assert H.main_text(page).split("\n") == ["Title", LONG, name, LONG, "Conclusion", LONG]
+
+
+def test_comments_end_with_the_next_heading():
+    assert H.main_text(f"<article><h1>Title</h1><p>{LONG}</p><h2>3 comments</h2><p>{LONG}</p><h2>Sources</h2><p>{LONG}</p></article>").split("\n") == ["Title", LONG, "Sources", LONG]
+
+
+@pytest.mark.parametrize("page", ["<p>Just one line.</p>", "Just one line.", "<html><body><div>Just <b>one</b> line.</div></body></html>"])
+def test_pages_of_one_line(page):
+    assert H.main_text(page) == "Just one line."
