@@ -87,6 +87,18 @@ def test_links_at_the_bound_share_a_key():
     assert (missed, far) == (0, 0)  # of 3000
 
 
+def test_no_link_is_ruled_out():
+    rng = np.random.default_rng(9)
+    for n in (1, 4, 9, 40, 300, 5000):
+        for both in {0, 1, n // 2, -(-8 * n // 9), n}:
+            x = rng.integers(0, 1 << 63, 2 * n - both, dtype=np.uint64)
+            m = minhash.marks([np.sort(x[:n]), np.sort(x[n - both :])])
+            links = 100 * both >= 80 * (2 * n - both)
+            assert minhash.may_link(m[:1], m[1:], 80)[0] or not links
+    a, b = (minhash.marks([x[:300]]) for x in (rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in "ab"))
+    assert not minhash.may_link(a, b, 80)[0]
+
+
 def test_repeats_nulls_and_first_of_groups(spark):
     text = "one two three four five six seven"
     rows = [(None, text, "a", ""), (4, text, "b", ""), (4, text, "c", ""), (4, "other words altogether here", "d", ""), (5, None, "e", ""), (5, "", "f", ""), (6, text.upper(), "g", "")]
