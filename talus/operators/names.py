@@ -52,33 +52,74 @@ def first_match(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return rank.keep_first(near, ["id"], C("ordinal")).select("id", "found")
 
 
-def _grams(name: str, n: int) -> Column:
-    """The different runs of n characters of a name."""
-    return F.array_distinct(F.expr(f"transform(sequence(1, greatest(length({name}) - {n - 1}, 1)), i -> substring({name}, i, {n}))"))
+#: Rows of listed names with one key that a join group takes, about.
+GROUP = 1000
+
+
+def _numbered_grams(key: str) -> Column:
+    """The pairs of neighbouring characters of a name, each with how many equal ones stand before it."""
+    grams = f"transform(sequence(1, length({key}) - 1), i -> substring({key}, i, 2))"
+    numbered = f"transform({grams}, (g, i) -> struct(g as g, size(filter(slice({grams}, 1, i), x -> x = g)) as k))"
+    return F.expr(f"if(length({key}) < 2, cast(array() as array<struct<g: string, k: int>>), {numbered})")
+
+
+def _shared_grams(n: str) -> str:
+    """The least number of numbered grams that two names of n characters together share, if they are alike by LEAST.
+
+    m matched characters of n leave n - 2m others, so they lie in at most n - 2m + 1 runs, and a run lacks one gram only.
+    """
+    return f"(3 * cast(ceil({LEAST / 2}D * ({n}) - 1e-9D) as int) - ({n}) - 1)"
+
+
+def _by_rarity(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """names (i, key) of two characters at least with o, their numbered grams from the rarest on, and p, how many of these a name alike has one of."""
+    each = names.select("i", F.explode(_numbered_grams("key")).alias("g")).join(counts, "g")
+    ordered = each.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+    # the fewest shared grams over the partner's lengths; longer partners ask for more
+    lengths = f"sequence(cast(ceil({LEAST / (2 - LEAST)}D * length(key) - 1e-9D) as int), length(key) + 3)"
+    least = f"array_min(transform({lengths}, b -> {_shared_grams('length(key) + b')}))"
+    return names.join(ordered, "i").select("i", "key", "o", F.expr(f"size(o) - {least} + 1").alias("p"))
+
+
+def _met(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The join of a and b (j, ...) on key in groups of about GROUP rows of b: those of a key with more are dealt out, and a's are copied to each part."""
+    parts = b.groupBy(key).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("m"))
+    one = a.join(parts, key).withColumn("part", F.explode(F.sequence(L(0), C("m") - 1))).drop("m")
+    two = b.join(parts, key).withColumn("part", F.pmod(F.xxhash64("j"), C("m")).cast("int")).drop("m")
+    return one.join(two, [key, "part"])
+
+
+def like_pairs(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(i, ka, j, kb): pairs of rows (id, key) and listed (ordinal, key), each once, among which are all that like_names asks for."""
+    a, b = rows.where("key <> ''").select(C("id").alias("i"), "key"), listed.where("key <> ''").select(C("ordinal").alias("i"), "key")
+    gram = lambda df: df.select(F.explode(_numbered_grams("key")).alias("g"))
+    counts = gram(a).unionByName(gram(b)).groupBy("g").agg(F.count("*").alias("f"))
+    side = lambda df, i, k: df.select(C("i").alias(i), C("key").alias(k), F.size("o").alias(f"n{i}"), C("p").alias(f"p{i}"), F.posexplode("o").alias(f"at{i}", "x")).withColumn("g", C("x.g")).drop("x")
+    one, two = side(_by_rarity(a, counts), "i", "ka"), side(_by_rarity(b, counts), "j", "kb")
+    together = F.length("ka") + F.length("kb")
+    # from a shared gram on both must still have the grams that their lengths ask for; the first shared one of a pair meets this
+    alike = _met(one.where("ati < pi"), two.where("atj < pj"), "g").where((2 * F.least(F.length("ka"), F.length("kb")) >= LEAST * together) & (F.least(C("ni") - C("ati"), C("nj") - C("atj")) >= F.expr(_shared_grams("length(ka) + length(kb)"))))
+    # a name within another has its rarest gram there, as often as not at another number, so by the gram alone
+    bare_ = lambda df: df.withColumn("g", C("g.g"))
+    first, whole = (lambda df, k: bare_(df.where(f"{k} = 0"))), (lambda df, k: bare_(df).dropDuplicates([k, "g"]))
+    within = _met(first(one, "ati"), whole(two, "j"), "g").where(F.contains("kb", "ka"))
+    around = _met(whole(one, "i"), first(two, "atj"), "g").where(F.contains("ka", "kb"))
+    letters = lambda df, i, k: df.select(C("i").alias(i), C("key").alias(k), F.explode(F.array_distinct(F.split("key", ""))).alias("g"))
+    out = None
+    for met in (alike, within, around, _met(letters(a.where("length(key) = 1"), "i", "ka"), letters(b, "j", "kb"), "g"), _met(letters(a, "i", "ka"), letters(b.where("length(key) = 1"), "j", "kb"), "g")):
+        pair = met.select("i", "ka", "j", "kb")
+        out = pair if out is None else out.unionByName(pair)
+    return out.dropDuplicates(["i", "j"])
 
 
 def like_names(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """(id, ordinal, ratio) of all pairs of rows (id, key) and listed (ordinal, key) of at least LEAST: 1 for equal keys, 0.9 where one holds the other.
 
-    No pair is lost. Two keys of t characters together, alike by 0.85, have 0.425 t characters in at most 0.15 t + 1 common runs,
-    so one run of at least three where t is over 16, and of two below that; one key within another shares all its runs. So
-    pairs meet by runs of three, those of short keys by runs of two, and keys of one or two characters within others by these.
+    No pair is lost. Names alike by LEAST share so many numbered grams that one of a few of the rarest of either is common, so
+    only these are met. Where a name holds another it has the rarest gram of that; single characters meet the names with them.
     """
-    key = lambda df, n: df.where(F.length("key") >= n)
-    split = lambda df, i, n: df.select(i, F.explode(_grams("key", n)).alias("g"))
-    a, b = rows.select("id", "key").where("key <> ''"), listed.select("ordinal", "key").where("key <> ''")
-    met = split(key(a, 3), "id", 3).join(split(key(b, 3), "ordinal", 3), "g").select("id", "ordinal")
-    # two keys of at most 16 characters together: the shorter has eight at most, and the longer less than 15
-    met = met.unionByName(split(key(a, 2).where("length(key) <= 14"), "id", 2).join(split(key(b, 2).where("length(key) <= 14"), "ordinal", 2), "g").select("id", "ordinal"))
-    for n in (1, 2):
-        short = lambda df: df.where(F.length("key") == n)  # noqa: B023, E731
-        met = met.unionByName(short(a).select("id", C("key").alias("g")).join(split(key(b, n), "ordinal", n), "g").select("id", "ordinal"))
-        met = met.unionByName(split(key(a, n), "id", n).join(short(b).select("ordinal", C("key").alias("g")), "g").select("id", "ordinal"))
-    pairs = met.distinct().join(a.withColumnRenamed("key", "ka"), "id").join(b.withColumnRenamed("key", "kb"), "ordinal")
-    held = F.contains("ka", "kb") | F.contains("kb", "ka")
-    # the most that lengths allow
-    most = 2 * F.least(F.length("ka"), F.length("kb")) / (F.length("ka") + F.length("kb"))
-    return pairs.where(held | (most >= LEAST)).select("id", "ordinal", text.seq_ratio("ka", "kb").alias("ratio")).where(C("ratio") >= LEAST)
+    pairs = like_pairs(rows, listed)
+    return pairs.select(C("i").alias("id"), C("j").alias("ordinal"), text.seq_ratio("ka", "kb").alias("ratio")).where(C("ratio") >= LEAST)
 
 
 def look_up(rows: DataFrame, listed: DataFrame, best: bool) -> DataFrame:

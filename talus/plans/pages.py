@@ -94,12 +94,6 @@ def A14_coverage(t):
     return t("customer").groupBy("c_mktsegment").agg(found.alias("positive"), F.count_if((C("c_acctbal") >= 4000) & (C("c_nationkey") > 20)).alias("lacking"))
 
 
-@query("with u as (select c_custkey as k, c_name as name, 0 as src from customer where c_custkey % 2 = 0 union all select c_custkey, c_name || ' x', 1 from customer where c_custkey % 3 = 0) select k, arg_min(name, src) as name from u group by k")
-def D4_left_preferred(t):
-    c = t("customer").select(C("c_custkey").alias("k"), C("c_name").alias("name"))
-    return rank.priority_union([c.where("k % 2 = 0"), c.where("k % 3 = 0").withColumn("name", F.concat("name", L(" x")))], ["k"], "name").drop("src_rank")
-
-
 @query("select o_custkey as k, max(o_orderkey) as latest, arg_max(o_orderpriority, o_orderkey) as priority from orders group by 1")
 def V5_latest(t):
     """The last row of each key in stored order, as an upsert leaves it."""
@@ -115,15 +109,8 @@ def G1_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most ten admitted events a user in any day, exact; rejected ones do not count. Tested against a plain loop."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with streams.keyed_state(spark):
         return streams.run_once(streams.limited(stream, 10, 86400), "talus_limiter", "append")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 QUERIES["G1_limiter"] = G1_limiter
