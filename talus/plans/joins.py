@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions import rules, text, web
-from talus.operators import names, rank
+from talus.operators import facets, names, rank
 from talus.plans.catalog import query
 from talus.plans.people import NAMES, WITH, _folded, any_sql, lit, people, pick, starts_sql
 
@@ -144,10 +144,10 @@ def F7_admission(t):
 _generic = "|".join(text.GENERIC_ADDRESSES)
 
 
-@query(WITH + f"select id, coalesce(regexp_matches(lower(email), '^({_generic})@'), false) as office, coalesce({starts_sql('split_part(lower(email), chr(64), 1)', text.GENERIC_LOCALS)}, false) as starts, coalesce(regexp_matches(lower(email), '@(.*[.])?(alpha[.]edu|beta[.]org)$'), false) as sited from people where contains(coalesce(email, ''), '@') and email = trim(email)")
+@query(WITH + f"select id, coalesce(regexp_matches(lower(email), '^({_generic})@'), false) as office, coalesce({starts_sql('split_part(lower(email), chr(64), 1)', text.GENERIC_LOCALS)}, false) as starts, coalesce(regexp_matches(lower(email), '@(.*[.])?(alpha[.]edu|beta[.]org)$'), false) as sited from people where contains(coalesce(email, ''), '@')")
 def F9_office_addresses(t):
     """Addresses of offices by their whole local part, or by how it starts; and whether their host is one of the sites or below it."""
-    p = people(t).where("contains(coalesce(email, ''), '@') and email = trim(email)")
+    p = people(t).where("contains(coalesce(email, ''), '@')")
     starts = F.exists(F.array(*[L(g) for g in text.GENERIC_LOCALS]), lambda g: F.startswith(F.substring_index(F.lower("email"), "@", 1), g))
     return p.select("id", text.generic_address(C("email")).alias("office"), starts.alias("starts"), web.within_domains(C("email"), ["alpha.edu", "beta.org"]).alias("sited"))
 
@@ -362,9 +362,9 @@ def M24_choices(t):
     f = admitted(t).select("school", rules.category(F.coalesce("department", L(""))).alias("category"), F.coalesce("department", L("")).alias("dept"), loc.alias("loc"))
     fs, fc, fl = C("school") == "MIT", C("category") == "biology", F.contains("loc", L("o"))
     real = ~C("dept").isin("", "Various")
-    one = lambda facet, value, ok: F.struct(L(facet).alias("facet"), C(value).alias("value"), ok.alias("ok"))
-    every = F.array(one("school", "school", fc & fl), one("category", "category", fs & fl & real & (C("category") != "default")), one("subfield", "dept", fs & fl & fc & real), one("location", "loc", fs & fc & (C("loc") != "")))
-    n = f.select(F.inline(every)).where("ok").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    # sub-fields are those of the category that is chosen
+    offered = {"school": ("school", L(True)), "category": ("category", real & (C("category") != "default")), "subfield": ("dept", fc & real), "location": ("loc", C("loc") != "")}
+    n = facets.counts(f, offered, {"school": fs, "category": fc, "location": fl})
     return n.select("facet", "value", "n", F.when(C("facet") == "category", rules.category_name(C("value"))).alias("shown"))
 
 
