@@ -85,3 +85,24 @@ def best_email(source: Column, first: Column, last: Column) -> Column:
     """The personal address in a text with the highest signals, the first of equals; null where there is none."""
     scored = F.transform(text.emails(source), lambda e, i: F.struct(email_signals(e, first, last).alias("s"), (-i).alias("i"), e.alias("e")))
     return F.array_max(scored)["e"]
+
+
+def website_flags(found: Column, known: Column, name: Column) -> dict[str, Column]:
+    """Whether a found page is the known one, of its domain, or has the last word of the name in its URL; the first is all of them."""
+    f, k = text.url_key(F.coalesce(found, F.lit(""))), text.url_key(F.coalesce(known, F.lit("")))
+    both, words = (f != "") & (k != ""), F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"\s+"), lambda w: w != "")
+    last = F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise("")
+    exact = both & (f == k)
+    return {"website_exact": exact, "website_domain": both & (text.domain(f) == text.domain(k)), "website_name": exact | (both & (last != "") & F.contains(f, last))}
+
+
+def email_flags(found: Column, known: Column) -> dict[str, Column]:
+    """Whether a found address is the known one, or at its host."""
+    f, k = F.lower(F.trim(F.coalesce(found, F.lit("")))), F.lower(F.trim(F.coalesce(known, F.lit(""))))
+    both, host = (f != "") & (k != ""), lambda e: F.split_part(e, F.lit("@"), F.lit(2))
+    return {"email_exact": both & (f == k), "email_domain": both & ((f == k) | (F.contains(f, F.lit("@")) & F.contains(k, F.lit("@")) & (host(f) == host(k))))}
+
+
+def outcome(exact: Column, domain: Column, found: Column, what: str) -> Column:
+    """What is said of one search: exact, domain, found or none."""
+    return F.when(exact, f"{what} EXACT").when(domain, f"{what} domain").when(given(found), f"{what} found").otherwise(f"No {what.lower()}")

@@ -77,3 +77,20 @@ def tag_score(department: Column, haystack: Column, title: Column, key: str, dis
 def term_search(df: DataFrame, terms: list[str], weights: dict[str, int]) -> Column:
     """Points for each term in each column that contains it."""
     return reduce(lambda a, b: a + b, [F.when(F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t.lower())), w).otherwise(0) for t in terms for c, w in weights.items()])
+
+
+def display_priority(email: Column, website: Column, h: Column) -> Column:
+    """What is known of a person: an email 2, a website 1, an h-index one half."""
+    some = lambda c: (F.trim(F.coalesce(c, F.lit(""))) != "").cast("int")
+    return 2.0 * some(email) + some(website) + 0.5 * h.isNotNull().cast("int")
+
+
+def browse(people: DataFrame, school: str = "", category: str = "", subfield: str = "", location: str = "") -> DataFrame:
+    """people (school, category, department, location) that go with all choices made; an empty one is off, as is a location that nobody has."""
+    given = lambda c: F.coalesce(c, F.lit(""))
+    if location and people.where(F.col("location") == location).isEmpty():
+        location = ""
+    for c, value in (("school", school), ("category", category), ("department", subfield)):
+        if value:
+            people = people.where(given(F.col(c)) == value)
+    return people.where(F.contains(given(F.col("location")), F.lit(location))) if location else people

@@ -37,6 +37,33 @@ def priority_union(sources: list[DataFrame], keys: list[str], order: str) -> Dat
     return keep_first(both, keys, F.col("src_rank"), F.col(order))
 
 
+def left_preferred(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key that is not empty, with side: the left table's last row by order, or the right table's first where the left has none."""
+    known = lambda df: df.where(F.coalesce(F.col(key), F.lit("")) != "")
+    one = keep_first(known(left), [key], F.col(order).desc()).withColumn("side", F.lit("left"))
+    two = keep_first(known(right), [key], F.col(order)).join(one.select(key), key, "left_anti").withColumn("side", F.lit("right"))
+    return one.unionByName(two)
+
+
+def filled(rows: DataFrame, column: str, sources: dict[str, DataFrame]) -> DataFrame:
+    """rows (id, column) with source: a blank value is filled from the first of the sources (id, column; one row each) that has one; own where it was not blank."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    out = rows.select("id", F.when(~blank(column), F.col(column)).alias(column)).withColumn("source", F.when(F.col(column).isNotNull(), "own"))
+    for name, table in sources.items():
+        new = table.select("id", F.when(~blank(column), F.col(column)).alias("_new"))
+        out = out.join(new, "id", "left").select("id", F.coalesce(column, "_new").alias(column), F.coalesce("source", F.when(F.col("_new").isNotNull(), name)).alias("source"))
+    return out
+
+
+def zipped(one: DataFrame, two: DataFrame, *orders: Column) -> DataFrame:
+    """The n-th rows of two tables side by side, with nth from 1, each in its own stored order (one's, two's); raises for different lengths."""
+    a, b = places(one, "nth", orders[0]), places(two, "nth", orders[1])
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} rows beside {m}")
+    return a.join(b, "nth")
+
+
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """One page with total_pages, page, show_start and show_end; the number is clamped to the pages there are."""
     n = df.count()
@@ -106,7 +133,8 @@ def within_budget(df: DataFrame, high: Column, cost: int, other_cost: int, budge
     tier = df.withColumn("_high", high)
     n, m = tier.agg(F.count_if(~F.col("_high")), F.count_if(F.col("_high"))).first()
     over = max(0, m * cost + n * other_cost - budget)
-    others = tier.where(~F.col("_high")).orderBy(*order).limit(max(0, n - over))
+    # by places that are counted in ranges: a limit would bring all that stay to one task
+    others = places(tier.where(~F.col("_high")), "_place", *order).where(F.col("_place") <= n - over).drop("_place")
     return tier.where("_high").unionByName(others).drop("_high")
 
 

@@ -70,13 +70,6 @@ def D2_priority_union(t):
     return rank.priority_union([s, c], ["k"], "id").select("k", "src_rank", "id")
 
 
-@query("select p_partkey, p_name, p_size from part where p_brand = (select min(p_brand) from part) and p_size >= 10 and contains(p_type, 'S')")
-def F1_browse(t):
-    p = t("part")
-    low = p.agg(F.min("p_brand").alias("p_brand"))
-    return p.join(low, "p_brand", "left_semi").where((C("p_size") >= 10) & F.contains("p_type", L("S"))).select("p_partkey", "p_name", "p_size")
-
-
 @query("select c_custkey, 2.0 * (c_acctbal > 0)::int + (c_mktsegment is not null)::int + 0.5 * (c_nationkey > 5)::int as priority from customer")
 def M23_priority(t):
     return t("customer").select("c_custkey", (2.0 * (C("c_acctbal") > 0).cast("int") + C("c_mktsegment").isNotNull().cast("int") + 0.5 * (C("c_nationkey") > 5).cast("int")).alias("priority"))

@@ -143,20 +143,14 @@ _component("M9_intent", "intent_points", "Up to 10 points by what is wanted.")
 _component("M11_available_total", "raw_total, score, completeness", "The total over the components that can be scored, of 100.")
 
 
-@query(
-    PEOPLE_SQL + PROFILES_SQL + f", j as (select q.id as query_id, m.*, q.text as qtext, q.level as qlevel, q.intent as qintent, q.needs_funding as qfund, q.remote_ok as qremote, coalesce(q.location, '') as qloc, len(q.skills) > 0 as qskills from q join m on m.id between q.id and q.id + 24) "
-    f"select query_id, id, {_has('trim(qtext)')} and {_has('trim(text)')} as topic, {_has('evidence')} or coalesce(last_year > 0, false) or coalesce(grants > 0, false) as evidence, qskills or len(required) > 0 or len(tech) > 0 as skills, "
-    f"join_page is not null or openings is not null or age_days is not null or {_has('website')} or {_has('email')} as action, {_has('qlevel')} or accepts is not null or qremote is not null or remote_ok is not null or qloc <> '' or {_has('location')} as constraints, "
-    f"{_has('qintent')} or qfund is not null or grants is not null or join_page is not null or openings is not null as intent, {_has('email')} or {_has('website')} or email_verified is not null as contact from j"
-)
+@query(_scored + "select query_id, id, a1 as topic, a2 as evidence, a3 as skills, a4 as action, a5 as constraints, a6 as intent, a7 as contact from scored")
 def M10_availability(t):
-    """Which components can be scored for a profile and the people next to it."""
-    q = profiles(t)
-    q = q.select(*[C(c).alias(f"q_{c}") for c in q.columns])
-    p = matched(t)
-    near = q.withColumn("id", F.explode(F.sequence("q_id", C("q_id") + 24))).join(p, "id")
-    can = matcher.availability({c.removeprefix("q_"): C(c) for c in q.columns}, {c: C(c) for c in p.columns})
-    return near.select(C("q_id").alias("query_id"), "id", *[v.alias(k) for k, v in can.items()])
+    """Which components can be scored, for every pair that is."""
+    q, p = profiles(t), matched(t)
+    near = _match(t).select("query_id", C("id").alias("p_id"))
+    near = near.join(q.select(*[C(c).alias(f"q_{c}") for c in q.columns]), C("query_id") == C("q_id")).join(p.select(*[C(c).alias(f"p_{c}") for c in p.columns if c != "id"], C("id").alias("p_id")), "p_id")
+    can = matcher.availability({c: C(f"q_{c}") for c in q.columns}, {c: C(f"p_{c}") for c in p.columns})
+    return near.select("query_id", C("p_id").alias("id"), *[v.alias(k) for k, v in can.items()])
 
 
 @query(_scored + f"select query_id, id, case when {_why} = '' then 'General match' else {_why} end || case when completeness < 0.8 and unscored > 0 then ' (' || unscored || ' categories not scored due to missing data)' else '' end as explanation from scored")

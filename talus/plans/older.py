@@ -122,13 +122,6 @@ def T16_page_addresses(t):
     return found.unionByName(more)
 
 
-@query(WITH + "select id, case when coalesce(techniques, '') = '' then 'none' when lower(techniques) = techniques then 'lower' else 'mixed' end as kind, coalesce(h_index, 0) >= 40 as senior from people")
-def V27_profile_rules(t):
-    """What rules alone tell of a profile where no model is asked; level, fields and kind of lab are T36's."""
-    own = F.coalesce("techniques", L(""))
-    return people(t).select("id", F.when(own == "", "none").when(F.lower(own) == own, "lower").otherwise("mixed").alias("kind"), (F.coalesce("h_index", L(0)) >= 40).alias("senior"))
-
-
 _mail = pick(["Info@site.edu", "jane@site.edu", "team.lead@site.edu", "steppingstrong@x.org", "course@x.org"], "id")
 
 
@@ -138,33 +131,6 @@ def V35_plain_addresses(t):
     return people(t).select("id", text.generic_address(F.expr(_mail)).alias("office"), web.within_domains(F.expr(_mail), ["site.edu"]).alias("sited"))
 
 
-_stages = (
-    "with k as (select vec_id, label % 7 + 5 * (vec_id % 3) as kw from embeddings), q as (select vec_id as query_id, embedding::double[] as qv from embeddings where vec_id % 50 = 0), a as (select * from k order by kw desc, vec_id limit 100), "
-    "s as (select query_id, vec_id, kw, round(kw + 50 * list_cosine_similarity(embedding::double[], qv), 4) as score from a join embeddings using (vec_id), q), b as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 30) "
-)
-
-
-def _second(t):
-    """For every vector whose id is divisible by 50 the thirty best by words and cosine of the hundred that have most words."""
-    e = t("embeddings")
-    first = e.withColumn("kw", C("label") % 7 + 5 * (C("vec_id") % 3)).orderBy(C("kw").desc(), "vec_id").limit(100).select("vec_id", "kw", "embedding")
-    q = e.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
-    s = q.join(F.broadcast(first)).select("query_id", "vec_id", "kw", F.round(C("kw") + 50 * text.cosine(C("embedding"), C("q")), 4).alias("score"))
-    return rank.top_k_by(s, ["query_id"], 30, C("score").desc(), C("vec_id"))
-
-
-@query(_stages + "select query_id, vec_id, score, rank from b")
-def M18_second_stage(t):
-    return _second(t).drop("kw")
-
-
-@query(_stages + ", c as (select query_id, vec_id, score, least(15, kw * 2) + case when vec_id % 2 = 0 then 15 else 9 end as rubric from b), r as (select query_id, vec_id, rubric, row_number() over (partition by query_id order by rubric desc, score desc, vec_id) as rank from c) select * from r where rank <= 20")
-def W10_staged(t):
-    """Three stages for every vector whose id is divisible by 50: 100 by words, of these 30 by words and cosine, of these 20 by a rubric."""
-    third = _second(t).drop("rank").withColumn("rubric", F.least(L(15), C("kw") * 2) + F.when(C("vec_id") % 2 == 0, 15).otherwise(9))
-    return rank.top_k_by(third, ["query_id"], 20, C("rubric").desc(), C("score").desc(), C("vec_id")).select("query_id", "vec_id", "rubric", "rank")
-
-
 _keys = ["learning", "cell", "language", "energy", "clinical", "data"]
 _theirs = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(topics, '')), '[a-z]+'), lambda w: length(w) >= 3))"
 _keyed = f"{WITH}, k as (select *, {_theirs} as kw, lower(replace(coalesce(topics, ''), '|', ' ')) as tx from people), n as (select *, len(list_intersect(kw, [{', '.join(map(lit, _keys))}])) as shared from k) "
@@ -219,10 +185,10 @@ def S10_csv_columns(t):
     return back.select(C("id").cast("long").alias("id"), F.coalesce("name", L("")).alias("name"), F.trim(F.coalesce("location", L(""))).alias("location"))
 
 
-@query(WITH + "select id, coalesce(split_part(lower(email), '@', 2) = 'alpha.edu' or ends_with(split_part(lower(email), '@', 2), '.alpha.edu'), false) as valid from people where email is null or email = trim(email)")
+@query(WITH + "select id, coalesce(split_part(lower(email), '@', 2) = 'alpha.edu' or ends_with(split_part(lower(email), '@', 2), '.alpha.edu'), false) as valid from people")
 def F10_host(t):
     """Whether an address is at a host or below it."""
-    return people(t).where("email is null or email = trim(email)").select("id", web.within_domains(C("email"), ["alpha.edu"]).alias("valid"))
+    return people(t).select("id", web.within_domains(C("email"), ["alpha.edu"]).alias("valid"))
 
 
 @query(WITH + "select coalesce(department, '') as department, string_agg(cast(id as varchar), '|' order by id) as ids from people group by 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions import rules, text
-from talus.operators import rank, records
+from talus.operators import evaluate, rank, records
 from talus.plans.catalog import query
 from talus.plans.joins import _school
 from talus.plans.people import WITH, lit, people, pick
@@ -227,13 +227,28 @@ def V10_result_emails(t):
     return d.select("id", F.array_join(F.transform("l", lambda x: x["e"]), "|").alias("emails"))
 
 
-@query(_found + ", b as (select id, string_agg(url, '|' order by place) filter (where place <= 5) as urls, count(*) as n from top group by 1) select p.id, b.urls, coalesce(b.n, 0) as n, coalesce(contains('|' || b.urls || '|', '|https://alpha.edu/people/' || p.id || '|'), false) as known from people p left join b using (id)")
+_known_site = "case when p.id % 2 = 0 then 'http://www.Alpha.edu/people/' || p.id || '/' else p.website end"
+_nkey = "rtrim(replace(replace(replace(lower(trim(coalesce({0}, ''))), 'https://', ''), 'http://', ''), 'www.', ''), '/')"
+_host = "regexp_extract({0}, '^([^/?#]*)', 1)"
+
+
+@query(
+    _found + f", b as (select id, list(url order by place) as l from top group by 1), e as (select id, place, coalesce({_pick('content')}, {_pick('snippet')}) as e from top), d as (select id, e, min(place) as k from e where e is not null group by 1, 2), m as (select id, list(e order by k) as l from d group by 1), "
+    f"x as (select p.id, array_to_string(b.l[1:5], '|') as urls, array_to_string(m.l[1:3], '|') as emails, coalesce(b.l[1], '') as website, coalesce(m.l[1], '') as email, {_nkey.format('b.l[1]')} as f, {_nkey.format(_known_site)} as g, lower(trim(coalesce(m.l[1], ''))) as fe, lower(trim(coalesce(p.email, ''))) as ge, list_filter(string_split_regex(lower(coalesce(p.name, '')), '\\s+'), lambda w: w <> '') as ws from people p left join b using (id) left join m using (id)), "
+    f"y as (select *, f <> '' and g <> '' and f = g as website_exact, f <> '' and g <> '' and {_host.format('f')} = {_host.format('g')} as website_domain, fe <> '' and ge <> '' and fe = ge as email_exact, fe <> '' and ge <> '' and (fe = ge or (contains(fe, '@') and contains(ge, '@') and split_part(fe, '@', 2) = split_part(ge, '@', 2))) as email_domain from x) "
+    "select id, urls, emails, website_exact, website_domain, website_exact or (f <> '' and g <> '' and len(ws) > 0 and contains(f, ws[-1])) as website_name, email_exact, email_domain, case when website_exact then 'Website EXACT' when website_domain then 'Website domain' when website <> '' then 'Website found' else 'No website' end || ' | ' || case when email_exact then 'Email EXACT' when email_domain then 'Email domain' when email <> '' then 'Email found' else 'No email' end as status from y"
+)
 def V7_evaluation(t):
-    """What a search found of each person: the first five URLs, how many there are, and whether the known page is among the five."""
-    b = ten(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "url"))).alias("l"))
-    five = F.transform(F.slice("l", 1, 5), lambda x: x["url"])
-    p = people(t).select("id").join(b, "id", "left")
-    return p.select("id", F.array_join(five, "|").alias("urls"), F.coalesce(F.size("l"), L(0)).cast("long").alias("n"), F.coalesce(F.array_contains(five, F.concat(L("https://alpha.edu/people/"), "id")), L(False)).alias("known"))
+    """What a search found of each person: the first five URLs, three addresses, and whether the first of either is the known one."""
+    b = ten(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "url"))).alias("l")).select("id", F.transform("l", lambda x: x["url"]).alias("us"))
+    e = ten(t).select("id", "place", F.coalesce(text.any_email(C("content")), text.any_email(C("snippet"))).alias("e")).where("e is not null")
+    e = e.groupBy("id", "e").agg(F.min("place").alias("at")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "e"))).alias("l")).select("id", F.transform("l", lambda x: x["e"]).alias("es"))
+    p = people(t).alias("p").select("p.id", "p.name", "p.email", F.expr(_known_site).alias("gold")).join(b, "id", "left").join(e, "id", "left")
+    site, mail = F.get("us", L(0)), F.get("es", L(0))
+    flags = evaluate.website_flags(site, C("gold"), C("name")) | evaluate.email_flags(mail, C("email"))
+    p = p.withColumns(flags | {"urls": F.array_join(F.slice("us", 1, 5), "|"), "emails": F.array_join(F.slice("es", 1, 3), "|")})
+    told = F.concat(evaluate.outcome(C("website_exact"), C("website_domain"), site, "Website"), L(" | "), evaluate.outcome(C("email_exact"), C("email_domain"), mail, "Email"))
+    return p.select("id", "urls", "emails", *flags, told.alias("status"))
 
 
 @query(_found + "select q, count(*) as results, count(distinct id) as queries, round_even(count(distinct id) * 0.0053, 4)::double as cost from f group by 1")
@@ -348,20 +363,3 @@ def V26_old_record(t):
     a, b = split("areas", "[,;]"), split("techniques", "[,;]")
     kw = F.array_sort(F.array_distinct(F.transform(F.concat(a, b), F.lower)))
     return people(t).select("id", F.array_join(kw, "|").alias("keywords"), F.array_join(a, "|").alias("topics"), F.coalesce("h_index", L(0)).cast("int").alias("h"))
-
-
-@query(
-    WITH + f", x as (select id, {_lab} as t, coalesce(h_index, 0) as h, works, email, website, least(len({_topics}), 10) as n from people), y as (select *, least(n / 10, 1) * 15 + case when {_any('t', rules.DOMAINS['computer_science'])} > 0 then 7.5 else 0 end + least({_any('t', ['python', 'imaging', 'statistics', 'pcr'])} / 3, 1) * 20 "
-    "+ case when h >= 40 then 15 else 9 end + (0.7 * least(h / 100, 1) + 0.3 * least(works / 500, 1)) * 10 as score from x) select id, round(score, 6) as score, case when score >= 75 then 'excellent' when score >= 60 then 'good' when score >= 45 then 'moderate' else 'weak' end as quality, "
-    "concat_ws('|', case when coalesce(email, '') = '' and coalesce(website, '') = '' then 'No contact information available' end, case when h > 80 then 'Very senior PI - may have limited time for mentoring' end) as concerns from y"
-)
-def M19_third_stage(t):
-    """The third stage without embeddings: keywords 15, fields 15, skills 20, experience 15, activity 10; with what may trouble."""
-    p = people(t).select("id", F.expr(_lab).alias("t"), F.coalesce("h_index", L(0)).alias("h"), "works", "email", "website", F.least(F.size(split("topics", "[|]")), L(10)).alias("n"))
-    hits = lambda parts: sum((F.contains("t", L(x)).cast("int") for x in parts), L(0))
-    score = F.least(C("n") / 10, L(1.0)) * 15 + F.when(hits(rules.DOMAINS["computer_science"]) > 0, 7.5).otherwise(0.0) + F.least(hits(["python", "imaging", "statistics", "pcr"]) / 3, L(1.0)) * 20
-    score = score + F.when(C("h") >= 40, 15).otherwise(9) + (0.7 * F.least(C("h") / 100, L(1.0)) + 0.3 * F.least(C("works") / 500, L(1.0))) * 10
-    none_ = (F.coalesce("email", L("")) == "") & (F.coalesce("website", L("")) == "")
-    concerns = F.concat_ws("|", F.when(none_, "No contact information available"), F.when(C("h") > 80, "Very senior PI - may have limited time for mentoring"))
-    quality = F.when(score >= 75, "excellent").when(score >= 60, "good").when(score >= 45, "moderate").otherwise("weak")
-    return p.select("id", F.round(score, 6).alias("score"), quality.alias("quality"), concerns.alias("concerns"))

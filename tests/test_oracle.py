@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from talus.plans import catalog, evaluation, files, joins, matching, older, pages, people, reshape, scores  # noqa: F401
+from talus.plans import catalog, evaluation, files, joins, kept, matching, older, pages, people, reshape, scores, sources, staged, websites  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
