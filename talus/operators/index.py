@@ -46,7 +46,7 @@ def build(rows: DataFrame, path: str | None = None) -> Index:
     """
     spark = rows.sparkSession
     path = path or fresh_path(spark, "index")
-    rows = rows.select("id", "term", "w").where("id is not null and term is not null and w is not null")
+    rows = stash(rows.select("id", "term", "w").where("id is not null and term is not null and w is not null"), "terms")
     ordered = rows.orderBy("term", C("w").desc(), "id").withColumn("block", F.shiftright(F.monotonically_increasing_id(), BITS))
     ordered.withColumn("slot", slot(C("term"))).write.partitionBy("slot").parquet(f"{path}/postings")
     postings = _read(spark, f"{path}/postings")
