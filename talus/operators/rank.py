@@ -157,6 +157,19 @@ def running_sum(df: DataFrame, value: str, key: str) -> DataFrame:
     return summed.withColumn("total", F.col("total") + F.col("start")).drop("range_", "start")
 
 
+def in_ranges(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """rows beside the ranges that their whole number value lies in, from low up to below high.
+
+    Both sides meet by cells as wide as a range is on average, so this is a join on equal keys; a range is copied to each cell it touches.
+    """
+    some = ranges.where(F.col(low) < F.col(high))
+    wide = max(1, int(some.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1))
+    cell = lambda c: F.floor(c / wide).cast("long")
+    cells = some.withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high) - 1))))
+    met = rows.withColumn("_cell", cell(F.col(value))).join(cells, "_cell")
+    return met.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_cell")
+
+
 def places(df: DataFrame, to: str, *order: Column) -> DataFrame:
     """df with to: each row's place in an order, from 1. The order should end in a unique column.
 

@@ -239,13 +239,10 @@ def G4_rotation(t):
     """Which account each query's credits come from: one is used to ten below its limit, then the next; none when all are used up."""
     cost = (F.coalesce("works", L(0)) % 4 + 1).cast("long")
     spent = rank.running_sum(people(t).select("id", cost.alias("cost")), "cost", "id").select("id", (C("total") - C("cost")).alias("before"))
-    limits = sorted(r["n_nationkey"] for r in t("nation").select("n_nationkey").collect())
-    upto, bounds = 0, []
-    for k in limits:
-        bounds.append((k, upto, upto + max(60 + k * 5 - 10, 0)))
-        upto = bounds[-1][2]
-    account = F.coalesce(*[F.when((C("before") >= a) & (C("before") < b), k) for k, a, b in bounds])
-    return spent.select("id", account.alias("account")).where("account is not null")
+    room = F.greatest(60 + C("n_nationkey") * 5 - 10, L(0)).cast("long")
+    limits = rank.running_sum(t("nation").select(C("n_nationkey").alias("account"), room.alias("room")), "room", "account")
+    limits = limits.select("account", (C("total") - C("room")).alias("low"), C("total").alias("high"))
+    return rank.in_ranges(spent, "before", limits, "low", "high").select("id", "account")
 
 
 # --- pages of directories --------------------------------------------------------------------------------------------------
