@@ -284,7 +284,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html; other columns are ignored).
 
     A null page counts as an empty one and has the empty text. Repeated rows stay repeated; null ids and urls are kept;
-    an empty table gives no rows. n_chars counts code points.
+    an empty table gives no rows; pages of any length count whole. n_chars counts code points.
     """
 
     def go(batches):

@@ -495,7 +495,7 @@ def near_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored. A text without words (null, empty, white space) has no shingles
     and its own doc_id as component. Rows that share a doc_id are documents of their own, and repeated rows are repeated; a
-    null doc_id is the least of all. Ties have no effect; an empty table gives no rows.
+    null doc_id is the least of all. Ties have no effect; texts of any length count whole; an empty table gives no rows.
     """
     rows_, own = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")), "row")
     got = _groups(rows_.select(F.col("row").alias("doc_id"), "text"), hot)

@@ -188,10 +188,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with held_out, lang_pred and score; docs needs doc_id, text and lang, all its columns stay.
+    """docs with held_out, lang_pred and score; docs needs doc_id, text and lang; its columns stay, but for those with the names of new ones.
 
     Learns from rows with text and lang whose crc32(doc_id as text) modulo 5 is not 0. lang_pred is a learned lang, or und
-    with score 0 where text is null or has no letter, or where there is nothing to learn from. A null doc_id counts as the
+    with score 0 where text is null or has no letter, or where there is nothing to learn from; of equal languages the first by name. A null doc_id counts as the
     empty text. Whole texts are read, in blocks; repeated rows stay repeated; an empty table gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 0

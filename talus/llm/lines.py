@@ -95,7 +95,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     Order is by doc_id (null first; rows that share one by hash of text), then by line. A line goes when an earlier line is
     its copy or near copy, whether that one itself stays or not. Lines without words stay where they are. Null text stays
     null with no lines; a text whose lines all go is empty. Rows with one doc_id, or none, are documents of their own: a
-    repeated row loses all its lines that have words. An empty table gives no rows. Columns named n_lines, n_removed give way.
+    repeated row loses all its lines that have words. An empty table gives no rows; texts of any length count whole. Columns named n_lines, n_removed give way.
     """
     kept = docs.drop("n_lines", "n_removed")
     doc, gone, split = (fresh(kept, c) for c in ("_doc", "_gone", "_all"))

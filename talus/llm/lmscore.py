@@ -142,7 +142,7 @@ def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     this row itself counts in it: the higher, the more like the target. Whole texts of all rows are counted, those with
     target true by the target model, the others by the background. Null and empty texts have no tokens and a null score;
     null target counts as false; repeated rows count and come back each; a null doc_id is kept; where one side has no
-    tokens its model is uniform; an empty table gives no rows. Tokenizers of more than 65,535 ids raise an error.
+    tokens its model is uniform; texts of any length count whole; an empty table gives no rows. Tokenizers of more than 65,535 ids raise an error.
     """
     nb = buckets(docs, BUCKET_BYTES)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce("target", F.lit(False)).alias("target"))

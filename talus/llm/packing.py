@@ -319,7 +319,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text; others ignored).
 
     Null and empty texts are the end token alone. Documents longer than capacity are cut into full pieces and a rest.
-    Repeated rows are packed each for itself; an empty table gives no rows; a null doc_id is kept. The driver holds one
+    Texts of any length count whole. Repeated rows are packed each for itself; an empty table gives no rows; a null doc_id is kept. The driver holds one
     count for each length (capacity numbers at most) and the bin patterns made from them.
     """
     pieces = stash(token_pieces(docs, tokenizer, capacity), "pieces")

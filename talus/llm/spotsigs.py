@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored. The edited text has the last quarter of its code points (rounded
     down) replaced by as many first ones of the next document in order of doc_id (ties by text, null first; after the last
-    row the first). Null texts count as empty. Repeated rows follow each other. An empty table gives no rows.
+    row the first). Null texts count as empty. Repeated rows follow each other. Texts of any length count whole. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     both = with_next(own, ["text", "s"], lambda rows: signatures(rows, "text", "s"))
