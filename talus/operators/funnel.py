@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.operators import evaluate, index, phrases, rank
+from talus.operators import classes, evaluate, index, phrases, rank
 from talus.sources.scratch import stash
 
 C, L = F.col, F.lit
@@ -32,14 +32,23 @@ def shared_parts(askers: DataFrame, records: DataFrame) -> tuple[DataFrame, Data
 
 
 def by_words(askers: DataFrame, records: DataFrame, k: int = 100) -> DataFrame:
-    """query_id, id, score, rank: the k records with the most shared parts; where fewer share any, those with the least ids fill up."""
-    asked, has = shared_parts(askers, records)
-    found = index.top_k(index.build(has), asked, k).select("query_id", "id", C("score").cast("long").alias("score"))
+    """query_id, id, score, rank: the k records with the most shared parts; where fewer share any, those with the least ids fill up.
+
+    Askers with equal parts are one class, and so are records. A class has its least id, so a record among the k best has its class
+    among the k best classes, and of a class the k least ids are enough.
+    """
+    q_of, q = classes.grouped(askers.select("id", "words", "fields", "skills"), ["words", "fields", "skills"], "asker")
+    r_of, r = classes.grouped(records.select("id", "words", "fields", "text"), ["words", "fields", "text"], "kind")
+    asked, has = shared_parts(q, r)
+    found = index.top_k(index.build(has), asked, k).select(C("query_id").alias("asker"), C("id").alias("kind"), C("score").cast("long").alias("score"))
+    some = stash(rank.top_k_by(r_of.select("id", "kind"), ["kind"], k, C("id")).select("id", "kind"), "members")
+    found = found.join(some, "kind").select("asker", "id", "score")
     # of the 2k least ids at least k are not among those found, or there are no more
     least = records.orderBy("id").limit(2 * k).select("id")
-    rest = askers.select(C("id").alias("query_id")).join(F.broadcast(least)).withColumn("score", L(0).cast("long"))
-    both = found.unionByName(rest).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return rank.top_k_by(both, ["query_id"], k, C("score").desc(), C("id"))
+    rest = q.select(C("id").alias("asker")).join(F.broadcast(least)).withColumn("score", L(0).cast("long"))
+    both = found.unionByName(rest).groupBy("asker", "id").agg(F.max("score").alias("score"))
+    best = stash(rank.top_k_by(both, ["asker"], k, C("score").desc(), C("id")), "best")
+    return q_of.select(C("id").alias("query_id"), "asker").join(best, "asker").select("query_id", "id", "score", "rank")
 
 
 def by_likeness(first: DataFrame, vectors: DataFrame, cosine, k: int = 30) -> DataFrame:
