@@ -124,6 +124,60 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS)
     return rank.top_k_by(search(vectors, queries, k, pivots).drop("compared"), ["query_id"], k, C("cosine").desc(), C("id"))
 
 
+def _lengths(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a column by their length: places, and a matrix of vectors of length one; those that are null, empty or zero are in none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for size in np.unique(n[n > 0]):
+        at = np.flatnonzero(n == size)
+        m = _matrix(column.take(pa.array(at)))
+        norm = np.sqrt((m * m).sum(1))
+        out[int(size)] = at[norm > 0], m[norm > 0] / norm[norm > 0, None]
+    return out
+
+
+def _all_compared(k: int):
+    """Of one block of rows and one of queries: each query's k rows with the largest rounded cosines, of equal ones those with the least ids."""
+
+    def go(table: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, names = np.asarray(table.column("id").to_numpy()), np.asarray(asked.column("query_id").to_numpy())
+        mine, theirs = _lengths(asked.column("a")), _lengths(table.column("v"))
+        out = []
+        for start in range(0, len(names) if len(ids) else 0, 256):
+            part = names[start : start + 256]
+            cosine = np.zeros((len(part), len(ids)))
+            for size in mine.keys() & theirs.keys():
+                (q_at, q), (at, x) = mine[size], theirs[size]
+                here = (q_at >= start) & (q_at < start + 256)
+                cosine[np.ix_(q_at[here] - start, at)] = np.round(q[here] @ x.T, 5)
+            for i, name in enumerate(part):
+                row = np.where(ids == name, -2.0, cosine[i])
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -1.5
+                near = np.flatnonzero((row >= least) & (row > -1.5))
+                best = near[np.lexsort((ids[near], -row[near]))[:k]]
+                out.append((np.full(len(best), name), ids[best], row[best]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": cols[0].astype(np.int64), "id": cols[1].astype(np.int64), "cosine": cols[2].astype(np.float64)})
+
+    return go
+
+
+def of_all(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, cosine, rank as top_k, from all pairs: blocks of rows meet blocks of queries by products of matrices, and a pair of blocks gives k rows a query.
+
+    A vector that is null, empty, zero, not finite or of another length than the query has cosine 0.
+    """
+    parts = lambda df: max(1, -(-df.count() // ROWS))
+    m, mq = parts(vectors), parts(queries)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), L(n)).cast("int")
+    x = vectors.select("id", C("v").cast("array<double>").alias("v"), deal("id", m).alias("i"), F.explode(F.sequence(L(0), L(mq - 1))).alias("j"))
+    q = queries.select(C("id").alias("query_id"), C("v").cast("array<double>").alias("a"), deal("id", mq).alias("j"), F.explode(F.sequence(L(0), L(m - 1))).alias("i"))
+    met = x.groupBy("i", "j").cogroup(q.groupBy("i", "j")).applyInArrow(_all_compared(k), "query_id long, id long, cosine double")
+    return rank.top_k_by(met, ["query_id"], k, C("cosine").desc(), C("id"))
+
+
 def share_compared(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> float:
     """The share of all pairs that top_k compares."""
     n = vectors.count() * queries.count()
