@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talus.sources.scratch import stash
+
 C, L = F.col, F.lit
 TEXT = "#text"
 # Elements without an end, and for elements that end by themselves the ones that end them and the ones that hold those.
@@ -130,7 +132,7 @@ def directory(pages: DataFrame, key, valid) -> DataFrame:
     Of several for one key in a page the last counts, and those of elements with such a class over all others; addresses that
     valid (email -> Column) refuses and keys of up to three characters are left out. key: a name as a Column -> Column.
     """
-    n = nodes(pages)
+    n = stash(nodes(pages), "nodes")  # read nine times below, parsed once
     links = n.where((C("tag") == "a") & C("href").isNotNull())
     email = F.lower(F.trim(F.split_part(F.substring(C("href"), L(8), F.length("href")), L("?"), L(1))))
     mail = links.where(C("href").startswith("mailto:")).withColumn("email", email)
