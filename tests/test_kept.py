@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from talus.operators import index, names, nearest, phrases
+from talus.operators import classes, index, names, nearest, phrases
 from talus.sources import keyed
 from talus.sources.scratch import fresh_path
 
@@ -113,3 +113,28 @@ def test_merge_rewrites_only_what_is_hit(spark):
         keyed.merge(new.withColumn("v", F.expr("element_at(array(v), k + 2)")), path, ["k"], 32, [F.col("at")], F.col("v") != "")
     assert {x.k: (x.v, x.n) for x in keyed.read(spark, path).collect()} == got
     assert keyed.merge(new.where("v = ''"), path, ["k"], 32, [F.col("at")], F.col("v") != "") == (2, [])
+
+
+def test_seeds_go_on_behind_a_short_first_block(spark):
+    """A term's first block may hold few of its postings; the k-th score comes from as many rows as are asked for all the same."""
+    rows = [(i, "every", 1) for i in range(5000)] + [(i, "rare", 1) for i in range(40)]
+    kept = index.build(spark.createDataFrame(rows, "id long, term string, w int").repartition(1))
+    # the first two of the rare term's postings lie in a block of their own
+    cut = lambda df: df.withColumn("block", F.when((F.col("term") == "rare") & (F.col("id") >= 2), 1 << 40).when(F.col("term") == "rare", 1 << 39).otherwise(F.col("block")))
+    postings = cut(kept.postings)
+    blocks = postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("w").alias("high"))
+    kept = index.Index(kept.terms, blocks, postings, kept.forward)
+    q = spark.createDataFrame([(7, "every", 1), (7, "rare", 1)], "query_id long, term string, weight int")
+    read = index.plan(kept, q, 10)
+    assert {r.term for r in read.where("not seed").collect()} == {"rare"} and {r.n for r in read.where("seed and term = 'rare'").collect()} == {2, 38}
+    assert [(x.id, x.score) for x in index.top_k(kept, q, 10).orderBy("rank").collect()] == [(i, 2.0) for i in range(10)]
+
+
+def test_long_tables_are_joined_by_sorting(spark, monkeypatch):
+    """Files of equal values are far shorter than their rows: what is asked must not go whole to all tasks by the files' size."""
+    monkeypatch.setattr(classes, "SHORT", 50)
+    kept = index.build(spark.createDataFrame([(i, "a", 1) for i in range(100)] + [(i, "b", 2) for i in range(5)], "id long, term string, w int"))
+    q = spark.createDataFrame([(i, t, 1) for i in range(100) for t in "ab"], "query_id long, term string, weight int")
+    got = index.top_k(kept, q, 3)
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in got.collect()} == {(i, k, 3.0, k + 1) for i in range(100) for k in range(3)}
